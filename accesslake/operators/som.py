@@ -32,22 +32,29 @@ def codebook_array(codebook: DataFrame) -> tuple[list, np.ndarray]:
     return [(r["i"], r["j"]) for r in rows], np.array([r["weights"] for r in rows], dtype="float64")
 
 
-def _distances(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each row to each unit, a unit at a time to keep memory at one column."""
-    return np.sqrt(np.stack([((x - w) ** 2).sum(axis=1) for w in weights], axis=1))
+def _distances():
+    """A function of rows and units giving every Euclidean distance.
+
+    It is made here, not imported, so that it travels to the tasks by value.
+    """
+    def distances(x, weights):
+        return np.sqrt(np.stack([((x - w) ** 2).sum(axis=1) for w in weights], axis=1))
+
+    return distances
 
 
 def nearest_unit(df: DataFrame, codebook: DataFrame, vector: str = "vector") -> DataFrame:
     """Adds ``unit`` (i, j) and ``distance`` of the nearest unit, the first in order among equals."""
     units, weights = codebook_array(codebook)
     shared = df.sparkSession.sparkContext.broadcast((units, weights))
+    distances = _distances()
 
     @F.pandas_udf("i int, j int, distance double")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, w = shared.value
         grid = np.array(known)
         for vectors in batches:
-            d = _distances(np.stack(vectors.to_numpy()).astype("float64"), w) if len(vectors) else np.zeros((0, 1))
+            d = distances(np.stack(vectors.to_numpy()).astype("float64"), w) if len(vectors) else np.zeros((0, 1))
             best = d.argmin(axis=1)
             yield pd.DataFrame({"i": grid[best, 0], "j": grid[best, 1], "distance": d[np.arange(len(d)), best]})
 
@@ -130,13 +137,14 @@ def fit_som(df: DataFrame, vector: str = "vector", epochs: int = 10, side: int |
 def _unit_sums(data: DataFrame, vector: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     units, width = weights.shape
     shared = data.sparkSession.sparkContext.broadcast(weights)
+    distances = _distances()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         sums, hits = np.zeros((units, width)), np.zeros(units, dtype="int64")
         for batch in batches:
             x = np.stack(batch[vector].to_numpy()).astype("float64")
-            best = _distances(x, w).argmin(axis=1)
+            best = distances(x, w).argmin(axis=1)
             np.add.at(sums, best, x)
             hits += np.bincount(best, minlength=units)
         used = np.flatnonzero(hits)
