@@ -97,7 +97,7 @@ def recommend(current: Column, optimal: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """``x.xx MB``, ``x.xx KB`` or ``n bytes``."""
-    return (F.when(size >= MIB, F.format_string("%.2f MB", size / MIB))
-            .when(size >= 1024, F.format_string("%.2f KB", size / 1024))
+    """``x.xx MB``, ``x.xx KB`` or ``n bytes``; halves go to the even digit."""
+    return (F.when(size >= MIB, F.format_string("%.2f MB", F.bround(size / MIB, 2)))
+            .when(size >= 1024, F.format_string("%.2f KB", F.bround(size / 1024, 2)))
             .otherwise(F.concat(size.cast("string"), F.lit(" bytes"))))
