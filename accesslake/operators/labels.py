@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .common import join_on, one_row
-from .quantiles import HOT_VALUES, exact_quantiles, global_quantile, values_at_ranks
+from .quantiles import (
+    HOT_VALUES, exact_quantiles, global_quantile, quantiles_of_counts, stored_counts, value_counts, values_at_ranks)
 from ..functions.sizing import LARGE_FILE_KB, access_band, combination
 
 QUANTILE = 0.65
@@ -27,8 +28,10 @@ def label_ot(df: DataFrame, q: float = QUANTILE, size: str = "file_size_kb", thr
     """
     banded = with_band(df)
     keys = list(keys or (size, "access_count_label"))
-    limits = exact_quantiles(banded, keys, throughput, {"_limit": q}, count_as="_rows", hot_values=hot_values)
-    overall = one_row(global_quantile(df, throughput, q, "limit", hot_values=hot_values))["limit"]
+    counts = stored_counts(banded.withColumn(throughput, F.col(throughput).cast("double")), keys, throughput)
+    limits = quantiles_of_counts(counts, keys, {"_limit": q}, "_rows", hot_values)
+    everywhere = value_counts(counts, [], "_v", weight="_n")
+    overall = one_row(quantiles_of_counts(everywhere, [], {"limit": q}, hot_values=hot_values))["limit"]
     enough = F.when(F.col("_rows") >= min_rows, F.col("_limit"))
     reached = F.round(throughput, DECIMALS) >= F.round(F.coalesce(enough, overall), DECIMALS)
     return (join_on(banded, limits, keys, "left")
@@ -77,7 +80,7 @@ def balance_labels(df: DataFrame, label: str, throughput: str, order: str) -> Da
 
 def _value_at(df: DataFrame, value: str, rank: int):
     """The value at one 0-based ascending rank over all rows."""
-    counts = df.groupBy(F.lit(1).alias("_all"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored_counts(df, [], value).withColumn("_all", F.lit(1))
     wanted = df.sparkSession.range(1).select(
         F.lit(1).alias("_all"), F.array(F.lit(rank).cast("bigint")).alias("_ranks"))
     return values_at_ranks(counts, ["_all"], wanted).first()["_v"]

@@ -26,7 +26,8 @@ METRICS = ("logloss", "accuracy", "precision", "recall", "f1", "auc")
 
 def require_samples(df: DataFrame, n: int = 100) -> DataFrame:
     """``df`` if it has at least ``n`` rows; looks at no more than that."""
-    found = df.limit(n).count()
+    # take() widens from one partition as needed; a counted limit would start a task on every one.
+    found = len(df.select(F.lit(1)).take(n))
     if found < n:
         raise ValueError(f"{found} rows are too few to train on, at least {n} are needed")
     return df
@@ -65,9 +66,9 @@ def fit_rf_stack(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, label:
         forest = RandomForestClassifier(
             labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
             predictionCol="rf_prediction", probabilityCol="rf_probability", rawPredictionCol="rf_raw").fit(data)
-        boosted = GBTClassifier(
-            labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed,
-            predictionCol="gb_prediction", rawPredictionCol="gb_raw").setProbabilityCol("gb_probability").fit(data)
+        boosted = (GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed,
+                                 predictionCol="gb_prediction")
+                   .setRawPredictionCol("gb_raw").setProbabilityCol("gb_probability").fit(data))
         base = [forest, boosted,
                 VectorSlicer(inputCol="rf_probability", outputCol="rf_p", indices=[1]),
                 VectorSlicer(inputCol="gb_probability", outputCol="gb_p", indices=[1]),

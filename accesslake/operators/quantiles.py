@@ -1,10 +1,12 @@
 """Exact grouped quantiles that hold when one group has a third of all rows.
 
-Rows are first reduced to (group, value, count), with map-side combine. A group with few distinct
+The rows are reduced once to (group, value, count), with map-side combine, and that table is stored in
+the shared work folder: the input is evaluated one time, whatever follows. A group with few distinct
 values goes to the built-in ``percentile``. A group with many is never brought into one task: its
 values are spread over equal-width buckets between the group's own minimum and maximum, bucket counts
-show which bucket holds the wanted rank, and only that bucket is split again. Minimum, maximum and
-counts do not depend on task order, so a recomputed task yields the same buckets.
+show which bucket holds the wanted rank, and that bucket alone is split again until it is small.
+
+The functions run jobs when called; what they return is lazy over stored tables.
 """
 
 from __future__ import annotations
@@ -14,10 +16,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import join_on
+from ..session import materialise
 
+# Most distinct values of one group that one task may hold.
 HOT_VALUES = 1_000_000
 FANOUT = 4096
-ROUNDS = 3
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, _v, _n): how often each non-null value occurs in each group."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(n.alias("_n"))
+
+
+def stored_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``value_counts`` as a stored table, for several quantiles over the same rows."""
+    return materialise(value_counts(df, keys, value), "value-counts")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
@@ -26,60 +40,71 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
 
     Quantiles interpolate linearly between neighbours, as ``percentile`` does. Null values do not count.
     """
-    names, points = list(quantiles), list(quantiles.values())
-    keys = list(keys)
-    grouping = keys or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(1))
-    counts = value_counts(rows, grouping, value, as_double=True)
-    sizes = group_sizes(counts, grouping)
+    typed = df.select(*keys, F.col(value).cast("double").alias(value))
+    return quantiles_of_counts(stored_counts(typed, keys, value), keys, quantiles, count_as, hot_values)
 
-    sized = join_on(counts, sizes, grouping)
-    small = sized.where(F.col("_d") <= hot_values).groupBy(*grouping).agg(
-        F.percentile("_v", F.array(*[F.lit(float(q)) for q in points]), F.col("_n")).alias("_q"),
-        F.first("_t").alias("_t"))
 
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float],
+                        count_as: str | None = None, hot_values: int = HOT_VALUES) -> DataFrame:
+    """As ``exact_quantiles`` from a stored (keys, _v, _n) table."""
+    keys, points = list(keys), [float(q) for q in quantiles.values()]
+    grouping = keys or ["_all"]
+    if not keys:
+        counts = counts.withColumn("_all", F.lit(1))
+    sizes = counts.groupBy(*grouping).agg(F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_t"))
     hot = sizes.where(F.col("_d") > hot_values)
-    position = {n: F.lit(float(q)) * (F.col("_t") - 1) for n, q in quantiles.items()}
-    ranks = F.array(*[f(p).cast("bigint") for p in position.values() for f in (F.floor, F.ceil)])
-    found = values_at_ranks(sized.where(F.col("_d") > hot_values), grouping,
-                            hot.withColumn("_ranks", F.array_distinct(ranks)))
-    by_rank = found.groupBy(*grouping).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    columns = [F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)]
+    result = [*keys, *columns, *([F.col("_t").alias(count_as)] if count_as else [])]
 
-    def between(p: Column) -> Column:
-        low, high = F.floor(p).cast("bigint"), F.ceil(p).cast("bigint")
-        at = F.col("_at")
-        return F.when(low == high, at[low]).otherwise((high - p) * at[low] + (p - low) * at[high])
+    if hot.isEmpty():
+        return _percentiles(counts, grouping, points).select(*result)
+    cold = join_on(counts, hot, grouping, "left_anti")
+    return (_percentiles(cold, grouping, points)
+            .unionByName(_selected(join_on(counts, hot, grouping, "left_semi"), grouping, hot, points, hot_values))
+            .select(*result))
 
-    large = join_on(hot, by_rank, grouping).select(
-        *grouping, F.array(*[between(p) for p in position.values()]).alias("_q"), "_t")
 
-    columns = [F.col("_q")[i].alias(n) for i, n in enumerate(names)]
-    extra = [F.col("_t").alias(count_as)] if count_as else []
-    return small.unionByName(large).select(*keys, *columns, *extra)
+def _percentiles(counts: DataFrame, grouping: Sequence[str], points: Sequence[float]) -> DataFrame:
+    return counts.groupBy(*grouping).agg(
+        F.percentile("_v", F.array(*[F.lit(q) for q in points]), F.col("_n")).alias("_q"), F.sum("_n").alias("_t"))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, as_double: bool = False) -> DataFrame:
-    """(keys, _v, _n): how often each non-null value occurs in each group."""
-    v = F.col(value).cast("double") if as_double else F.col(value)
-    return (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+def _selected(counts: DataFrame, grouping: Sequence[str], hot: DataFrame, points: Sequence[float],
+              hot_values: int) -> DataFrame:
+    """The quantiles of groups too large for one task, by rank selection."""
+    position = [F.lit(q) * (F.col("_t") - 1) for q in points]
+    ranks = F.array_distinct(F.array(*[f(p).cast("bigint") for p in position for f in (F.floor, F.ceil)]))
+    found = values_at_ranks(counts, grouping, hot.select(*grouping, ranks.alias("_ranks")), hot_values)
+    # At most two ranks per quantile.
+    by_rank = found.groupBy(*grouping).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def between(p: Column) -> Column:
+        low, high = F.floor(p).cast("bigint"), F.ceil(p).cast("bigint")
+        at = F.col("_at")
+        return F.when(low == high, at[low]).otherwise((high - p) * at[low] + (p - low) * at[high])
 
+    return join_on(hot, by_rank, grouping).select(*grouping, F.array(*[between(p) for p in position]).alias("_q"), "_t")
 
-def group_sizes(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per group: distinct values ``_d`` and rows ``_t``."""
-    return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_t"))
 
+def values_at_ranks(counts: DataFrame, keys: Sequence[str], wanted: DataFrame, hot_values: int = HOT_VALUES,
+                    fanout: int = FANOUT) -> DataFrame:
+    """(keys, _rank, _v): the value at each 0-based ascending rank of the array ``wanted._ranks``.
 
-def values_at_ranks(counts: DataFrame, keys: Sequence[str], wanted: DataFrame,
-                    rounds: int = ROUNDS, fanout: int = FANOUT) -> DataFrame:
-    """(keys, _rank, _v): the value at each 0-based ascending rank of the array ``wanted._ranks``."""
-    keys = list(keys)
+    ``counts`` is a stored (keys, _v, _n) table. Each round splits every group between its own extremes,
+    so its extremes fall apart and it shrinks; the rounds end when no group has more than ``hot_values``
+    distinct values left.
+    """
+    group = [*keys, "_rank"]
     targets = wanted.select(*keys, F.explode("_ranks").alias("_rank"))
     rows = join_on(counts.select(*keys, "_v", "_n"), targets, keys).withColumn("_base", F.lit(0).cast("bigint"))
-    group = [*keys, "_rank"]
-    for _ in range(rounds):
-        rows = _keep_bucket_of_rank(rows, group, fanout)
+    while True:
+        spans = rows.groupBy(*group, "_base").agg(
+            F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        # One number reaches the driver.
+        largest = spans.agg(F.max("_d")).first()[0]
+        if largest is None or largest <= hot_values:
+            break
+        rows = materialise(_bucket_of_rank(rows, group, spans, fanout), "rank-selection")
     before = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("_base") + F.sum("_n").over(before)
     return (rows.withColumn("_upto", upto)
@@ -87,14 +112,17 @@ def values_at_ranks(counts: DataFrame, keys: Sequence[str], wanted: DataFrame,
             .select(*group, "_v"))
 
 
-def _keep_bucket_of_rank(rows: DataFrame, group: Sequence[str], fanout: int) -> DataFrame:
-    """One narrowing step: of each group only the bucket that holds its rank, with the count before it."""
-    span = rows.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    share = F.try_divide((F.col("_v") - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double"))
-    bucket = F.coalesce(F.least(F.floor(share * fanout), F.lit(fanout - 1)), F.lit(0))
-    placed = join_on(rows, span, group).withColumn("_b", bucket.cast("int")).drop("_lo", "_hi")
+def _bucket_of_rank(rows: DataFrame, group: Sequence[str], spans: DataFrame, fanout: int) -> DataFrame:
+    """Of each group only the bucket that holds its rank, with the count of all rows before it.
+
+    Minimum, maximum and counts do not depend on task order, so a recomputed task gives the same buckets.
+    """
+    low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    share = F.try_divide(F.col("_v").cast("double") - low, high - low)
+    bucket = F.coalesce(F.least(F.floor(share * fanout), F.lit(fanout - 1)), F.lit(0)).cast("int")
+    placed = join_on(rows, spans.select(*group, "_lo", "_hi"), group).withColumn("_b", bucket).drop("_lo", "_hi")
 
-    totals = placed.groupBy(*group, "_b", "_base").agg(F.sum("_n").alias("_bn"))
+    totals = placed.groupBy(*group, "_base", "_b").agg(F.sum("_n").alias("_bn"))
     # At most ``fanout`` rows per group reach this window.
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("_base") + F.sum("_bn").over(before)
@@ -102,7 +130,7 @@ def _keep_bucket_of_rank(rows: DataFrame, group: Sequence[str], fanout: int) ->
                .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_bn")))
                .select(*group, "_b", (F.col("_upto") - F.col("_bn")).alias("_from")))
     return (join_on(placed.drop("_base"), holding, [*group, "_b"])
-            .withColumnRenamed("_from", "_base").drop("_b"))
+            .withColumnRenamed("_from", "_base").select(*group, "_v", "_n", "_base"))
 
 
 def group_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.65,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.measures import change, change_pct, mean_speed, result_flag, speed
 
@@ -116,7 +117,7 @@ def t_test(trials: DataFrame, value: str = "throughput_pct") -> DataFrame:
                     F.col("m_rf").alias("mean_rf"), F.col("m_xgb").alias("mean_xgb"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided p of Student's t, by integrating the density over the angle atan(t / sqrt(dof))."""
     nodes, weights = np.polynomial.legendre.leggauss(200)
