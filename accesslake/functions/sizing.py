@@ -69,7 +69,7 @@ def tier_candidates(file_size_kb: Column, current_kb: Column) -> Column:
     *bounded, (_, last_sizes, last_cap) = SIZE_TIERS
     chosen = None
     for below, sizes, cap in bounded:
-        chosen = (chosen or F).when(file_size_kb < below, tier(sizes, cap))
+        chosen = (F if chosen is None else chosen).when(file_size_kb < below, tier(sizes, cap))
     base = chosen.otherwise(tier(last_sizes, last_cap))
     current = current_kb.cast("double")
     whole = F.floor(current_kb).cast("double")

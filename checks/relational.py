@@ -23,20 +23,20 @@ EXTENSIONS = (".txt", ".csv", ".gz")
 
 
 @query("src_log_v1", """
-SELECT file_path, file_size, chunk_size, access_count, round(avg_read_size, 6) AS avg_read_size,
-  round(avg_write_size, 6) AS avg_write_size, max_read_size, max_write_size, read_count, write_count,
-  round(throughput_mbps, 6) AS throughput_mbps
+SELECT file_path, file_size, chunk_size, access_count, avg_read_size AS avg_read_size,
+  avg_write_size AS avg_write_size, max_read_size, max_write_size, read_count, write_count,
+  throughput_mbps AS throughput_mbps
 FROM v1""")
 def _(t: Tables):
     path = work_dir(t.spark, "v1") + ".csv"
     sinks.write_csv(t.v1.drop("k1", "k2", "k3"), path)
-    return rounded(logs.read_access_log(t.spark, path))
+    return logs.read_access_log(t.spark, path)
 
 
 @query("src_log_v2", """
 SELECT file_path, file_size_kb AS "file_size_KB", chunk_size_kb AS "chunk_size_KB", access_count,
-  round(avg_read_kb, 6) AS "avg_read_KB", round(avg_write_kb, 6) AS "avg_write_KB", max_read_kb AS "max_read_KB",
-  max_write_kb AS "max_write_KB", read_ops, write_ops, round(throughput_kbps, 6) AS "throughput_KBps",
+  avg_read_kb AS "avg_read_KB", avg_write_kb AS "avg_write_KB", max_read_kb AS "max_read_KB",
+  max_write_kb AS "max_write_KB", read_ops, write_ops, throughput_kbps AS "throughput_KBps",
   CAST(NULL AS VARCHAR) AS error_message
 FROM bench_log""")
 def _(t: Tables):
@@ -44,7 +44,7 @@ def _(t: Tables):
     named = {c.lower(): c for c in schemas.BENCH_LOG_V2.names}
     log = t.bench_log.drop("k1", "k2", "k3").withColumnsRenamed({k: v for k, v in named.items()})
     sinks.write_csv(log.withColumn("error_message", F.lit(None).cast("string")), path)
-    return rounded(logs.read_bench_log(t.spark, path))
+    return logs.read_bench_log(t.spark, path)
 
 
 @query("src_min_samples", "SELECT count(*) AS row_count FROM bench_log HAVING count(*) >= 100")
@@ -244,13 +244,13 @@ def _(t: Tables):
 
 
 @query("cln_impute_median", """
-SELECT k1, k2, k3, round(coalesce(CASE WHEN k1 % 7 <> 0 THEN throughput_kbps END, m.t), 6) AS throughput_kbps,
+SELECT k1, k2, k3, round(coalesce(CASE WHEN k1 % 7 <> 0 THEN throughput_kbps END, m.t), 4) AS throughput_kbps,
   CAST(coalesce(CASE WHEN k1 % 11 <> 0 THEN chunk_size_kb END, m.c) AS DOUBLE) AS chunk_size_kb
 FROM bench_log, (SELECT quantile_cont(throughput_kbps, 0.5) FILTER (WHERE k1 % 7 <> 0) AS t,
   quantile_cont(chunk_size_kb, 0.5) FILTER (WHERE k1 % 11 <> 0) AS c FROM bench_log) m""")
 def _(t: Tables):
     return rounded(clean.impute(with_holes(t), ["throughput_kbps", "chunk_size_kb"], "median")
-                   .select("k1", "k2", "k3", "throughput_kbps", "chunk_size_kb"))
+                   .select("k1", "k2", "k3", "throughput_kbps", "chunk_size_kb"), 4)
 
 
 @query("cln_impute_mean", """
@@ -270,13 +270,13 @@ def _(t: Tables):
 
 
 @query("prj_units", """
-SELECT k1, k2, k3, round(file_size / 1024.0e0, 6) AS "file_size_KB", round(chunk_size / 1024.0e0, 6) AS "chunk_size_KB",
-  round(throughput_mbps * 1024, 6) AS "throughput_KBps", round(avg_read_size / 1024, 6) AS "avg_read_KB",
-  round(max_write_size / 1024.0e0, 6) AS "max_write_KB", read_count AS read_ops, write_count AS write_ops
+SELECT k1, k2, k3, file_size / 1024.0e0 AS "file_size_KB", chunk_size / 1024.0e0 AS "chunk_size_KB",
+  throughput_mbps * 1024 AS "throughput_KBps", avg_read_size / 1024 AS "avg_read_KB",
+  max_write_size / 1024.0e0 AS "max_write_KB", read_count AS read_ops, write_count AS write_ops
 FROM v1""")
 def _(t: Tables):
-    return rounded(clean.normalise_units(t.v1).select(
-        "k1", "k2", "k3", "file_size_KB", "chunk_size_KB", "throughput_KBps", "avg_read_KB", "max_write_KB", "read_ops", "write_ops"))
+    return clean.normalise_units(t.v1).select(
+        "k1", "k2", "k3", "file_size_KB", "chunk_size_KB", "throughput_KBps", "avg_read_KB", "max_write_KB", "read_ops", "write_ops")
 
 
 @query("prj_defaults", """
