@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, functions as F
 
@@ -56,37 +57,33 @@ def round_chunk(size: Column, low: int = MIN_CHUNK_KB, high: int = MAX_CHUNK_KB)
     return clamp((F.bround(kb / 128) * 128).cast("bigint"), low, high)
 
 
-def tier_candidates(file_size_kb: Column, current_kb: Column) -> Column:
-    """Candidate chunk sizes for one file, in the order in which ties are resolved.
+def tier_slots(file_size_kb: Column, current_kb: Column) -> list[Column]:
+    """The candidate chunk sizes of one file as columns, null where a slot holds none.
 
-    The current size joins a list that lacks it, which is then sorted. Sizes above the file size drop
-    out, so the array can be empty.
+    A tier's list ends in the file size, and sizes above that are no candidates, so what remains is
+    ascending: ties go to the smaller chunk. The last slot is the current size if the list lacks it.
     """
-    def tier(sizes, cap):
-        fixed = [F.lit(s).cast("double") for s in sizes]
-        return F.array(*fixed, F.least(file_size_kb, F.lit(cap)).cast("double"))
-
-    *bounded, (_, last_sizes, last_cap) = SIZE_TIERS
-    chosen = None
-    for below, sizes, cap in bounded:
-        chosen = (F if chosen is None else chosen).when(file_size_kb < below, tier(sizes, cap))
-    base = chosen.otherwise(tier(last_sizes, last_cap))
+    def by_tier(values):
+        *bounded, last = values
+        chosen = F
+        for (below, _, _), value in zip(SIZE_TIERS, bounded):
+            chosen = chosen.when(file_size_kb < below, value)
+        return chosen.otherwise(last)
+
+    longest = max(len(sizes) for _, sizes, _ in SIZE_TIERS)
+    fixed = [by_tier([F.lit(sizes[i] if i < len(sizes) else None).cast("double") for _, sizes, _ in SIZE_TIERS])
+             for i in range(longest)]
+    end = F.least(file_size_kb, by_tier([F.lit(cap) for _, _, cap in SIZE_TIERS])).cast("double")
+    listed = [*fixed, end]
     current = current_kb.cast("double")
-    whole = F.floor(current_kb).cast("double")
-    full = F.when(F.array_contains(base, current), base).otherwise(F.array_sort(F.array_append(base, whole)))
-    return F.filter(full, lambda c: c <= file_size_kb)
-
+    missing = reduce(and_, [F.coalesce(c != current, F.lit(True)) for c in listed])
+    own = F.when(missing, F.floor(current_kb).cast("double"))
+    return [F.when(c <= file_size_kb, c) for c in (*listed, own)]
 
-def score_array(candidates: Column, score: Callable[[Column], Column]) -> Column:
-    """Array of ``(p, neg_pos, chunk)``; its ``array_max`` is the first best candidate."""
-    return F.transform(
-        candidates,
-        lambda c, i: F.struct(score(c).alias("p"), (-i).alias("neg_pos"), c.alias("chunk")))
 
-
-def probability_of(scored: Column, chunk: Column) -> Column:
-    """Score of the first candidate equal to ``chunk``, null when it is no candidate."""
-    return F.try_element_at(F.filter(scored, lambda s: s["chunk"] == chunk), F.lit(1))["p"]
+def tier_candidates(file_size_kb: Column, current_kb: Column) -> Column:
+    """The same candidates as an ascending array, empty when none fits."""
+    return F.array_sort(F.array_compact(F.array(*tier_slots(file_size_kb, current_kb))))
 
 
 def decide(file_size_kb: Column, current_kb: Column, best_kb: Column, p_current: Column, p_best: Column) -> Column:

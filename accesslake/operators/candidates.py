@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.sizing import decide, probability_of, score_array, tier_candidates
+from ..functions.sizing import decide, tier_slots
 
 TIE = 1e-4
 # Longer candidate lists are expanded slice by slice, so no plan holds an endless literal.
@@ -36,13 +36,6 @@ def expand_candidates(df: DataFrame, candidates: Sequence[float], column: str =
     return reduce(DataFrame.unionByName, parts)
 
 
-def best_of(scored: Column, tie: float = TIE) -> Column:
-    """Of an array of (p, chunk): the highest p, and the largest chunk whose p is within ``tie`` of it."""
-    p = F.array_max(F.transform(scored, lambda s: s["p"]))
-    near = F.filter(scored, lambda s: p - s["p"] < tie)
-    return F.struct(p.alias("p"), F.array_max(F.transform(near, lambda s: s["chunk"])).alias("chunk"))
-
-
 def best_candidate(scored: DataFrame, keys: Sequence[str], chunk: str = "chunk_size_kb", p: str = "p",
                    tie: float = TIE) -> DataFrame:
     """Per row key: best p and chosen chunk out of expanded and scored rows.
@@ -50,19 +43,23 @@ def best_candidate(scored: DataFrame, keys: Sequence[str], chunk: str = "chunk_s
     ``keys`` identify the row before expansion (carry further columns in ``keys`` as well). All
     candidates of a row sit next to each other, so the map-side step already folds them into one.
     """
-    gathered = scored.groupBy(*keys).agg(F.collect_list(F.struct(F.col(p).alias("p"), F.col(chunk).alias("chunk"))).alias("_c"))
-    best = best_of(F.col("_c"), tie)
-    return gathered.select(*keys, best["chunk"].alias("optimal_chunk"), best["p"].alias("confidence"))
+    pair = F.struct(F.col(p).alias("p"), F.col(chunk).alias("chunk"))
+    gathered = scored.groupBy(*keys).agg(F.collect_list(pair).alias("_c"), F.max(p).alias("confidence"))
+    near = F.filter("_c", lambda s: F.col("confidence") - s["p"] < tie)
+    return gathered.select(*keys, F.array_max(F.transform(near, lambda s: s["chunk"])).alias("optimal_chunk"), "confidence")
 
 
 def best_candidate_inline(df: DataFrame, candidates: Sequence[float], score: Callable[[Column], Column],
                           tie: float = TIE) -> DataFrame:
-    """As ``best_candidate`` for a score that is a column expression: no expansion, no shuffle."""
-    chunks = F.array(*[F.lit(float(c)) for c in candidates])
-    scored = F.transform(chunks, lambda c: F.struct(score(c).alias("p"), c.alias("chunk")))
-    best = best_of(scored, tie)
-    return (df.withColumn("_b", best).withColumn("optimal_chunk", F.col("_b.chunk"))
-            .withColumn("confidence", F.col("_b.p")).drop("_b"))
+    """As ``best_candidate`` for a score that is a column expression: no expansion, no shuffle.
+
+    Every candidate's score is a column of its own, so the choice is generated code without arrays.
+    """
+    names = {f"_p{i}": F.lit(float(c)) for i, c in enumerate(candidates)}
+    scored = df.withColumns({n: score(c) for n, c in names.items()})
+    best = scored.withColumn("confidence", F.greatest(*names) if len(names) > 1 else F.col("_p0"))
+    near = [F.when(F.col("confidence") - F.col(n) < tie, c) for n, c in names.items()]
+    return best.withColumn("optimal_chunk", F.greatest(*near) if len(near) > 1 else near[0]).drop(*names)
 
 
 def argmax_candidate(scored: DataFrame, keys: Sequence[str], chunk: str = "chunk", p: str = "p",
@@ -76,13 +73,16 @@ def argmax_candidate(scored: DataFrame, keys: Sequence[str], chunk: str = "chunk
 def decide_inline(df: DataFrame, score: Callable[[Column], Column], size: str = "file_size_kb",
                   current: str = "chunk_size_kb") -> DataFrame:
     """Tiered candidates, their scores and the decision for each row, all within the row."""
-    scored = score_array(tier_candidates(F.col(size), F.col(current)), score)
-    staged = df.withColumn("_s", scored).withColumn("_b", F.array_max("_s"))
-    return staged.withColumns({
-        "best_chunk": F.col("_b.chunk"), "best_p": F.col("_b.p"),
-        "current_p": probability_of(F.col("_s"), F.col(current)),
-    }).withColumn("optimal_chunk", decide(F.col(size), F.col(current), F.col("best_chunk"),
-                                          F.col("current_p"), F.col("best_p"))).drop("_s", "_b")
+    slots = tier_slots(F.col(size), F.col(current))
+    chunks, ps = [f"_c{i}" for i in range(len(slots))], [f"_p{i}" for i in range(len(slots))]
+    scored = (df.withColumns(dict(zip(chunks, slots)))
+              .withColumns({p: F.when(F.col(c).isNotNull(), score(F.col(c))) for p, c in zip(ps, chunks)})
+              .withColumn("best_p", F.greatest(*ps)))
+    own = [F.when(F.col(c) == F.col(current), F.col(p)) for p, c in zip(ps, chunks)]
+    best = [F.when(F.col(p) == F.col("best_p"), F.col(c)) for p, c in zip(ps, chunks)]
+    chosen = scored.withColumns({"best_chunk": F.least(*best), "current_p": F.coalesce(*own)}).drop(*chunks, *ps)
+    return chosen.withColumn("optimal_chunk", decide(
+        F.col(size), F.col(current), F.col("best_chunk"), F.col("current_p"), F.col("best_p")))
 
 
 def most_confident(predictions: DataFrame, order: Sequence[str]) -> DataFrame:

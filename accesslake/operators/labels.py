@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import join_on, one_row
 from .quantiles import (
-    HOT_VALUES, exact_quantiles, global_quantile, quantiles_of_counts, stored_counts, value_counts, values_at_ranks)
+    HOT_VALUES, exact_quantiles, global_quantile, quantiles_of_counts, stored_counts, values_at_ranks)
 from ..functions.sizing import LARGE_FILE_KB, access_band, combination
 
 QUANTILE = 0.65
@@ -30,8 +30,7 @@ def label_ot(df: DataFrame, q: float = QUANTILE, size: str = "file_size_kb", thr
     keys = list(keys or (size, "access_count_label"))
     counts = stored_counts(banded.withColumn(throughput, F.col(throughput).cast("double")), keys, throughput)
     limits = quantiles_of_counts(counts, keys, {"_limit": q}, "_rows", hot_values)
-    everywhere = value_counts(counts, [], "_v", weight="_n")
-    overall = one_row(quantiles_of_counts(everywhere, [], {"limit": q}, hot_values=hot_values))["limit"]
+    overall = one_row(quantiles_of_counts(counts, [], {"limit": q}, hot_values=hot_values))["limit"]
     enough = F.when(F.col("_rows") >= min_rows, F.col("_limit"))
     reached = F.round(throughput, DECIMALS) >= F.round(F.coalesce(enough, overall), DECIMALS)
     return (join_on(banded, limits, keys, "left")
@@ -80,10 +79,9 @@ def balance_labels(df: DataFrame, label: str, throughput: str, order: str) -> Da
 
 def _value_at(df: DataFrame, value: str, rank: int):
     """The value at one 0-based ascending rank over all rows."""
-    counts = stored_counts(df, [], value).withColumn("_all", F.lit(1))
-    wanted = df.sparkSession.range(1).select(
-        F.lit(1).alias("_all"), F.array(F.lit(rank).cast("bigint")).alias("_ranks"))
-    return values_at_ranks(counts, ["_all"], wanted).first()["_v"]
+    counts = stored_counts(df, [], value)
+    target = counts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("_rank", F.lit(rank).cast("bigint"))
+    return values_at_ranks(counts, [], target).first()["_v"]
 
 
 def label_optimal(df: DataFrame, q: float = QUANTILE, order: str | None = None, min_rows: int = 3,

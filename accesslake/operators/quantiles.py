@@ -2,9 +2,10 @@
 
 The rows are reduced once to (group, value, count), with map-side combine, and that table is stored in
 the shared work folder: the input is evaluated one time, whatever follows. A group with few distinct
-values goes to the built-in ``percentile``. A group with many is never brought into one task: its
-values are spread over equal-width buckets between the group's own minimum and maximum, bucket counts
-show which bucket holds the wanted rank, and that bucket alone is split again until it is small.
+values goes to the built-in ``percentile``. A group with many is never brought into one task: rank
+selection narrows the value range that holds the wanted rank, by counting rows per equal-width bucket
+of the range, until few values are left in it. Each step reads the stored counts against a table with
+one row per hot group and rank; only bucket counts are shuffled.
 
 The functions run jobs when called; what they return is lazy over stored tables.
 """
@@ -19,19 +20,15 @@ from .common import join_on
 from ..session import materialise
 
 # Most distinct values of one group that one task may hold.
-HOT_VALUES = 1_000_000
+HOT_VALUES = 200_000
 FANOUT = 4096
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """(keys, _v, _n): how often each non-null value occurs in each group."""
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(n.alias("_n"))
-
-
 def stored_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``value_counts`` as a stored table, for several quantiles over the same rows."""
-    return materialise(value_counts(df, keys, value), "value-counts")
+    """(keys, _v, _n) as a stored table: how often each non-null value occurs in each group."""
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    return materialise(counts, "value-counts")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
@@ -46,91 +43,106 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
 
 def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float],
                         count_as: str | None = None, hot_values: int = HOT_VALUES) -> DataFrame:
-    """As ``exact_quantiles`` from a stored (keys, _v, _n) table."""
+    """As ``exact_quantiles`` from a stored table with the keys, ``_v`` and ``_n``.
+
+    The keys may be fewer than those the table was counted by: equal values then occur in several rows.
+    """
     keys, points = list(keys), [float(q) for q in quantiles.values()]
-    grouping = keys or ["_all"]
-    if not keys:
-        counts = counts.withColumn("_all", F.lit(1))
-    sizes = counts.groupBy(*grouping).agg(F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_t"))
-    hot = sizes.where(F.col("_d") > hot_values)
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_t"),
+                                      F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # There are at most (rows of the table / hot_values) such groups. Storing them tells the optimizer
+    # their true size before it chooses how to join.
+    hot = materialise(sizes.where(F.col("_d") > hot_values), "hot-groups")
     columns = [F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)]
     result = [*keys, *columns, *([F.col("_t").alias(count_as)] if count_as else [])]
-
     if hot.isEmpty():
-        return _percentiles(counts, grouping, points).select(*result)
-    cold = join_on(counts, hot, grouping, "left_anti")
-    return (_percentiles(cold, grouping, points)
-            .unionByName(_selected(join_on(counts, hot, grouping, "left_semi"), grouping, hot, points, hot_values))
-            .select(*result))
+        return _percentiles(counts, keys, points).select(*result)
+    large = _selected(counts, keys, hot, points, hot_values).select(*result)
+    if not keys:
+        return large
+    return _percentiles(join_on(counts, hot, keys, "left_anti"), keys, points).select(*result).unionByName(large)
 
 
-def _percentiles(counts: DataFrame, grouping: Sequence[str], points: Sequence[float]) -> DataFrame:
-    return counts.groupBy(*grouping).agg(
+def _percentiles(counts: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
+    return counts.groupBy(*keys).agg(
         F.percentile("_v", F.array(*[F.lit(q) for q in points]), F.col("_n")).alias("_q"), F.sum("_n").alias("_t"))
 
 
-def _selected(counts: DataFrame, grouping: Sequence[str], hot: DataFrame, points: Sequence[float],
+def _selected(counts: DataFrame, keys: Sequence[str], hot: DataFrame, points: Sequence[float],
               hot_values: int) -> DataFrame:
     """The quantiles of groups too large for one task, by rank selection."""
     position = [F.lit(q) * (F.col("_t") - 1) for q in points]
     ranks = F.array_distinct(F.array(*[f(p).cast("bigint") for p in position for f in (F.floor, F.ceil)]))
-    found = values_at_ranks(counts, grouping, hot.select(*grouping, ranks.alias("_ranks")), hot_values)
+    found = values_at_ranks(counts, keys, hot.select("*", F.explode(ranks).alias("_rank")), hot_values)
     # At most two ranks per quantile.
-    by_rank = found.groupBy(*grouping).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
 
     def between(p: Column) -> Column:
         low, high = F.floor(p).cast("bigint"), F.ceil(p).cast("bigint")
         at = F.col("_at")
         return F.when(low == high, at[low]).otherwise((high - p) * at[low] + (p - low) * at[high])
 
-    return join_on(hot, by_rank, grouping).select(*grouping, F.array(*[between(p) for p in position]).alias("_q"), "_t")
+    known = join_on(hot, by_rank, keys) if keys else hot.withColumn("_at", by_rank.scalar())
+    return known.select(*keys, F.array(*[between(p) for p in position]).alias("_q"), "_t")
 
 
-def values_at_ranks(counts: DataFrame, keys: Sequence[str], wanted: DataFrame, hot_values: int = HOT_VALUES,
+def values_at_ranks(counts: DataFrame, keys: Sequence[str], targets: DataFrame, hot_values: int = HOT_VALUES,
                     fanout: int = FANOUT) -> DataFrame:
-    """(keys, _rank, _v): the value at each 0-based ascending rank of the array ``wanted._ranks``.
+    """(keys, _rank, _v): the value at each 0-based ascending rank.
 
-    ``counts`` is a stored (keys, _v, _n) table. Each round splits every group between its own extremes,
-    so its extremes fall apart and it shrinks; the rounds end when no group has more than ``hot_values``
-    distinct values left.
+    ``counts`` is a stored table with the keys, ``_v`` and ``_n``; ``targets`` has one row per group and
+    ``_rank`` with the group's extremes ``_lo`` and ``_hi``. Each round's buckets part the extremes of
+    the range, so every range shrinks; the rounds end when all are single values or small.
     """
     group = [*keys, "_rank"]
-    targets = wanted.select(*keys, F.explode("_ranks").alias("_rank"))
-    rows = join_on(counts.select(*keys, "_v", "_n"), targets, keys).withColumn("_base", F.lit(0).cast("bigint"))
+    targets = materialise(
+        targets.select(*group, "_lo", "_hi", F.lit(0).cast("bigint").alias("_base")), "rank-selection")
     while True:
-        spans = rows.groupBy(*group, "_base").agg(
-            F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        targets = materialise(_bucket_of_rank(counts, keys, targets, fanout), "rank-selection")
         # One number reaches the driver.
-        largest = spans.agg(F.max("_d")).first()[0]
+        largest = targets.where(F.col("_lo") < F.col("_hi")).agg(F.max("_d")).first()[0]
         if largest is None or largest <= hot_values:
             break
-        rows = materialise(_bucket_of_rank(rows, group, spans, fanout), "rank-selection")
-    before = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_base") + F.sum("_n").over(before)
-    return (rows.withColumn("_upto", upto)
-            .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
-            .select(*group, "_v"))
+    settled = targets.where(F.col("_lo") == F.col("_hi")).select(*group, F.col("_lo").alias("_v"))
+    rows = _within(counts, keys, targets.where(F.col("_lo") < F.col("_hi")))
+    return settled.unionByName(_at_rank(rows, group, "_v", "_n").select(*group, "_v"))
+
 
+def _within(counts: DataFrame, keys: Sequence[str], targets: DataFrame) -> DataFrame:
+    """The counted rows inside each target's range, with the target's columns."""
+    rows = counts.select(*keys, "_v", "_n")
+    if keys:
+        joined = join_on(rows, targets, keys)
+    else:
+        # Without groups there are but two targets per quantile.
+        fields = targets.schema.fields
+        literals = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in targets.collect()]
+        kind = f"array<{targets.schema.simpleString()}>"
+        joined = rows.select("*", F.inline(F.array(*literals).cast(kind)))
+    return joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
-def _bucket_of_rank(rows: DataFrame, group: Sequence[str], spans: DataFrame, fanout: int) -> DataFrame:
-    """Of each group only the bucket that holds its rank, with the count of all rows before it.
+
+def _bucket_of_rank(counts: DataFrame, keys: Sequence[str], targets: DataFrame, fanout: int) -> DataFrame:
+    """The targets with their range narrowed to the bucket that holds the rank.
 
     Minimum, maximum and counts do not depend on task order, so a recomputed task gives the same buckets.
     """
     low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
     share = F.try_divide(F.col("_v").cast("double") - low, high - low)
     bucket = F.coalesce(F.least(F.floor(share * fanout), F.lit(fanout - 1)), F.lit(0)).cast("int")
-    placed = join_on(rows, spans.select(*group, "_lo", "_hi"), group).withColumn("_b", bucket).drop("_lo", "_hi")
-
-    totals = placed.groupBy(*group, "_base", "_b").agg(F.sum("_n").alias("_bn"))
-    # At most ``fanout`` rows per group reach this window.
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_base") + F.sum("_bn").over(before)
-    holding = (totals.withColumn("_upto", upto)
-               .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_bn")))
-               .select(*group, "_b", (F.col("_upto") - F.col("_bn")).alias("_from")))
-    return (join_on(placed.drop("_base"), holding, [*group, "_b"])
-            .withColumnRenamed("_from", "_base").select(*group, "_v", "_n", "_base"))
+    group = [*keys, "_rank"]
+    totals = (_within(counts, keys, targets).groupBy(*group, "_base", bucket.alias("_b"))
+              .agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    # At most ``fanout`` rows per group and rank reach the window.
+    held = _at_rank(totals, group, "_b", "_bn")
+    return held.select(*group, "_lo", "_hi", (F.col("_upto") - F.col("_bn")).alias("_base"), "_d")
+
+
+def _at_rank(rows: DataFrame, group: Sequence[str], order: str, n: str) -> DataFrame:
+    """Of each group the row in which the running count, from ``_base`` on, passes ``_rank``."""
+    so_far = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.withColumn("_upto", F.col("_base") + F.sum(n).over(so_far))
+    return counted.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col(n)))
 
 
 def group_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.65,

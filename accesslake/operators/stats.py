@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import combinations_with_replacement
 from operator import or_
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -56,41 +56,50 @@ def split_outliers(df: DataFrame, columns: Sequence[str], z: float = OUTLIER_Z)
     return marked.where(~F.col("_outlier")).drop("_outlier"), marked.where("_outlier").drop("_outlier")
 
 
+def _centred_sums(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row: ``n`` and, per pair, the sum of products of the columns less their means (``x|y``).
+
+    Two narrow passes of plain sums: as stable as running covariances, and the sums stay inside
+    generated code where many covariances do not. A constant column centres to exactly 0.
+    """
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    centre = one_row(typed.agg(*[
+        F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in columns]))
+    centred = typed.select(*[(F.col(c) - centre[c]).alias(c) for c in columns])
+    return centred.agg(F.count(F.lit(1)).alias("n"),
+                       *[F.sum(F.col(x) * F.col(y)).alias(f"{x}|{y}") for x, y in pairs])
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature_x, feature_y, r) for every ordered pair, in one pass; null where a column is constant.
+    """(feature_x, feature_y, r) for every ordered pair; null where a column is constant.
 
     Columns must be complete. The diagonal is 1, as is usual, unless the column is constant.
     """
     columns = list(columns)
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sums = typed.agg(
-        F.struct(*[F.stddev_pop(c).alias(c) for c in columns]).alias("s"),
-        *[F.covar_pop(x, y).alias(f"c_{i}_{j}")
-          for (i, x), (j, y) in combinations(enumerate(columns), 2)])
+    sums = _centred_sums(df, columns, list(combinations_with_replacement(columns, 2)))
     cells = []
     for i, x in enumerate(columns):
         for j, y in enumerate(columns):
-            spread = F.col("s")[x] * F.col("s")[y]
-            r = F.try_divide(F.col(f"c_{min(i, j)}_{max(i, j)}"), spread) if i != j else F.try_divide(spread, spread)
-            cells.append(F.struct(F.lit(x).alias("feature_x"), F.lit(y).alias("feature_y"), r.alias("r")))
+            first, second = (x, y) if i <= j else (y, x)
+            spread = F.sqrt(F.col(f"{x}|{x}")) * F.sqrt(F.col(f"{y}|{y}"))
+            cells.append(F.struct(F.lit(x).alias("feature_x"), F.lit(y).alias("feature_y"),
+                                  F.try_divide(F.col(f"{first}|{second}"), spread).alias("r")))
     return sums.select(F.inline(F.array(*cells)))
 
 
 def redundant_pairs(matrix: DataFrame, threshold: float = REDUNDANT_R) -> DataFrame:
-    """Each unordered pair once whose correlation is strong but not exactly one."""
-    return matrix.where((F.col("feature_x") < F.col("feature_y"))
-                        & (F.abs("r") > threshold) & (F.abs("r") < 1.0))
+    """Each unordered pair once whose correlation is strong but, at nine decimals, not one."""
+    strength = F.round(F.abs("r"), 9)
+    return matrix.where((F.col("feature_x") < F.col("feature_y")) & (strength > threshold) & (strength < 1.0))
 
 
 def f_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """(feature, f_score) of the univariate regression of ``target`` on each column."""
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, target])])
-    sums = typed.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("st"),
-                     *[e for i, c in enumerate(columns) for e in (
-                         F.covar_pop(c, target).alias(f"c{i}"), F.stddev_pop(c).alias(f"s{i}"))])
+    pairs = [(target, target), *[p for c in columns for p in ((c, c), (c, target))]]
+    sums = _centred_sums(df, list(dict.fromkeys([*columns, target])), pairs)
     cells = []
-    for i, c in enumerate(columns):
-        r2 = F.try_divide(F.pow(F.col(f"c{i}"), 2.0), F.pow(F.col(f"s{i}") * F.col("st"), 2.0))
+    for c in columns:
+        r2 = F.try_divide(F.pow(F.col(f"{c}|{target}"), 2.0), F.col(f"{c}|{c}") * F.col(f"{target}|{target}"))
         score = F.try_divide(r2, 1 - r2) * (F.col("n") - 2)
         cells.append(F.struct(F.lit(c).alias("feature"), score.alias("f_score")))
     return sums.select(F.inline(F.array(*cells)))

@@ -134,15 +134,16 @@ def _(t: Tables):
 
 
 CORR_SQL = " UNION ALL ".join(
-    f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, round(corr({x}, {y}), 6) AS r FROM bench_log" for x in NUMERIC for y in NUMERIC)
+    f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, corr({x}, {y}) AS r FROM bench_log" for x in NUMERIC for y in NUMERIC)
 
 
-@query("agg_corr_matrix", CORR_SQL)
+@query("agg_corr_matrix", f"SELECT feature_x, feature_y, round(r, 6) AS r FROM ({CORR_SQL})")
 def _(t: Tables):
     return rounded(stats.corr_matrix(t.bench_log, NUMERIC))
 
 
-@query("agg_corr_pairs", f"SELECT * FROM ({CORR_SQL}) WHERE feature_x < feature_y AND abs(r) > 0.85 AND abs(r) < 1")
+@query("agg_corr_pairs", f"""
+SELECT feature_x, feature_y, round(r, 6) AS r FROM ({CORR_SQL}) WHERE feature_x < feature_y AND round(abs(r), 9) > 0.85 AND round(abs(r), 9) < 1""")
 def _(t: Tables):
     return rounded(stats.redundant_pairs(stats.corr_matrix(t.bench_log, NUMERIC)))
 

@@ -430,10 +430,10 @@ def _(t: Tables):
 
 
 @query("set_union_rw", """
-SELECT trial_id, model_type, 'read' AS operation, round(read_speed_pct, 4) AS pct FROM trial_results
-UNION ALL SELECT trial_id, model_type, 'write', round(write_speed_pct, 4) FROM trial_results""")
+SELECT trial_id, model_type, 'read' AS operation, read_speed_pct AS pct FROM trial_results
+UNION ALL SELECT trial_id, model_type, 'write', write_speed_pct FROM trial_results""")
 def _(t: Tables):
-    return rounded(trials.stack_rw(t.trial_results), 4)
+    return trials.stack_rw(t.trial_results)
 
 
 @query("set_melt_chunks", """
