@@ -33,7 +33,12 @@ def change_plan(meta: DataFrame, access: DataFrame, throughput: DataFrame, predi
     predicted = predict(file_features(meta, access, throughput, chosen))
     plan = predicted.select("file_path", F.col("current_chunk_kb").alias("old_chunk_size"),
                             clamp(F.col("optimal_chunk_kb")).cast("bigint").alias("new_chunk_size"), "confidence")
-    return plan if force else plan.where(F.col("old_chunk_size") != F.col("new_chunk_size"))
+    if force:
+        return plan
+    # A filter would be pushed below the scoring with every score written out in it; generating one row
+    # or none keeps each score computed once.
+    changed = F.col("old_chunk_size") != F.col("new_chunk_size")
+    return plan.select(F.inline(F.when(changed, F.array(F.struct(*plan.columns)))))
 
 
 def history_rows(plan: DataFrame, applied_at: str) -> DataFrame:
