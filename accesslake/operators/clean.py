@@ -8,7 +8,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import melt, one_row
+from .common import melt, with_row
 from .quantiles import exact_quantiles
 from ..functions.measures import MIB
 
@@ -54,13 +54,15 @@ def fill_zero(df: DataFrame) -> DataFrame:
 def impute(df: DataFrame, columns: Sequence[str], how: str = "median") -> DataFrame:
     """Nulls become the column's exact median or its mean."""
     if how == "mean":
-        fill = one_row(df.agg(*[F.avg(c).alias(c) for c in columns]))
-        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), fill[c]) for c in columns})
-    medians = exact_quantiles(melt(df, columns), ["column_name"], "value", {"median": 0.5})
-    # One row per column of the table, so the map is small.
-    by_name = one_row(medians.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "median"))).alias("m")))
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.try_element_at(by_name["m"], F.lit(c))) for c in columns})
+        filled = with_row(df, df.agg(*[F.avg(c).alias(c) for c in columns]))
+        known = {c: F.col("_m")[c] for c in columns}
+    else:
+        medians = exact_quantiles(melt(df, columns), ["column_name"], "value", {"median": 0.5})
+        # One row per column of the table, so the map is small.
+        by_name = F.map_from_entries(F.collect_list(F.struct("column_name", "median")))
+        filled = with_row(df, medians.agg(by_name.alias("of")))
+        known = {c: F.try_element_at(F.col("_m.of"), F.lit(c)) for c in columns}
+    return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), known[c]) for c in columns}).drop("_m")
 
 
 def to_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -26,9 +26,9 @@ def melt(df: DataFrame, columns: Sequence[str], name: str = "column_name", value
     return typed.unpivot(list(keep), list(columns), name, value)
 
 
-def one_row(df: DataFrame) -> Column:
-    """The single row of an ungrouped aggregate as a struct column for use in another plan."""
-    return df.select(F.struct(*df.columns)).scalar()
+def with_row(df: DataFrame, row: DataFrame, name: str = "_m") -> DataFrame:
+    """Adds the single row of an ungrouped aggregate as a struct column, through a scalar subquery."""
+    return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
 
 
 def lookback(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:

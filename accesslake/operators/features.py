@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from . import stats
-from .common import melt, one_row
+from .common import melt, with_row
 from .quantiles import exact_quantiles
 from ..functions import measures, paths
 
@@ -60,9 +60,10 @@ def onehot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence[
 
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean 0 and population deviation 1; a constant column becomes 0."""
-    m = one_row(df.agg(*[e for c in columns for e in (
-        F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))]))
-    return df.withColumns({c: (F.col(c) - m[f"{c}_mean"]) / measures.nonzero(m[f"{c}_std"]) for c in columns})
+    moments = df.agg(*[e for c in columns for e in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
+    m = F.col("_m")
+    return with_row(df, moments).withColumns(
+        {c: (F.col(c) - m[f"{c}_mean"]) / measures.nonzero(m[f"{c}_std"]) for c in columns}).drop("_m")
 
 
 def robust_scale(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
@@ -70,16 +71,18 @@ def robust_scale(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
     q = exact_quantiles(melt(df, columns), ["column_name"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, **options)
     # One entry per column of the table.
     entry = F.struct("column_name", F.struct("q2", (F.col("q3") - F.col("q1")).alias("iqr")).alias("v"))
-    by_name = one_row(q.agg(F.map_from_entries(F.collect_list(entry)).alias("m")))["m"]
-    return df.withColumns({c: (F.col(c) - by_name[c]["q2"]) / measures.nonzero(by_name[c]["iqr"]) for c in columns})
+    by_name = F.col("_m.of")
+    return with_row(df, q.agg(F.map_from_entries(F.collect_list(entry)).alias("of"))).withColumns(
+        {c: (F.col(c) - by_name[c]["q2"]) / measures.nonzero(by_name[c]["iqr"]) for c in columns}).drop("_m")
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """To [0, 1]; a constant column becomes 0."""
-    m = one_row(df.agg(*[e for c in columns for e in (
-        F.min(c).cast("double").alias(f"{c}_lo"), F.max(c).cast("double").alias(f"{c}_hi"))]))
-    return df.withColumns(
-        {c: (F.col(c) - m[f"{c}_lo"]) / measures.nonzero(m[f"{c}_hi"] - m[f"{c}_lo"]) for c in columns})
+    extremes = df.agg(*[e for c in columns for e in (
+        F.min(c).cast("double").alias(f"{c}_lo"), F.max(c).cast("double").alias(f"{c}_hi"))])
+    m = F.col("_m")
+    return with_row(df, extremes).withColumns(
+        {c: (F.col(c) - m[f"{c}_lo"]) / measures.nonzero(m[f"{c}_hi"] - m[f"{c}_lo"]) for c in columns}).drop("_m")
 
 
 def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_on, one_row
+from .common import join_on, with_row
 from .quantiles import (
     HOT_VALUES, exact_quantiles, global_quantile, quantiles_of_counts, stored_counts, values_at_ranks)
 from ..functions.sizing import LARGE_FILE_KB, access_band, combination
+from ..session import materialise
 
 QUANTILE = 0.65
 # Throughputs are compared at six decimals: interpolation noise must not flip a label.
@@ -29,14 +30,16 @@ def label_ot(df: DataFrame, q: float = QUANTILE, size: str = "file_size_kb", thr
     banded = with_band(df)
     keys = list(keys or (size, "access_count_label"))
     counts = stored_counts(banded.withColumn(throughput, F.col(throughput).cast("double")), keys, throughput)
-    limits = quantiles_of_counts(counts, keys, {"_limit": q}, "_rows", hot_values)
-    overall = one_row(quantiles_of_counts(counts, [], {"limit": q}, hot_values=hot_values))["limit"]
-    enough = F.when(F.col("_rows") >= min_rows, F.col("_limit"))
-    reached = F.round(throughput, DECIMALS) >= F.round(F.coalesce(enough, overall), DECIMALS)
+    overall = quantiles_of_counts(counts, [], {"limit": q}, hot_values=hot_values)
+    limits = with_row(quantiles_of_counts(counts, keys, {"_limit": q}, "_rows", hot_values), overall)
+    # Stored, so that the join knows how small the thresholds are and need not shuffle the rows.
+    limits = materialise(limits.select(
+        *keys, F.when(F.col("_rows") >= min_rows, F.col("_limit")).otherwise(F.col("_m.limit")).alias("_limit")), "limits")
+    reached = F.round(throughput, DECIMALS) >= F.round("_limit", DECIMALS)
     return (join_on(banded, limits, keys, "left")
             .withColumn(label, F.when(reached, 1).otherwise(0))
             .withColumn("combination", combination(F.col(size), F.col("access_count_label")))
-            .drop("_limit", "_rows"))
+            .drop("_limit"))
 
 
 def prune_labels(df: DataFrame, label: str, path: str = "file_path", size: str = "file_size_kb",
@@ -49,9 +52,10 @@ def prune_labels(df: DataFrame, label: str, path: str = "file_path", size: str =
     sized = df.withColumn("_large", F.col(size) > LARGE_FILE_KB)
     cuts = exact_quantiles(sized.where(F.col(label) == 1), [path, "_large"], chunk, {"_median": 0.5},
                            count_as="_optimal", hot_values=hot_values)
+    cuts = materialise(cuts.where(F.col("_optimal") >= 2), "cuts")
     joined = join_on(sized, cuts, [path, "_large"], "left")
     beyond = F.when(F.col("_large"), F.col(chunk) < F.col("_median")).otherwise(F.col(chunk) > F.col("_median"))
-    loses = (F.col(label) == 1) & (F.col("_optimal") >= 2) & beyond
+    loses = (F.col(label) == 1) & beyond
     return joined.withColumn(label, F.when(loses, 0).otherwise(F.col(label))).drop("_large", "_median", "_optimal")
 
 
@@ -97,7 +101,7 @@ def label_optimal(df: DataFrame, q: float = QUANTILE, order: str | None = None,
 def label_stats(df: DataFrame, label: str = "is_optimal", size: str = "file_size_kb",
                 throughput: str = "throughput_kbps", q: float = QUANTILE) -> DataFrame:
     """Combinations, positives, rows, share of positives and the overall threshold."""
-    overall = one_row(global_quantile(df, throughput, q, "limit"))["limit"]
+    overall = global_quantile(df, throughput, q, "limit").scalar()
     return with_band(df).agg(
         F.count_distinct(F.col(size), F.col("access_count_label")).alias("combinations"),
         F.sum(label).alias("optimal"), F.count(F.lit(1)).alias("total"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .candidates import best_candidate, candidate_list, expand_candidates
 from .clean import impute
-from .common import one_row
+from .common import with_row
 from .evaluate import binary_metrics
 from ..functions.sizing import decide, tier_candidates
 
@@ -48,9 +48,9 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], share: float
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:
     """``weight`` = n / (2 * rows of the row's class)."""
-    c = one_row(df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("ones")))
-    of_class = F.when(F.col(label) == 1, c["ones"]).otherwise(c["n"] - c["ones"])
-    return df.withColumn("weight", F.try_divide(c["n"], 2 * of_class))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("ones"))
+    of_class = F.when(F.col(label) == 1, F.col("_m.ones")).otherwise(F.col("_m.n") - F.col("_m.ones"))
+    return with_row(df, counts).withColumn("weight", F.try_divide(F.col("_m.n"), 2 * of_class)).drop("_m")
 
 
 def fit_rf_stack(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, label: str = "OT", trees: int = 100,

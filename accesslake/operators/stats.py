@@ -9,7 +9,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import melt, one_row
+from .common import melt, with_row
 from .quantiles import exact_quantiles
 
 OUTLIER_Z = 3.0
@@ -31,29 +31,32 @@ def quartiles(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """(bin, low, high, rows) over equal widths between minimum and maximum; the last bin is closed."""
-    span = one_row(df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")))
-    width = (span["hi"] - span["lo"]) / bins
-    place = F.coalesce(F.floor(F.try_divide(F.col(column) - span["lo"], width)), F.lit(0))
-    counts = (df.where(F.col(column).isNotNull())
+    span = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+
+    def width():
+        return (F.col("_m.hi") - F.col("_m.lo")) / bins
+
+    place = F.coalesce(F.floor(F.try_divide(F.col(column) - F.col("_m.lo"), width())), F.lit(0))
+    counts = (with_row(df.where(F.col(column).isNotNull()), span)
               .groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
               .agg(F.count(F.lit(1)).alias("row_count")))
-    return counts.select("bin", (span["lo"] + width * F.col("bin")).alias("low"),
-                         (span["lo"] + width * (F.col("bin") + 1)).alias("high"), "row_count")
+    return with_row(counts, span).select("bin", (F.col("_m.lo") + width() * F.col("bin")).alias("low"),
+                                         (F.col("_m.lo") + width() * (F.col("bin") + 1)).alias("high"), "row_count")
 
 
-def outlier_condition(df: DataFrame, columns: Sequence[str], z: float = OUTLIER_Z):
-    """True where any column lies more than ``z`` population deviations from its mean."""
-    moments = one_row(df.agg(*[e for c in columns for e in (
-        F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))]))
-    far = [F.coalesce(F.abs(F.try_divide(F.col(c) - moments[f"{c}_mean"], moments[f"{c}_std"])) > z, F.lit(False))
+def mark_outliers(df: DataFrame, columns: Sequence[str], z: float = OUTLIER_Z) -> DataFrame:
+    """Adds ``is_outlier``: some column lies more than ``z`` population deviations from its mean."""
+    moments = df.agg(*[e for c in columns for e in (
+        F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
+    far = [F.coalesce(F.abs(F.try_divide(F.col(c) - F.col("_m")[f"{c}_mean"], F.col("_m")[f"{c}_std"])) > z, F.lit(False))
            for c in columns]
-    return reduce(or_, far)
+    return with_row(df, moments).withColumn("is_outlier", reduce(or_, far)).drop("_m")
 
 
 def split_outliers(df: DataFrame, columns: Sequence[str], z: float = OUTLIER_Z) -> tuple[DataFrame, DataFrame]:
     """Rows without an outlier, and the others."""
-    marked = df.withColumn("_outlier", outlier_condition(df, columns, z))
-    return marked.where(~F.col("_outlier")).drop("_outlier"), marked.where("_outlier").drop("_outlier")
+    marked = mark_outliers(df, columns, z)
+    return marked.where(~F.col("is_outlier")).drop("is_outlier"), marked.where("is_outlier").drop("is_outlier")
 
 
 def _centred_sums(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -63,9 +66,8 @@ def _centred_sums(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[s
     generated code where many covariances do not. A constant column centres to exactly 0.
     """
     typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    centre = one_row(typed.agg(*[
-        F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in columns]))
-    centred = typed.select(*[(F.col(c) - centre[c]).alias(c) for c in columns])
+    centre = typed.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in columns])
+    centred = with_row(typed, centre).select(*[(F.col(c) - F.col("_m")[c]).alias(c) for c in columns])
     return centred.agg(F.count(F.lit(1)).alias("n"),
                        *[F.sum(F.col(x) * F.col(y)).alias(f"{x}|{y}") for x, y in pairs])
 

@@ -75,10 +75,13 @@ def live_activity(events: DataFrame, length: str = "24 hours", step: str = "1 ho
     """Accesses per sliding window, by type; works on streams and on tables."""
     if events.isStreaming:
         events = events.withWatermark("access_time", delay)
-    counted = events.groupBy(F.window("access_time", length, step).alias("w")).agg(
+    # Rows are counted per step first, so only the counts are repeated for every window they fall in.
+    per_step = events.groupBy(F.window("access_time", step).alias("s")).agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("access_type") == "read").alias("read_events"),
         F.count_if(F.col("access_type") == "write").alias("write_events"))
+    counted = per_step.groupBy(F.window(F.window_time("s"), length, step).alias("w")).agg(
+        *[F.sum(c).alias(c) for c in ("events", "read_events", "write_events")])
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                           "events", "read_events", "write_events")
 
