@@ -127,8 +127,11 @@ def _bucket_of_rank(counts: DataFrame, keys: Sequence[str], targets: DataFrame,
 
     Minimum, maximum and counts do not depend on task order, so a recomputed task gives the same buckets.
     """
-    low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
-    share = F.try_divide(F.col("_v").cast("double") - low, high - low)
+    def gap(a: str, b: str) -> Column:
+        # Subtracted before the cast: large whole numbers next to each other are one double.
+        return F.coalesce(F.try_subtract(F.col(a), F.col(b)).cast("double"), F.col(a).cast("double") - F.col(b).cast("double"))
+
+    share = F.try_divide(gap("_v", "_lo"), gap("_hi", "_lo"))
     bucket = F.coalesce(F.least(F.floor(share * fanout), F.lit(fanout - 1)), F.lit(0)).cast("int")
     group = [*keys, "_rank"]
     totals = (_within(counts, keys, targets).groupBy(*group, "_base", bucket.alias("_b"))
