@@ -133,12 +133,12 @@ def test_boosted_trees_decide_for_every_row(spark):
     df = planted(spark, 300)
     fit = models.fit_gbt_cv(df, ["file_path"], FEATURES, "OT", folds=3, rounds=5, depth=3)
     assert fit.folds.count() == 3 and fit.folds.agg(F.min("auc")).first()[0] > 0.6
-    # A file of 20 KB is smaller than any candidate.
+    # A file of 20 KB has its own size as the only candidate.
     small = spark.createDataFrame([("tiny", 20, 512)], "file_path string, file_size_kb bigint, chunk_size_kb bigint")
     rows = df.select("file_path", *FEATURES).unionByName(small)
     predicted = models.predict_gbt(rows, fit.model)
     assert predicted.count() == 301
-    assert predicted.where("file_path = 'tiny'").first()["optimal_chunk_kb"] == 64
+    assert predicted.where("file_path = 'tiny'").first()["optimal_chunk_kb"] == 20
 
 
 def test_map_fit_lowers_the_error(spark):
