@@ -7,7 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .bpe import bpe_encode
+from .rangejoin import range_join
+from .sharding import shard_documents
+from .topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +37,38 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
+
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+
+
+@query("op7_topk", f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings WHERE {_SOUND}),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query("op8_near_embeddings", f"""
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings WHERE {_SOUND}),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id
+          WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+    r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+    SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id,
+           vec_id = coalesce(c, vec_id) AS kept
+    FROM embeddings LEFT JOIN c ON a = vec_id""")
+def op8_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with a cosine of 0.9 or more."""
+    return range_join(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards with counts at most one apart."""
+    return shard_documents(table(spark, sf_dir, "documents"), 40)
