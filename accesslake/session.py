@@ -48,3 +48,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored intermediate tables of one job, each of which can be deleted as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, work_dir(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` under a new name and read it back."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def release(self, *names: str) -> None:
+        """Delete the named tables, or all of them. Frames that read them must not be used afterwards."""
+        jvm = self.spark._jvm
+        for path in [f"{self.folder}/{n}" for n in names] or [self.folder]:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
