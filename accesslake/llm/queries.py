@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .jaccard import jaccard_join
 from .rangejoin import range_join
 from .sharding import shard_documents
 from .topk import top_k
@@ -39,6 +40,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
 
 
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and near-duplicate components of every document: five-word shingles, Jaccard 0.75 or more."""
+    return jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 _SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
 
 
