@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .jaccard import jaccard_join
+from .langid import fit, identify
 from .rangejoin import range_join
 from .sharding import shard_documents
 from .topk import top_k
@@ -46,6 +47,15 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = fit(docs.filter(~held_out))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 _SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
 
 
