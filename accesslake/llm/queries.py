@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .jaccard import jaccard_join
 from .langid import fit, identify
+from .quality import score_quality
 from .rangejoin import range_join
 from .sharding import shard_documents
 from .topk import top_k
@@ -89,3 +90,9 @@ def op8_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards with counts at most one apart."""
     return shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site rates, posterior and decision for every document; hosts are sources, paths a source's languages."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
