@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .jaccard import jaccard_join
 from .langid import fit, identify
+from .linedup import dedup_lines
 from .quality import score_quality
 from .rangejoin import range_join
 from .sharding import shard_documents
@@ -48,6 +49,14 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated runs of lines deleted: lines removed, and digest and size of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"),
+                                    F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 @query("op6_language")
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
