@@ -13,6 +13,7 @@ from .bpe import bpe_encode
 from .jaccard import jaccard_join
 from .langid import fit, identify
 from .linedup import dedup_lines
+from .mixing import mixing_rates
 from .quality import score_quality
 from .rangejoin import range_join
 from .sharding import shard_documents
@@ -57,6 +58,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+#: Domains of the labelled table and their target weights.
+TARGETS = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): toxic, junk (of low quality) or clean."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain"))
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rate and copies of every document for the target weights."""
+    return mixing_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 @query("op6_language")
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
