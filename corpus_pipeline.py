@@ -1,15 +1,67 @@
-"""The corpus pipeline: stages that each take documents and return what they keep of them."""
+"""The corpus pipeline: stages that each take documents and return what they keep of them.
+
+1. ``quality``: documents that the quality classifier rejects go.
+2. ``line_dedup``: repeated runs of lines are deleted; documents of which nothing is left go.
+3. ``near_duplicates``: of each group of near-duplicates the document with the smallest id stays.
+4. ``mixing``: documents are kept at the rates that meet the target weights; no document is repeated.
+5. ``encode``: token ids and decoded text are added.
+
+Rows with a null id are judged by their text alone: they pass the stages that link documents. Empty tables pass through. Columns
+beside doc_id, text, lang, source and n_chars are kept up to the last stage; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from accesslake.llm.bpe import bpe_encode
-from accesslake.session import work_dir
+from accesslake.llm.jaccard import jaccard_join
+from accesslake.llm.linedup import dedup_lines
+from accesslake.llm.mixing import mixing_rates
+from accesslake.llm.quality import score_quality
+from accesslake.llm.queries import label_domains
+from accesslake.session import Scratch, work_dir
+
+#: Ids are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Weights of the domains in the corpus: what the labelled table calls toxic is left out.
+TARGETS = {"clean": 0.98, "junk": 0.02, "toxic": 0.0}
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the given ids (column doc_id)."""
+    gone = Scratch(docs.sparkSession, "gone").keep(ids.select("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality is high enough."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_quality(docs, labels, F.col("source"), F.col("lang"))
+    return _without(docs, scored.filter(~F.col("kept")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the runs of lines that stood before; documents that held nothing else go."""
+    cut = dedup_lines(docs)
+    return cut.filter((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn(
+        "n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    joined = jaccard_join(docs)
+    return _without(docs, joined.filter("doc_id != component_id"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that meet the target weights."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rates = mixing_rates(docs, label_domains(labels), TARGETS, max_rate=1.0)
+    return _without(docs, rates.filter("copies = 0"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("encode", encode),
-]
+    ("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("encode", encode)]
 
 #: The stages fit models and walk texts; SQL cannot express them, tests compare them with brute force.
 ORACLE_SQL = None
@@ -28,7 +79,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns; every stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = work_dir(spark, f"pipeline-{uuid.uuid4().hex}")
+    folder = work_dir(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
