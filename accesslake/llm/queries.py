@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from . import html
 from .bpe import bpe_encode
 from .jaccard import jaccard_join
 from .langid import fit, identify
@@ -58,6 +59,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by a labeller learned from a sample of them."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages.select("page_id", "url", "html"), html.fit(pages)).drop("html")
+
+
 #: Domains of the labelled table and their target weights.
 TARGETS = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
 
