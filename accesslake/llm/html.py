@@ -26,9 +26,9 @@ from .shingles import word_hashes
 
 #: Pages that the labeller learns from, on average.
 SAMPLE = 600
-PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN = 96, 24, 7, 24
+PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN = 160, 16, 7, 24
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
-STEPS, BATCH, RATE = 260, 24, 0.01
+STEPS, BATCH, RATE = 320, 24, 0.01
 #: Blocks of a training sequence; longer pages are learned from in pieces. Extraction always reads whole pages.
 PIECE = 120
 #: Characters of HTML, and pages, that are labelled at once.
@@ -179,6 +179,8 @@ _JUNK = [("nav ul li", "short"), ("ul menu li", "short"), ("header div logo", "s
          ("div related ul li", "short"), ("div share", "short"), ("div breadcrumb", "short"), ("div popup p", "long"), ("button", "short"),
          ("div subscribe", "short"), ("div consent p", "long"), ("div promo p", "long"), ("div login form p", "short")]
 
+_NAMED = sorted(CLUTTER - {"head", "title", "meta", "tags", "byline", "author"})
+
 
 def _variant(page: list[tuple[Block, float]], others: list[str], rnd: random.Random) -> list[tuple[Block, float]]:
     """A page with the same article in another container, among other clutter."""
@@ -188,6 +190,8 @@ def _variant(page: list[tuple[Block, float]], others: list[str], rnd: random.Ran
            for k, b in enumerate(article)]
     for _ in range(rnd.randint(2, 7)):
         path, length = rnd.choice(_JUNK)
+        if rnd.random() < 0.5:
+            path, length = f"{rnd.choice(('div', 'div', 'p', 'section', 'ul li', 'aside'))} {rnd.choice(_NAMED)}", rnd.choice(("short", "long"))
         inside = rnd.random() < 0.3
         where = (*shell, *path.split()) if inside else ("html", "body", *path.split())
         run = []
