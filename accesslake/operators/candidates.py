@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import with_row
 from ..functions.sizing import decide, tier_slots
 
 TIE = 1e-4
-# Longer candidate lists are expanded slice by slice, so no plan holds an endless literal.
-SLICE = 1000
 
 
 def candidate_chunks(df: DataFrame, column: str = "chunk_size_kb") -> DataFrame:
@@ -27,13 +25,13 @@ def expand_candidates(df: DataFrame, candidates: Sequence[float], column: str =
                       current: str = "current_chunk") -> DataFrame:
     """Each row once per candidate, the candidate in ``column`` and the old value in ``current``.
 
-    The list is a literal array, so expanding is a narrow step without join or shuffle.
+    The list is one array from a table of one row, so expanding is a narrow step without join or shuffle, and the plan is the same
+    for lists of any length.
     """
-    kind = df.schema[column].dataType
-    renamed = df.withColumnRenamed(column, current)
-    slices = [candidates[i:i + SLICE] for i in range(0, len(candidates), SLICE)]
-    parts = [renamed.withColumn(column, F.explode(F.array(*[F.lit(c).cast(kind) for c in part]))) for part in slices]
-    return reduce(DataFrame.unionByName, parts)
+    kind = df.schema[column].dataType.simpleString()
+    listed = df.sparkSession.createDataFrame([([float(c) for c in candidates],)], "chunks array<double>")
+    renamed = with_row(df.withColumnRenamed(column, current), listed, "_listed")
+    return renamed.withColumn(column, F.explode(F.col("_listed.chunks").cast(f"array<{kind}>"))).drop("_listed")
 
 
 def best_candidate(scored: DataFrame, keys: Sequence[str], chunk: str = "chunk_size_kb", p: str = "p",

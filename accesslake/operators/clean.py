@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .common import melt, with_row
 from .quantiles import exact_quantiles
@@ -148,8 +148,12 @@ def with_default_features(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns({**new, "access_count": total.cast("bigint")})
 
 
-def to_model_columns(features: DataFrame) -> DataFrame:
-    """The path and the ten model columns, in KB and KB/s; the chunk size is filled in per candidate."""
+def to_model_columns(features: DataFrame, chunk_kb: Column | float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
+    """The path and the ten model columns, in KB and KB/s, and the columns to ``keep``.
+
+    ``chunk_kb`` is the current chunk size, where a decision is made against it; models fill in each candidate.
+    """
+    chunk_kb = chunk_kb if isinstance(chunk_kb, Column) else F.lit(chunk_kb)
     return features.select(
         "file_path",
         (F.col("file_size") / 1024).alias("file_size_KB"),
@@ -161,5 +165,6 @@ def to_model_columns(features: DataFrame) -> DataFrame:
         F.col("write_count").alias("write_ops"),
         "access_count",
         (F.col("throughput_mbps") * 1024).alias("throughput_KBps"),
-        F.lit(0.0).alias("chunk_size_KB"),
+        chunk_kb.cast("double").alias("chunk_size_KB"),
+        *keep,
     )

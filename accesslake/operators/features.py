@@ -41,13 +41,9 @@ def ext_onehot(df: DataFrame, path: str = "file_path") -> DataFrame:
     return df.withColumns(paths.extension_flags(paths.extension(F.col(path))))
 
 
-def category_levels(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """Sorted levels of a categorical column; they become columns, so there can only be so many."""
-    levels = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
-              .orderBy(column).limit(most + 1).collect()]
-    if len(levels) > most:
-        raise ValueError(f"{column} has more than {most} levels; they cannot all become columns")
-    return levels
+def category_levels(df: DataFrame, column: str) -> list[str]:
+    """Sorted levels of a categorical column that is to become columns: give ``onehot`` the wanted ones if there are very many."""
+    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
 
 
 def onehot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

@@ -7,19 +7,22 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Imputer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .candidates import best_candidate, candidate_list, expand_candidates
-from .clean import impute
 from .common import with_row
 from .evaluate import binary_metrics
+from .labels import with_band
 from ..functions.sizing import decide, tier_candidates
+from ..session import work_dir
 
 # The features of the bench-log models.
 MODEL_FEATURES = ("file_size_kb", "chunk_size_kb", "access_count", "avg_read_kb", "avg_write_kb",
                   "max_read_kb", "max_write_kb", "read_ops", "write_ops", "throughput_kbps")
+# The forest sees the access band, and not the throughput that its label is computed from.
+RF_FEATURES = (*(f for f in MODEL_FEATURES if f != "throughput_kbps"), "access_count_label")
 TEST_SHARE = 0.25
 METRICS = ("logloss", "accuracy", "precision", "recall", "f1", "auc")
 
@@ -53,19 +56,44 @@ def with_class_weight(df: DataFrame, label: str) -> DataFrame:
     return with_row(df, counts).withColumn("weight", F.try_divide(F.col("_m.n"), 2 * of_class)).drop("_m")
 
 
+def feature_stages(df: DataFrame, features: Sequence[str]) -> list:
+    """Fitted stages from feature columns to one vector. Nulls become the medians of the training rows, which travel along."""
+    filled = [f"_{c}" for c in features]
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    return [Imputer(inputCols=list(features), outputCols=filled, strategy="median").fit(numbers),
+            VectorAssembler(inputCols=filled, outputCol="features")]
+
+
+def model_input(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with the columns that the model reads, as numbers; the access band is derived where it is missing."""
+    features = model.stages[0].getInputCols()
+    if "access_count_label" in features and "access_count_label" not in df.columns:
+        df = with_band(df)
+    return df.withColumns({c: F.col(c).cast("double") for c in features})
+
+
+def without_summary(model, spark: SparkSession):
+    """The same fitted trees, stored and loaded: a training summary would tie them to the session that made them."""
+    path = work_dir(spark, "forest")
+    model.write().overwrite().save(path)
+    return type(model).load(path)
+
+
 def fit_rf_stack(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, label: str = "OT", trees: int = 100,
                  rounds: int = 50, depth: int = 5, seed: int = 42) -> PipelineModel:
     """Balanced forest and boosted trees, and a balanced logistic model over their probabilities.
 
     The labelled rows are cached once for the three fits.
     """
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    data = assembler.transform(with_class_weight(df.withColumn(label, F.col(label).cast("double")), label))
+    prepare = feature_stages(df, features)
+    typed = df.withColumns({c: F.col(c).cast("double") for c in [*features, label]})
+    data = PipelineModel(prepare).transform(with_class_weight(typed, label))
     data = data.select("features", label, "weight").persist()
     try:
         forest = RandomForestClassifier(
             labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
             predictionCol="rf_prediction", probabilityCol="rf_probability", rawPredictionCol="rf_raw").fit(data)
+        forest = without_summary(forest, df.sparkSession)
         boosted = (GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed,
                                  predictionCol="gb_prediction")
                    .setRawPredictionCol("gb_raw").setProbabilityCol("gb_probability").fit(data))
@@ -76,14 +104,15 @@ def fit_rf_stack(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, label:
         stacked = PipelineModel(base).transform(data)
         meta = LogisticRegression(featuresCol="stack", labelCol=label, weightCol="weight",
                                   probabilityCol="probability").fit(stacked)
+        meta = without_summary(meta, df.sparkSession)
     finally:
         data.unpersist()
-    return PipelineModel([assembler, *base, meta])
+    return PipelineModel([*prepare, *base, meta])
 
 
 def with_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``p``, the probability of class 1, and drops the model's inner columns."""
-    scored = model.transform(df)
+    scored = model.transform(model_input(model, df))
     return scored.withColumn("p", vector_to_array("probability")[1]).select(*df.columns, "p")
 
 
@@ -101,17 +130,17 @@ def fit_gbt_cv(df: DataFrame, key: Sequence[str], features: Sequence[str] = MODE
     The model of the fold with the lowest logloss is kept; ``folds`` has one metric row per fold.
     """
     spark = df.sparkSession
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    filled = impute(df, [f for f in features])
-    data = assembler.transform(filled.withColumn("_fold", hash_bucket(key, folds, seed))).select(
+    prepare = feature_stages(df, features)
+    marked = df.withColumn("_fold", hash_bucket(key, folds, seed)).withColumns({c: F.col(c).cast("double") for c in features})
+    data = PipelineModel(prepare).transform(marked).select(
         "features", F.col(label).cast("double").alias(label), "_fold").persist()
     rows, models = [], []
     try:
         for fold in range(folds):
             marked = data.withColumn("_held_out", F.col("_fold") == fold)
-            model = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8,
+            model = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8",
                                   validationIndicatorCol="_held_out", seed=seed).fit(marked)
-            pipeline = PipelineModel([assembler, model])
+            pipeline = PipelineModel([*prepare, model])
             held_out = model.transform(marked.where("_held_out")).select(
                 F.col(label).alias("label"), vector_to_array("probability")[1].alias("p"))
             rows.append({"fold": fold, **binary_metrics(held_out).first().asDict()})
@@ -125,34 +154,37 @@ def fit_gbt_cv(df: DataFrame, key: Sequence[str], features: Sequence[str] = MODE
 
 
 def predict_rf(df: DataFrame, model: PipelineModel, candidates: Sequence[float], key: Sequence[str] = ("file_path",),
-               size: str = "file_size_kb", chunk: str = "chunk_size_kb") -> DataFrame:
-    """Best trained chunk size and its confidence for every row of a unique ``key``."""
-    expanded = expand_candidates(df, candidates, chunk)
-    scored = with_probability(model, expanded)
-    best = best_candidate(scored, [*key, size, "current_chunk"], chunk)
+               size: str = "file_size_kb", chunk: str = "chunk_size_kb", keep: Sequence[str] = ()) -> DataFrame:
+    """Best trained chunk size and its confidence for every row, whether or not others have its ``key``.
+
+    A row's candidates are told from those of equal rows by a number, so every input row comes out once. ``keep`` names further
+    columns to carry along.
+    """
+    expanded = expand_candidates(df.withColumn("_row", F.monotonically_increasing_id()), candidates, chunk)
+    best = best_candidate(with_probability(model, expanded), ["_row", *key, size, "current_chunk", *keep], chunk)
     return best.select(*key, size, F.col("current_chunk").alias("current_chunk_kb"),
-                       F.col("optimal_chunk").alias("optimal_chunk_kb"), "confidence")
+                       F.col("optimal_chunk").alias("optimal_chunk_kb"), "confidence", *keep)
 
 
 def predict_gbt(df: DataFrame, model: PipelineModel, key: Sequence[str] = ("file_path",),
-                size: str = "file_size_kb", chunk: str = "chunk_size_kb") -> DataFrame:
-    """Tiered candidates, model scores and the keep-or-change decision for every row of a unique ``key``.
+                size: str = "file_size_kb", chunk: str = "chunk_size_kb", keep: Sequence[str] = ()) -> DataFrame:
+    """Tiered candidates, model scores and the keep-or-change decision for every row, whether or not others have its ``key``.
 
-    A row of a file too small for any candidate keeps one unscored line, which decides for 64 KB.
+    Every input row comes out once; ``keep`` names further columns to carry along. A row of a file too small for any candidate keeps one unscored line, which decides for 64 KB.
     """
     kind = df.schema[chunk].dataType
-    spread = (df.withColumn("current_chunk", F.col(chunk))
+    spread = (df.withColumns({"current_chunk": F.col(chunk), "_row": F.monotonically_increasing_id()})
               .select("*", F.posexplode_outer(tier_candidates(F.col(size), F.col(chunk))).alias("position", "_c"))
               .withColumn(chunk, F.coalesce(F.col("_c"), F.col("current_chunk")).cast(kind)))
     scored = with_probability(model, spread)
     fits = F.col("_c").isNotNull()
     best = F.max(F.when(fits, F.struct("p", (-F.col("position")).alias("n"), F.col("_c").alias("chunk"))))
     own = F.max(F.when(fits & (F.col("_c") == F.col("current_chunk")), F.col("p")))
-    rows = scored.groupBy(*key, size, "current_chunk").agg(best.alias("_b"), own.alias("current_p"))
+    rows = scored.groupBy("_row", *key, size, "current_chunk", *keep).agg(best.alias("_b"), own.alias("current_p"))
     return rows.select(
         *key, size, F.col("current_chunk").alias("current_chunk_kb"),
         decide(F.col(size), F.col("current_chunk"), F.col("_b.chunk"), F.col("current_p"), F.col("_b.p")).alias("optimal_chunk_kb"),
-        F.col("_b.p").alias("confidence"))
+        F.col("_b.p").alias("confidence"), *keep)
 
 
 def save_model(model: PipelineModel, candidates: Sequence[float], path: str, spark: SparkSession) -> None:

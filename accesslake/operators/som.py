@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.sizing import round_chunk
 
 SMALLEST_SIDE, LARGEST_SIDE = 10, 30
-MAX_UNITS = LARGEST_SIDE * LARGEST_SIDE
 
 
 def map_side(n: int) -> int:
@@ -25,10 +24,8 @@ def map_side(n: int) -> int:
 
 
 def codebook_array(codebook: DataFrame) -> tuple[list, np.ndarray]:
-    """Units (i, j) and their weights, in unit order, after checking the size."""
-    rows = codebook.select("i", "j", "weights").orderBy("i", "j").limit(MAX_UNITS + 1).collect()
-    if len(rows) > MAX_UNITS:
-        raise ValueError(f"a codebook has at most {MAX_UNITS} units")
+    """Units (i, j) and their weights, in unit order; ``fit_som`` bounds how many there are."""
+    rows = codebook.select("i", "j", "weights").orderBy("i", "j").collect()
     return [(r["i"], r["j"]) for r in rows], np.array([r["weights"] for r in rows], dtype="float64")
 
 
@@ -118,7 +115,7 @@ def fit_som(df: DataFrame, vector: str = "vector", epochs: int = 10, side: int |
     spark = df.sparkSession
     data = df.select(F.col(vector).cast("array<double>").alias(vector)).persist()
     try:
-        side = side or map_side(data.count())
+        side = min(side, LARGEST_SIDE) if side else map_side(data.count())
         grid = np.array([(i, j) for i in range(side) for j in range(side)])
         weights = initial_codebook(data, side, vector)
         gap2 = ((grid[:, None, :] - grid[None, :, :]) ** 2).sum(axis=2)

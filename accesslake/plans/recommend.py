@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.measures import human_size, recommend, rw_ratio
 from ..functions.sizing import clamp
-from ..operators.clean import normalise_units, with_default_features
+from ..operators.candidates import best_candidate_inline
+from ..operators.clean import normalise_units, to_model_columns, with_default_features
+from ..operators.models import predict_gbt, predict_rf
 from ..operators.profiles import file_profiles, select_files
 
-# A predictor takes file features and returns file_path, current and optimal chunk in KB, confidence.
+# A predictor takes file features and returns them with current_chunk_kb, optimal_chunk_kb and confidence.
 Predictor = Callable[[DataFrame], DataFrame]
 
 
@@ -49,26 +52,26 @@ def history_rows(plan: DataFrame, applied_at: str) -> DataFrame:
 
 def analyze(features: DataFrame, predict: Predictor) -> DataFrame:
     """Per file: current and optimal chunk, recommendation, and the features that matter, readable."""
-    facts = features.select(
+    predicted = predict(features)
+    return predicted.select(
         "file_path", F.floor(F.col("file_size") / 1024).alias("size_kb"),
         human_size(F.col("file_size")).alias("file_size_text"),
         human_size(F.col("avg_read_size").cast("bigint")).alias("avg_read_text"),
         human_size(F.col("avg_write_size").cast("bigint")).alias("avg_write_text"),
-        "read_count", "write_count", rw_ratio(F.col("read_count"), F.col("write_count")).alias("read_write_ratio"))
-    predicted = predict(features).select("file_path", "current_chunk_kb", "optimal_chunk_kb")
-    return (facts.join(predicted, "file_path")
-            .withColumn("recommendation", recommend(F.col("current_chunk_kb"), F.col("optimal_chunk_kb"))))
+        "read_count", "write_count", rw_ratio(F.col("read_count"), F.col("write_count")).alias("read_write_ratio"),
+        "current_chunk_kb", "optimal_chunk_kb",
+        recommend(F.col("current_chunk_kb"), F.col("optimal_chunk_kb")).alias("recommendation"))
 
 
-def what_if(scenarios: DataFrame) -> DataFrame:
+def what_if(scenarios: DataFrame, stem: str = "/described/file") -> DataFrame:
     """Model input for described files: path, size, mean sizes and counts in, v1 log columns out.
 
-    ``scenarios`` has file_size, read_size, write_size, read_count, write_count and extension.
+    ``scenarios`` has file_size, read_size, write_size, read_count, write_count and extension; ``stem`` is the path before it.
     """
     ext = F.col("extension")
     dotted = F.when((ext == "") | ext.startswith("."), ext).otherwise(F.concat(F.lit("."), ext))
     return scenarios.select(
-        F.concat(F.lit("/dummy/path/file"), dotted).alias("file_path"), "file_size",
+        F.concat(F.lit(stem), dotted).alias("file_path"), "file_size",
         F.lit(1048576).cast("bigint").alias("chunk_size"),
         (F.col("read_count") + F.col("write_count")).alias("access_count"),
         F.col("read_size").alias("avg_read_size"), F.col("write_size").alias("avg_write_size"),
@@ -94,13 +97,26 @@ def batch_predict(log: DataFrame, predict: Predictor) -> DataFrame:
         F.col("optimal_chunk_kb").alias("predicted_chunk_kb"))
 
 
-def closed_form(columns: Sequence[str], score, candidates: Sequence[float]) -> Predictor:
+def closed_form(score, candidates: Sequence[float]) -> Predictor:
     """A predictor out of a score expression: no model, no expansion."""
-    from ..operators.candidates import best_candidate_inline
-
     def predict(df: DataFrame) -> DataFrame:
         best = best_candidate_inline(df, candidates, score)
-        return best.select("file_path", F.col("chunk_size").alias("current_chunk_kb"),
-                           F.col("optimal_chunk").cast("bigint").alias("optimal_chunk_kb"), "confidence", *columns)
+        return best.select(*df.columns, F.col("chunk_size").alias("current_chunk_kb"),
+                           F.col("optimal_chunk").cast("bigint").alias("optimal_chunk_kb"), "confidence")
+
+    return predict
+
+
+def fitted(model: PipelineModel, candidates: Sequence[float] | None = None) -> Predictor:
+    """A predictor out of a fitted model: the forest over its trained candidates or, without any, the boosted trees over tiers.
+
+    File features become model columns, the file's own chunk size among them; the features are carried through the scoring.
+    """
+    def predict(df: DataFrame) -> DataFrame:
+        facts = df.withColumn("_facts", F.struct(*df.columns))
+        rows = to_model_columns(facts, F.col("chunk_size"), keep=["_facts"])
+        rows = rows.toDF(*[c.lower() for c in rows.columns])
+        best = predict_gbt(rows, model, keep=["_facts"]) if candidates is None else predict_rf(rows, model, candidates, keep=["_facts"])
+        return best.select("_facts.*", "current_chunk_kb", "optimal_chunk_kb", "confidence")
 
     return predict

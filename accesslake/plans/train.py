@@ -11,12 +11,12 @@ from ..operators.clean import drop_missing, to_numeric
 from ..operators.evaluate import binary_metrics
 from ..operators.labels import label_optimal, label_ot
 from ..operators.models import (
-    MODEL_FEATURES, BoostedFit, candidate_list, fit_gbt_cv, fit_rf_stack, require_samples, stratified_split,
+    MODEL_FEATURES, RF_FEATURES, BoostedFit, candidate_list, fit_gbt_cv, fit_rf_stack, require_samples, stratified_split,
     with_probability)
 from ..session import materialise
 
 
-def train_rf(log: DataFrame, key: Sequence[str], features: Sequence[str] = MODEL_FEATURES, min_samples: int = 100,
+def train_rf(log: DataFrame, key: Sequence[str], features: Sequence[str] = RF_FEATURES, min_samples: int = 100,
              **settings) -> tuple[PipelineModel, list[float], DataFrame]:
     """Label, split and fit the stacked forest: model, candidate chunks, hold-out metrics.
 
@@ -32,7 +32,11 @@ def train_rf(log: DataFrame, key: Sequence[str], features: Sequence[str] = MODEL
 
 def train_gbt(log: DataFrame, key: Sequence[str], features: Sequence[str] = MODEL_FEATURES, min_samples: int = 100,
               **settings) -> BoostedFit:
-    """Label with pruning and fit the boosted trees over folds."""
+    """Label with pruning and balancing, and fit the boosted trees over folds.
+
+    A log in which no run, or every run, is optimal is balanced by throughput; ``key`` tells rows of equal throughput apart.
+    """
     clean = drop_missing(log, ["file_size_kb", "chunk_size_kb", "throughput_kbps"])
-    labelled = materialise(label_optimal(require_samples(clean, min_samples)), "gbt-labels")
+    ordered = require_samples(clean, min_samples).withColumn("_order", F.xxhash64(*key))
+    labelled = materialise(label_optimal(ordered, order="_order").drop("_order"), "gbt-labels")
     return fit_gbt_cv(labelled, key, features, **settings)

@@ -33,11 +33,13 @@ def build_session(app: str = "accesslake", master: str | None = None, **settings
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (local tests) is a
-    temporary folder chosen.
+    The folder comes from ``spark.checkpoint.dir``. Only on a local master may that be unset: a temporary folder of this machine
+    is then chosen. Elsewhere that is an error, since executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="accesslake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/accesslake/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -103,45 +104,58 @@ def planted(t: Tables) -> DataFrame:
     return t.bench_log.withColumn("throughput_kbps", 60000 + fit + F.col("throughput_kbps") / 20)
 
 
-MODEL_INPUT = ("file_size_kb", "chunk_size_kb", "access_count", "avg_read_kb", "avg_write_kb", "read_ops", "write_ops")
-SMALL = {"trees": 10, "rounds": 5, "depth": 5}
+MODEL_INPUT = models.RF_FEATURES
+GBT_INPUT = tuple(c for c in models.MODEL_FEATURES if c != "throughput_kbps")
+# Rounds of the boosted trees: a round is a job of its own, and few do for the planted signal.
+ROUNDS = 10
 
 
-@query("ml_rf_stack")
+@query("ml_rf_stack", """
+SELECT count(DISTINCT chunk_size_kb)::INT AS candidates, true AS separates, true AS in_range FROM bench_log""")
 def _(t: Tables):
-    _, chunks, metrics = train.train_rf(planted(t), KEY, MODEL_INPUT, **SMALL)
-    return metrics.withColumn("candidates", F.lit(len(chunks)))
+    _, chunks, metrics = train.train_rf(planted(t), KEY, MODEL_INPUT, rounds=ROUNDS)
+    inside = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "auc")]
+    return metrics.select(F.lit(len(chunks)).alias("candidates"), (F.col("auc") > 0.8).alias("separates"), reduce(and_, inside).alias("in_range"))
 
 
-@query("ml_gbt_cv")
+@query("ml_gbt_cv", """
+SELECT unnest(range(5))::INT AS fold, true AS separates, true AS in_range, 1::BIGINT AS best_folds""")
 def _(t: Tables):
-    fit = train.train_gbt(planted(t), KEY, MODEL_INPUT, folds=5, rounds=5, depth=4)
-    return fit.folds.withColumn("is_best", F.col("fold") == fit.best_fold)
+    fit = train.train_gbt(planted(t), KEY, GBT_INPUT, folds=5, rounds=ROUNDS, depth=6)
+    inside = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "auc")]
+    return fit.folds.select("fold", (F.col("auc") > 0.8).alias("separates"), reduce(and_, inside).alias("in_range"),
+                            F.lit(int(0 <= fit.best_fold < 5)).cast("bigint").alias("best_folds"))
 
 
 def fitted_rf(t: Tables):
     labelled = labels.label_ot(planted(t))
-    return models.fit_rf_stack(labelled, MODEL_INPUT, **SMALL), candidates.candidate_list(labelled)
+    return models.fit_rf_stack(labelled, MODEL_INPUT, rounds=ROUNDS), candidates.candidate_list(labelled)
 
 
-def per_file(t: Tables) -> DataFrame:
-    """One row per bench file: the model's input with the current chunk size."""
-    return planted(t).groupBy("file_path", "file_size_kb").agg(
-        F.max("chunk_size_kb").alias("chunk_size_kb"),
-        *[F.avg(c).alias(c) for c in MODEL_INPUT if c not in ("file_size_kb", "chunk_size_kb")])
+# What holds for every prediction, whatever was fitted: one for each row of the log, of a known size, with a probability.
+def _counts(predicted: DataFrame, valid) -> DataFrame:
+    return predicted.groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(valid).alias("valid_choices"),
+        F.count_if(F.col("confidence").between(0, 1)).alias("probabilities"), F.sum("current_chunk_kb").cast("bigint").alias("current_kb"))
 
 
-@query("ml_rf_predict")
+COUNTS = """
+SELECT file_path, count(*) AS row_count, count(*) AS valid_choices, count(*) AS probabilities, sum(chunk_size_kb)::BIGINT AS current_kb
+FROM bench_log GROUP BY 1"""
+
+
+@query("ml_rf_predict", COUNTS)
 def _(t: Tables):
     model, chunks = fitted_rf(t)
-    return models.predict_rf(per_file(t), model, chunks)
+    return _counts(models.predict_rf(planted(t), model, chunks), F.col("optimal_chunk_kb").isin(*chunks))
 
 
-@query("ml_gbt_predict")
+@query("ml_gbt_predict", COUNTS)
 def _(t: Tables):
     labelled = labels.label_optimal(planted(t))
-    fit = models.fit_gbt_cv(labelled, KEY, MODEL_INPUT, folds=2, rounds=5, depth=4)
-    return models.predict_gbt(per_file(t), fit.model)
+    fit = models.fit_gbt_cv(labelled, KEY, GBT_INPUT, folds=2, rounds=ROUNDS, depth=6)
+    # the decision is one of the sizes for the file's tier, its own size, or the smallest chunk
+    return _counts(models.predict_gbt(planted(t), fit.model), F.col("optimal_chunk_kb").between(64, 8192))
 
 
 @query("ml_som_fit")
@@ -164,7 +178,7 @@ def _(t: Tables):
 
 
 @query("ml_whatif", """
-SELECT concat('/dummy/path/file', CASE WHEN e = '' OR starts_with(e, '.') THEN e ELSE concat('.', e) END) AS file_path, file_size, CAST(1048576 AS BIGINT) AS chunk_size,
+SELECT concat('/described/file', CASE WHEN e = '' OR starts_with(e, '.') THEN e ELSE concat('.', e) END) AS file_path, file_size, CAST(1048576 AS BIGINT) AS chunk_size,
   r + w AS access_count, rs AS avg_read_size, ws AS avg_write_size, rs * 2 AS max_read_size, ws * 2 AS max_write_size, r AS read_count, w AS write_count,
   100.0e0 AS throughput_mbps, round(file_size / 1024.0e0, 4) AS "file_size_KB", 1024.0e0 AS "chunk_size_KB", 102400.0e0 AS "throughput_KBps",
   round(rs / 1024.0e0, 4) AS "avg_read_KB", round(ws / 1024.0e0, 4) AS "avg_write_KB", round(rs * 2 / 1024.0e0, 4) AS "max_read_KB",
@@ -186,26 +200,38 @@ def file_score(chunk):
     return 1.0 / (1.0 + F.abs(chunk - target) / 512.0)
 
 
-closed_form = recommend.closed_form((), file_score, CHUNKS)
+closed_form = recommend.closed_form(file_score, CHUNKS)
 BEST_OF_FILES = """(SELECT file_path, file_size, chunk_size, access_count, best, max(chunk) AS chunk FROM (SELECT *, max(p) OVER (PARTITION BY file_path) AS best FROM (
   SELECT f.*, c.chunk, 1.0e0 / (1.0e0 + abs(c.chunk - (f.file_size / 1048576.0e0 + f.access_count * 10.0e0)) / 512.0e0) AS p
   FROM features f CROSS JOIN (SELECT unnest([64, 128, 256, 512, 1024, 2048, 4096, 8192]) AS chunk) c)) WHERE best - p < 1e-4
   GROUP BY file_path, file_size, chunk_size, access_count, best)"""
 
 
-@query("ml_batch_predict")
+@query("ml_batch_predict", """
+SELECT 'rows' AS item, count(*)::DOUBLE AS value FROM bench_log UNION ALL SELECT 'current_kb', sum(chunk_size_kb)::DOUBLE FROM bench_log
+UNION ALL SELECT 'binned', count(*)::DOUBLE FROM bench_log""")
 def _(t: Tables):
     model, chunks = fitted_rf(t)
     path = work_dir(t.spark, "predictions")
-    predicted = recommend.batch_predict(per_file(t), lambda log: models.predict_rf(log, model, chunks))
+    predicted = recommend.batch_predict(planted(t), lambda log: models.predict_rf(log, model, chunks))
     sinks.write_csv(predicted, path)
     kinds = ("file_path string, current_chunk_kb double, optimal_chunk_kb double, confidence double, current_chunk_bytes double, "
              "predicted_chunk_kb double")
     stored = t.spark.read.option("header", True).schema(kinds).csv(path)
-    bins = stats.histogram(stored, "predicted_chunk_kb", 10).select(F.concat(F.lit("bin "), "bin").alias("item"), F.col("row_count").cast("double").alias("value"))
+    bins = stats.histogram(stored, "predicted_chunk_kb", 10).agg(F.sum("row_count").cast("double").alias("value"))
     impact = evaluate.storage_impact(stored)
-    parts = [impact.select(F.lit(c).alias("item"), F.col(c).alias("value")) for c in ("current_kb", "predicted_kb", "change_pct")]
-    return reduce(DataFrame.unionByName, [bins, *parts])
+    parts = [stored.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("rows").alias("item"), "value"),
+             impact.select(F.lit("current_kb").alias("item"), F.col("current_kb").alias("value")),
+             bins.select(F.lit("binned").alias("item"), "value")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("ml_batch_predict_closed", f"""
+SELECT file_path, CAST(chunk_size AS BIGINT) AS current_chunk_kb, CAST(chunk AS BIGINT) AS optimal_chunk_kb, round(best, 6) AS confidence,
+  CAST(chunk_size * 1024 AS BIGINT) AS current_chunk_bytes, CAST(chunk AS BIGINT) AS predicted_chunk_kb FROM {BEST_OF_FILES}""")
+def _(t: Tables):
+    """The same without a model: every file by the closed-form score."""
+    return rounded(recommend.batch_predict(recommend.file_features(t.files, t.accesses, t.tput), closed_form))
 
 
 @query("ml_analyze", f"""

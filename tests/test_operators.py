@@ -129,6 +129,74 @@ def test_stack_finds_a_planted_signal_and_survives_storage(spark, tmp_path):
     assert {r[0] for r in predicted.select("optimal_chunk_kb").distinct().collect()} <= set(chunks)
 
 
+def test_a_fit_after_an_observation(spark):
+    df = planted(spark, 120)
+    kept, seen = clean.drop_missing_observed(df, ["OT"])
+    assert kept.count() == 120 and seen.get["dropped"] == 0
+    model = models.fit_rf_stack(df, FEATURES, trees=3, rounds=2, depth=3)
+    assert models.with_probability(model, df).where("p BETWEEN 0 AND 1").count() == 120
+
+
+def test_every_row_of_a_log_is_scored(spark):
+    df, used = planted(spark, 200), [*FEATURES, "gain"]
+    model = models.fit_rf_stack(df, used, trees=3, rounds=2, depth=3)
+    log = df.select("file_path", *used).withColumn("file_path", F.concat(F.lit("f"), (F.monotonically_increasing_id() % 5).cast("string")))
+    log = log.unionByName(log.limit(10)).withColumn("gain", F.when(F.rand(1) < 0.9, F.col("gain")))
+    log = log.cache()
+    wanted = {r["file_path"]: r["count"] for r in log.groupBy("file_path").count().collect()}
+    rf = models.predict_rf(log, model, [64.0, 128.0, 256.0])
+    assert {r["file_path"]: r["count"] for r in rf.groupBy("file_path").count().collect()} == wanted
+    boosted = models.fit_gbt_cv(df, ["file_path"], used, "OT", folds=2, rounds=2, depth=3)
+    gbt = models.predict_gbt(log, boosted.model)
+    assert {r["file_path"]: r["count"] for r in gbt.groupBy("file_path").count().collect()} == wanted
+
+
+def test_plans_by_fitted_models(spark):
+    df = planted(spark, 200)
+    meta = spark.createDataFrame([("a", 100 << 20, 512), ("b", 3 << 20, 64)], "file_path string, file_size bigint, chunk_size bigint")
+    access = spark.createDataFrame([("a", "read", 4096, 0), ("b", "read", 1, 0)],
+                                   "file_path string, access_type string, read_size bigint, write_size bigint")
+    rates = spark.createDataFrame([], "file_path string, throughput_mbps double")
+    names = [f for f in FEATURES]
+    forest = models.fit_rf_stack(df, names, trees=3, rounds=2, depth=3)
+    boosted = models.fit_gbt_cv(df, ["file_path"], names, "OT", folds=2, rounds=2, depth=3).model
+    for predict in (recommend.fitted(forest, [64.0, 512.0]), recommend.fitted(boosted)):
+        plan = recommend.change_plan(meta, access, rates, predict, force=True).collect()
+        assert {(r["file_path"], r["old_chunk_size"]) for r in plan} == {("a", 512), ("b", 64)}
+        done = recommend.analyze(recommend.file_features(meta, access, rates), predict)
+        assert done.count() == 2 and done.where("recommendation IS NULL").isEmpty()
+
+
+def test_a_log_of_one_class_is_balanced_in_training(spark):
+    from accesslake.plans.train import train_gbt
+    log = planted(spark, 150).withColumn("throughput_kbps", F.lit(1.0)).withColumns({"n": F.monotonically_increasing_id(), "access_count": F.lit(3)})
+    fit = train_gbt(log, ["file_path", "n"], [f for f in FEATURES if f != "throughput_kbps"], folds=2, rounds=2, depth=2)
+    assert fit.folds.count() == 2
+
+
+def test_work_folders_need_a_shared_place_off_this_machine(spark):
+    from accesslake import session
+
+    class Context:
+        master = "spark://elsewhere:7077"
+
+    class Elsewhere:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    import pytest
+    with pytest.raises(ValueError):
+        session.work_dir(Elsewhere(), "x")
+    scratch = session.Scratch(spark, "released")
+    kept = scratch.keep(spark.range(5), "five")
+    assert kept.count() == 5
+    scratch.release("five")
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{scratch.folder}/five").count()
+
+
 def test_boosted_trees_decide_for_every_row(spark):
     df = planted(spark, 300)
     fit = models.fit_gbt_cv(df, ["file_path"], FEATURES, "OT", folds=3, rounds=5, depth=3)
@@ -164,7 +232,7 @@ def test_map_side():
 
 def test_described_file(spark):
     row = recommend.predict_one(spark, 10 * 1024 * 1024, extension="csv").first()
-    assert row["file_path"] == "/dummy/path/file.csv" and row["access_count"] == 15 and row["file_size_KB"] == 10240.0
+    assert row["file_path"] == "/described/file.csv" and row["access_count"] == 15 and row["file_size_KB"] == 10240.0
     assert row["chunk_size_KB"] == 1024.0 and row["max_read_KB"] == 8.0 and row["throughput_KBps"] == 102400.0
 
 
@@ -173,6 +241,6 @@ def test_plan_drops_what_is_right_unless_forced(spark):
     access = spark.createDataFrame([("a", "read", 1, 0), ("b", "read", 1, 0)],
                                    "file_path string, access_type string, read_size bigint, write_size bigint")
     rates = spark.createDataFrame([], "file_path string, throughput_mbps double")
-    predict = recommend.closed_form((), lambda c: 1 / (1 + F.abs(c - 512)), [64.0, 512.0, 8192.0])
+    predict = recommend.closed_form(lambda c: 1 / (1 + F.abs(c - 512)), [64.0, 512.0, 8192.0])
     assert [tuple(r)[:3] for r in recommend.change_plan(meta, access, rates, predict).collect()] == [("b", 64, 512)]
     assert recommend.change_plan(meta, access, rates, predict, force=True).count() == 2
