@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .common import melt, with_row
-from .quantiles import exact_quantiles
+from .quantiles import few_group_quantiles
 from ..functions.measures import MIB
 
 
@@ -57,7 +57,7 @@ def impute(df: DataFrame, columns: Sequence[str], how: str = "median") -> DataFr
         filled = with_row(df, df.agg(*[F.avg(c).alias(c) for c in columns]))
         known = {c: F.col("_m")[c] for c in columns}
     else:
-        medians = exact_quantiles(melt(df, columns), ["column_name"], "value", {"median": 0.5})
+        medians = few_group_quantiles(melt(df, columns), ["column_name"], "value", {"median": 0.5})
         # One row per column of the table, so the map is small.
         by_name = F.map_from_entries(F.collect_list(F.struct("column_name", "median")))
         filled = with_row(df, medians.agg(by_name.alias("of")))

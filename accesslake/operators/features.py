@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import stats
 from .common import melt, with_row
-from .quantiles import exact_quantiles
+from .quantiles import few_group_quantiles
 from ..functions import measures, paths
 
 # The numeric features of the v1 log after derivation.
@@ -64,7 +64,7 @@ def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
     """Median 0 and interquartile range 1, from exact quartiles."""
-    q = exact_quantiles(melt(df, columns), ["column_name"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, **options)
+    q = few_group_quantiles(melt(df, columns), ["column_name"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, **options)
     # One entry per column of the table.
     entry = F.struct("column_name", F.struct("q2", (F.col("q3") - F.col("q1")).alias("iqr")).alias("v"))
     by_name = F.col("_m.of")

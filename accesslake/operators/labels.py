@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import join_on, with_row
 from .quantiles import (
-    HOT_VALUES, exact_quantiles, global_quantile, quantiles_of_counts, stored_counts, values_at_ranks)
+    HOT_VALUES, exact_quantiles, few_group_quantiles, global_quantile, stored_counts, values_at_ranks)
 from ..functions.sizing import LARGE_FILE_KB, access_band, combination
 from ..session import materialise
 
@@ -29,12 +29,14 @@ def label_ot(df: DataFrame, q: float = QUANTILE, size: str = "file_size_kb", thr
     """
     banded = with_band(df)
     keys = list(keys or (size, "access_count_label"))
-    counts = stored_counts(banded.withColumn(throughput, F.col(throughput).cast("double")), keys, throughput)
-    overall = quantiles_of_counts(counts, [], {"limit": q}, hot_values=hot_values)
-    limits = with_row(quantiles_of_counts(counts, keys, {"_limit": q}, "_rows", hot_values), overall)
+    # The thresholds scan the rows a few times: only the columns that they need, evaluated once.
+    narrow = materialise(banded.select(*keys, F.col(throughput).cast("double").alias(throughput)), "throughputs")
+    limits = few_group_quantiles(narrow, keys, throughput, {"_limit": q}, "_rows", hot_values)
+    if min_rows > 1:
+        limits = with_row(limits, few_group_quantiles(narrow, [], throughput, {"limit": q}, hot_values=hot_values))
+        limits = limits.withColumn("_limit", F.when(F.col("_rows") >= min_rows, F.col("_limit")).otherwise(F.col("_m.limit")))
     # Stored, so that the join knows how small the thresholds are and need not shuffle the rows.
-    limits = materialise(limits.select(
-        *keys, F.when(F.col("_rows") >= min_rows, F.col("_limit")).otherwise(F.col("_m.limit")).alias("_limit")), "limits")
+    limits = materialise(limits.select(*keys, "_limit"), "limits")
     reached = F.round(throughput, DECIMALS) >= F.round("_limit", DECIMALS)
     return (join_on(banded, limits, keys, "left")
             .withColumn(label, F.when(reached, 1).otherwise(0))

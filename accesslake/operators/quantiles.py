@@ -1,5 +1,10 @@
 """Exact grouped quantiles that hold when one group has a third of all rows.
 
+The caller says which of two ways fits. For a few groups, such as the columns of a table or bands of sizes, ``few_group_quantiles``
+scans the rows for the extremes, again for counts per bucket of the range between them, and a third time for the values of the
+buckets that hold the wanted ranks: no value but those is shuffled or stored. For many groups, such as files, ``exact_quantiles``
+reduces the rows to counted values:
+
 The rows are reduced once to (group, value, count), with map-side combine, and that table is stored in
 the shared work folder: the input is evaluated one time, whatever follows. A group with few distinct
 values goes to the built-in ``percentile``. A group with many is never brought into one task: rank
@@ -16,7 +21,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import join_on
+from .common import join_on, with_row
 from ..session import materialise
 
 # Most distinct values of one group that one task may hold.
@@ -41,6 +46,30 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
     return quantiles_of_counts(stored_counts(typed, keys, value), keys, quantiles, count_as, hot_values)
 
 
+def few_group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
+                        count_as: str | None = None, hot_values: int = HOT_VALUES, fanout: int = FANOUT) -> DataFrame:
+    """As ``exact_quantiles`` for few groups: the rows are scanned again instead of stored, and groups of any size go one way.
+
+    ``df`` should be cheap to scan: a table, or a projection of one.
+    """
+    keys, points = list(keys), [float(q) for q in quantiles.values()]
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    sizes = materialise(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_t"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("_t > 0"), "extremes")
+    placed = join_on(rows, sizes, keys) if keys else with_row(rows, sizes).select("_v", "_m.*")
+    buckets = materialise(
+        placed.groupBy(*keys, _bucket(fanout).alias("_b"))
+        .agg(F.count(F.lit(1)).alias("_bn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "buckets")
+    ranks = sizes.select(*keys, F.lit(0).cast("bigint").alias("_base"), F.explode(_ranks(points)).alias("_rank"))
+    # ``fanout`` rows at most for each group and rank
+    counted = join_on(ranks, buckets, keys) if keys else ranks.join(buckets, F.lit(True))
+    held = _at_rank(counted, [*keys, "_rank"], "_b", "_bn").select(
+        *keys, "_rank", "_lo", "_hi", (F.col("_upto") - F.col("_bn")).alias("_base"), F.col("_bn").alias("_d"))
+    found = _settle(rows.withColumn("_n", F.lit(1).cast("bigint")), keys, held, hot_values, fanout)
+    columns = [F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)]
+    return _interpolated(sizes, keys, found, points).select(*keys, *columns, *([F.col("_t").alias(count_as)] if count_as else []))
+
+
 def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float],
                         count_as: str | None = None, hot_values: int = HOT_VALUES) -> DataFrame:
     """As ``exact_quantiles`` from a stored table with the keys, ``_v`` and ``_n``.
@@ -71,9 +100,21 @@ def _percentiles(counts: DataFrame, keys: Sequence[str], points: Sequence[float]
 def _selected(counts: DataFrame, keys: Sequence[str], hot: DataFrame, points: Sequence[float],
               hot_values: int) -> DataFrame:
     """The quantiles of groups too large for one task, by rank selection."""
-    position = [F.lit(q) * (F.col("_t") - 1) for q in points]
-    ranks = F.array_distinct(F.array(*[f(p).cast("bigint") for p in position for f in (F.floor, F.ceil)]))
-    found = values_at_ranks(counts, keys, hot.select("*", F.explode(ranks).alias("_rank")), hot_values)
+    found = values_at_ranks(counts, keys, hot.select("*", F.explode(_ranks(points)).alias("_rank")), hot_values)
+    return _interpolated(hot, keys, found, points)
+
+
+def _positions(points: Sequence[float]) -> list[Column]:
+    return [F.lit(q) * (F.col("_t") - 1) for q in points]
+
+
+def _ranks(points: Sequence[float]) -> Column:
+    """The ranks next to each quantile of a group of ``_t`` rows."""
+    return F.array_distinct(F.array(*[f(p).cast("bigint") for p in _positions(points) for f in (F.floor, F.ceil)]))
+
+
+def _interpolated(groups: DataFrame, keys: Sequence[str], found: DataFrame, points: Sequence[float]) -> DataFrame:
+    """(keys, _q, _t) from the groups' sizes and the values at their ranks."""
     # At most two ranks per quantile.
     by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
 
@@ -82,8 +123,8 @@ def _selected(counts: DataFrame, keys: Sequence[str], hot: DataFrame, points: Se
         at = F.col("_at")
         return F.when(low == high, at[low]).otherwise((high - p) * at[low] + (p - low) * at[high])
 
-    known = join_on(hot, by_rank, keys) if keys else hot.withColumn("_at", by_rank.scalar())
-    return known.select(*keys, F.array(*[between(p) for p in position]).alias("_q"), "_t")
+    known = join_on(groups, by_rank, keys) if keys else groups.withColumn("_at", by_rank.scalar())
+    return known.select(*keys, F.array(*[between(p) for p in _positions(points)]).alias("_q"), "_t")
 
 
 def values_at_ranks(counts: DataFrame, keys: Sequence[str], targets: DataFrame, hot_values: int = HOT_VALUES,
@@ -94,15 +135,21 @@ def values_at_ranks(counts: DataFrame, keys: Sequence[str], targets: DataFrame,
     ``_rank`` with the group's extremes ``_lo`` and ``_hi``. Each round's buckets part the extremes of
     the range, so every range shrinks; the rounds end when all are single values or small.
     """
+    start = materialise(
+        targets.select(*keys, "_rank", "_lo", "_hi", F.lit(0).cast("bigint").alias("_base")), "rank-selection")
+    return _settle(counts, keys, _bucket_of_rank(counts, keys, start, fanout), hot_values, fanout)
+
+
+def _settle(counts: DataFrame, keys: Sequence[str], targets: DataFrame, hot_values: int, fanout: int) -> DataFrame:
+    """(keys, _rank, _v) from targets whose ranges are narrowed until they are single values or small."""
     group = [*keys, "_rank"]
-    targets = materialise(
-        targets.select(*group, "_lo", "_hi", F.lit(0).cast("bigint").alias("_base")), "rank-selection")
     while True:
-        targets = materialise(_bucket_of_rank(counts, keys, targets, fanout), "rank-selection")
+        targets = materialise(targets, "rank-selection")
         # One number reaches the driver.
         largest = targets.where(F.col("_lo") < F.col("_hi")).agg(F.max("_d")).first()[0]
         if largest is None or largest <= hot_values:
             break
+        targets = _bucket_of_rank(counts, keys, targets, fanout)
     settled = targets.where(F.col("_lo") == F.col("_hi")).select(*group, F.col("_lo").alias("_v"))
     rows = _within(counts, keys, targets.where(F.col("_lo") < F.col("_hi")))
     return settled.unionByName(_at_rank(rows, group, "_v", "_n").select(*group, "_v"))
@@ -122,19 +169,23 @@ def _within(counts: DataFrame, keys: Sequence[str], targets: DataFrame) -> DataF
     return joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
 
-def _bucket_of_rank(counts: DataFrame, keys: Sequence[str], targets: DataFrame, fanout: int) -> DataFrame:
-    """The targets with their range narrowed to the bucket that holds the rank.
-
-    Minimum, maximum and counts do not depend on task order, so a recomputed task gives the same buckets.
-    """
+def _bucket(fanout: int) -> Column:
+    """Which of ``fanout`` equal parts of [_lo, _hi] holds _v."""
     def gap(a: str, b: str) -> Column:
         # Subtracted before the cast: large whole numbers next to each other are one double.
         return F.coalesce(F.try_subtract(F.col(a), F.col(b)).cast("double"), F.col(a).cast("double") - F.col(b).cast("double"))
 
     share = F.try_divide(gap("_v", "_lo"), gap("_hi", "_lo"))
-    bucket = F.coalesce(F.least(F.floor(share * fanout), F.lit(fanout - 1)), F.lit(0)).cast("int")
+    return F.coalesce(F.least(F.floor(share * fanout), F.lit(fanout - 1)), F.lit(0)).cast("int")
+
+
+def _bucket_of_rank(counts: DataFrame, keys: Sequence[str], targets: DataFrame, fanout: int) -> DataFrame:
+    """The targets with their range narrowed to the bucket that holds the rank.
+
+    Minimum, maximum and counts do not depend on task order, so a recomputed task gives the same buckets.
+    """
     group = [*keys, "_rank"]
-    totals = (_within(counts, keys, targets).groupBy(*group, "_base", bucket.alias("_b"))
+    totals = (_within(counts, keys, targets).groupBy(*group, "_base", _bucket(fanout).alias("_b"))
               .agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     # At most ``fanout`` rows per group and rank reach the window.
     held = _at_rank(totals, group, "_b", "_bn")
@@ -150,8 +201,9 @@ def _at_rank(rows: DataFrame, group: Sequence[str], order: str, n: str) -> DataF
 
 def group_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.65,
                    name: str = "threshold", **options) -> DataFrame:
-    return exact_quantiles(df, keys, value, {name: q}, **options)
+    """The threshold of each of a few groups."""
+    return few_group_quantiles(df, keys, value, {name: q}, **options)
 
 
 def global_quantile(df: DataFrame, value: str, q: float = 0.65, name: str = "threshold", **options) -> DataFrame:
-    return exact_quantiles(df, [], value, {name: q}, **options)
+    return few_group_quantiles(df, [], value, {name: q}, **options)

@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import melt, with_row
-from .quantiles import exact_quantiles
+from .quantiles import few_group_quantiles
 
 OUTLIER_Z = 3.0
 REDUNDANT_R = 0.85
@@ -24,7 +24,7 @@ def dataset_summary(df: DataFrame, column: str = "chunk_size_kb") -> DataFrame:
 
 def quartiles(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
     """Five-number summary per column, one row each."""
-    return exact_quantiles(
+    return few_group_quantiles(
         melt(df, columns), ["column_name"], "value",
         {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}, **options)
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from accesslake.operators.quantiles import exact_quantiles, stored_counts, values_at_ranks
+from accesslake.operators.quantiles import exact_quantiles, few_group_quantiles, stored_counts, values_at_ranks
 from pyspark.sql import functions as F
 
 QS = {"low": 0.0, "mid": 0.5, "q": 0.65, "high": 1.0}
@@ -51,3 +51,20 @@ def test_ranks_of_large_integers(spark):
     counts = stored_counts(df, [], "v")
     target = counts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("_rank", F.lit(123).cast("bigint"))
     assert values_at_ranks(counts, [], target, hot_values=5).first()["_v"] == base + 369
+
+
+@pytest.mark.parametrize("hot_values, fanout", [(8, 4), (100_000, 4096)])
+def test_few_groups_equal_numpy(spark, hot_values, fanout):
+    rng = np.random.default_rng(8)
+    rows = [("hot", float(x)) for x in rng.normal(0, 1e6, 3000)] + [("ties", float(x)) for x in rng.integers(0, 4, 2000)]
+    rows += [("one", 5.0), ("none", None)] + [(f"g{i % 40}", float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = {r["k"]: r for r in few_group_quantiles(df, ["k"], "v", QS, "n", hot_values, fanout).collect()}
+    for k in {k for k, v in rows if v is not None}:
+        values = [v for g, v in rows if g == k]
+        assert found[k]["n"] == len(values)
+        for name, q in QS.items():
+            assert found[k][name] == pytest.approx(np.quantile(values, q), rel=1e-12)
+    whole = few_group_quantiles(df, [], "v", QS, None, hot_values, fanout).first()
+    for name, q in QS.items():
+        assert whole[name] == pytest.approx(np.quantile([v for _, v in rows if v is not None], q), rel=1e-12)
