@@ -65,15 +65,53 @@ def current_metadata(spark: SparkSession, path: str) -> DataFrame:
                          F.col("u.latest.access_time").alias("last_seen"))
 
 
-def record_throughput(transfers: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One rate per file and start time, the first to arrive; later copies within ``delay`` drop out."""
+def record_throughput(transfers: DataFrame, delay: str) -> DataFrame:
+    """One rate per file and start time, the first to arrive; later copies within ``delay`` drop out.
+
+    ``delay`` bounds the state: copies, and rows, later than that are not seen. The caller knows how late rows can be.
+    """
     rated = throughput_rows(transfers).withWatermark("start_time", delay)
     return rated.dropDuplicatesWithinWatermark(["file_path", "start_time"])
 
 
-def live_activity(events: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Accesses per sliding window, by type; works on streams and on tables."""
+_ACTIVITY = ("events", "read_events", "write_events")
+
+
+def publish_activity(events: DataFrame, path: str, checkpoint: str, trigger: dict, length: str = "24 hours", step: str = "1 hour",
+                     delay: str | None = None) -> StreamingQuery:
+    """Keep the accesses per sliding window current, open windows included.
+
+    Each batch stores the windows it changed, in a folder named after the batch; ``current_activity`` reads the newest row of each.
+    Without ``delay`` no row is ever too late and the state keeps all windows; with it, windows that old are closed and forgotten.
+    """
+    late = events.withWatermark("access_time", delay) if delay else events
+    counted = late.groupBy(F.window("access_time", length, step).alias("w")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("access_type") == "read").alias("read_events"),
+        F.count_if(F.col("access_type") == "write").alias("write_events"))
+    rows = counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_ACTIVITY)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (rows.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+            .trigger(**trigger).start())
+
+
+def current_activity(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of every window as of the last stored batch."""
+    changes = spark.read.option("basePath", path).parquet(path)
+    newest = changes.groupBy("window_start", "window_end").agg(F.max(F.struct("batch_id", *_ACTIVITY)).alias("u"))
+    return newest.select("window_start", "window_end", *[F.col(f"u.{c}").alias(c) for c in _ACTIVITY])
+
+
+def live_activity(events: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str | None = None) -> DataFrame:
+    """Accesses per sliding window, by type, of a table, or of a stream of which only closed windows are wanted.
+
+    A stream needs ``delay``: its windows come out once they are that old. ``publish_activity`` has the open ones as well.
+    """
     if events.isStreaming:
+        if delay is None:
+            raise ValueError("a stream of closed windows needs a delay")
         events = events.withWatermark("access_time", delay)
     # Rows are counted per step first, so only the counts are repeated for every window they fall in.
     per_step = events.groupBy(F.window("access_time", step).alias("s")).agg(
@@ -81,7 +119,7 @@ def live_activity(events: DataFrame, length: str = "24 hours", step: str = "1 ho
         F.count_if(F.col("access_type") == "read").alias("read_events"),
         F.count_if(F.col("access_type") == "write").alias("write_events"))
     counted = per_step.groupBy(F.window(F.window_time("s"), length, step).alias("w")).agg(
-        *[F.sum(c).alias(c) for c in ("events", "read_events", "write_events")])
+        *[F.sum(c).alias(c) for c in _ACTIVITY])
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                           "events", "read_events", "write_events")
 

@@ -121,18 +121,21 @@ def _(t: Tables):
     return t.spark.read.option("basePath", path).parquet(path).select("file_path").distinct()
 
 
-@query("st_activity", """
+ACTIVITY = """
 SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS events, count(*) FILTER (WHERE access_type = 'read') AS read_events,
   count(*) FILTER (WHERE access_type = 'write') AS write_events
 FROM (SELECT access_type, unnest(generate_series(date_trunc('hour', access_time) - INTERVAL 23 HOUR, date_trunc('hour', access_time), INTERVAL 1 HOUR)) AS window_start
-  FROM accesses) GROUP BY 1""")
+  FROM accesses) GROUP BY 1"""
+
+
+@query("st_activity", ACTIVITY)
 def _(t: Tables):
     batch = ingest.live_activity(t.accesses.withColumn("access_time", F.col("access_time").cast("timestamp")))
     return batch.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-@query("st_activity_stream")
+@query("st_activity_stream", ACTIVITY)
 def _(t: Tables):
-    live = ingest.live_activity(live_accesses(t))
-    path = ingest.drain(t.spark, lambda out, ckpt: ingest.append_to(live, out, ckpt, NOW), "activity")
-    return t.spark.read.schema(live.schema).parquet(path)
+    path = ingest.drain(t.spark, lambda out, ckpt: ingest.publish_activity(live_accesses(t), out, ckpt, NOW), "activity")
+    live = ingest.current_activity(t.spark, path)
+    return live.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})

@@ -86,7 +86,7 @@ def test_first_transfer_wins(spark, tmp_path):
         (F.col("id") * 1000).alias("bytes_transferred"), F.lit("read").alias("operation_type"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-    ingest.append_to(ingest.record_throughput(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"), NOW).awaitTermination()
+    ingest.append_to(ingest.record_throughput(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "ckpt"), NOW).awaitTermination()
     streamed = spark.read.parquet(str(tmp_path / "out")).select("file_path", "start_time")
     batch = dedup_throughput(throughput_rows(rows)).select("file_path", "start_time")
     assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
