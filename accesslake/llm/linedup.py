@@ -21,8 +21,8 @@ from .common import refuse_clash
 
 #: Words that a repeated run must have to be deleted.
 MIN_WORDS = 40
-#: Source documents are broadcast up to so many ids; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Deleted lines and documents that have any are broadcast up to this number (a few MB); beyond it they are joined by a shuffle.
+BROADCAST_LINES = 500_000
 
 
 def line_hashes(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -129,7 +129,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     scratch = Scratch(docs.sparkSession, "linedup")
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     gone = scratch.keep(_repeats(scratch, rows, min_words).withColumnRenamed("doc_id", "_id"), "gone")
-    few = gone.count() <= BROADCAST_IDS // 16
+    size = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0]
+    few = size <= BROADCAST_LINES
     joined = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_id"), "left").drop("_id")
     fields = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*fields, T.StructField(out, T.StringType()), T.StructField(removed, T.LongType())])
