@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
+
 SMALLEST_P = 1e-15
 
 
@@ -16,21 +18,32 @@ def confusion(pred: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("row_count")))
 
 
+def _counted(pred: DataFrame) -> DataFrame:
+    """(label, p, n): the predictions, evaluated and stored once, as counts of equal ones."""
+    scored = pred.select(F.col("label").cast("double").alias("label"), F.col("p").cast("double").alias("p"))
+    return materialise(scored.groupBy("label", "p").agg(F.count(F.lit(1)).cast("double").alias("n")), "scores")
+
+
 def roc_auc(pred: DataFrame) -> float:
     """Exact area under the ROC curve. Scores are counted per value, then sorted across the cluster."""
-    scored = pred.select(F.col("label").cast("double").alias("label"), F.col("p").cast("double").alias("p"))
-    return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label", numBins=0).evaluate(scored)
+    return _auc(_counted(pred))
+
+
+def _auc(counted: DataFrame) -> float:
+    return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label", weightCol="n", numBins=0).evaluate(counted)
 
 
 def binary_metrics(pred: DataFrame) -> DataFrame:
-    """One row: rows, logloss, accuracy, precision, recall, f1, auc."""
+    """One row: rows, logloss, accuracy, precision, recall, f1, auc. The predictions are evaluated once, when this is called."""
+    pred = _counted(pred)
     label, hit = F.col("label"), F.col("p") > 0.5
     p = F.least(F.greatest(F.col("p"), F.lit(SMALLEST_P)), F.lit(1 - SMALLEST_P))
     loss = -(label * F.ln(p) + (1 - label) * F.ln(1 - p))
+    rows = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0)).cast("bigint")
     counted = pred.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(loss).alias("logloss"),
-        F.count_if(hit & (label == 1)).alias("tp"), F.count_if(hit & (label == 0)).alias("fp"),
-        F.count_if(~hit & (label == 1)).alias("fn"), F.count_if(~hit & (label == 0)).alias("tn"))
+        F.sum("n").cast("bigint").alias("n"), (F.sum(loss * F.col("n")) / F.sum("n")).alias("logloss"),
+        rows(hit & (label == 1)).alias("tp"), rows(hit & (label == 0)).alias("fp"),
+        rows(~hit & (label == 1)).alias("fn"), rows(~hit & (label == 0)).alias("tn"))
 
     def ratio(top, bottom):
         return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
@@ -39,7 +52,7 @@ def binary_metrics(pred: DataFrame) -> DataFrame:
     return counted.select(
         "n", "logloss", ratio(tp + F.col("tn"), F.col("n")).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), F.lit(roc_auc(pred)).alias("auc"))
+        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), F.lit(_auc(pred)).alias("auc"))
 
 
 def cv_summary(folds: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -76,6 +76,17 @@ def select_files(meta: DataFrame, access: DataFrame, min_size: int | None = None
                  min_access: int | None = None, extensions: Sequence[str] | None = None,
                  limit: int | None = None, loose_extension: bool = False) -> DataFrame:
     """Active files that meet every given condition; a limit takes the first paths in order."""
+    files = matching_files(meta, min_size, max_size, extensions, loose_extension)
+    # Having k >= 1 accesses implies being active, so one semi join does for both.
+    files = min_access_filter(files, access, min_access) if min_access and min_access > 1 else files.join(
+        accessed_paths(access), "file_path", "left_semi")
+    paths = files.select("file_path").distinct()
+    return paths.orderBy("file_path").limit(limit) if limit else paths
+
+
+def matching_files(meta: DataFrame, min_size: int | None = None, max_size: int | None = None,
+                   extensions: Sequence[str] | None = None, loose_extension: bool = False) -> DataFrame:
+    """The files of ``meta`` that meet every given condition on themselves."""
     files = meta
     if min_size is not None:
         files = files.where(F.col("file_size") >= min_size)
@@ -84,11 +95,7 @@ def select_files(meta: DataFrame, access: DataFrame, min_size: int | None = None
     if extensions:
         suffix = first_dot_ext if loose_extension else extension
         files = files.where(suffix(F.col("file_path")).isin(*extensions))
-    # Having k >= 1 accesses implies being active, so one semi join does for both.
-    files = min_access_filter(files, access, min_access) if min_access and min_access > 1 else files.join(
-        accessed_paths(access), "file_path", "left_semi")
-    paths = files.select("file_path").distinct()
-    return paths.orderBy("file_path").limit(limit) if limit else paths
+    return files
 
 
 def latest_metadata(events: DataFrame) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.measures import change, change_pct, mean_speed, result_flag, speed
 
@@ -59,15 +57,6 @@ def chunk_selection_report(trials: DataFrame) -> DataFrame:
         F.avg(F.try_divide(new - old, old) * 100).alias("chunk_change_pct"))
 
 
-def chunk_selection_merged(trials: DataFrame) -> DataFrame:
-    """The same report as a merge of two aggregates on (model, file size)."""
-    keys = ["model_type", "file_size_mb"]
-    old, new = F.col("old_chunk_size"), F.col("new_chunk_size")
-    means = trials.groupBy(*keys).agg(F.avg(old).alias("old_chunk"), F.avg(new).alias("new_chunk"))
-    changes = trials.groupBy(*keys).agg(F.avg(F.try_divide(new - old, old) * 100).alias("chunk_change_pct"))
-    return means.join(changes, keys)
-
-
 def scorecard(trials: DataFrame) -> DataFrame:
     """(category, rf, xgb, winner): overall, per size, per pattern, reads, writes.
 
@@ -117,31 +106,26 @@ def t_test(trials: DataFrame, value: str = "throughput_pct") -> DataFrame:
                     F.col("m_rf").alias("mean_rf"), F.col("m_xgb").alias("mean_xgb"))
 
 
-@F.pandas_udf(DoubleType())
-def two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Two-sided p of Student's t, by integrating the density over the angle atan(t / sqrt(dof))."""
-    nodes, weights = np.polynomial.legendre.leggauss(200)
-
-    def p_value(stat, v):
-        if not (np.isfinite(stat) and v > 0):
-            return None
-        start = np.arctan(abs(stat) / np.sqrt(v))
-
-        def mass(a, b):
-            # Beyond the peak's width the density is below any double, so the interval can end there.
-            b = min(b, a + 40.0 / np.sqrt(v))
-            angle = (b - a) / 2 * nodes + (a + b) / 2
-            return (b - a) / 2 * np.sum(weights * np.exp((v - 1) * np.log(np.cos(angle))))
+def two_sided_p(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t, by integrating the density over the angle atan(t / sqrt(dof)); null where it has none."""
+    nodes = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w"))
+                      for x, w in zip(*np.polynomial.legendre.leggauss(200))])
+    right_angle, v = F.lit(float(np.pi / 2)), dof.cast("double")
 
-        whole = mass(0.0, np.pi / 2)
-        return float(min(1.0, mass(start, np.pi / 2) / whole))
+    def mass(a: Column) -> Column:
+        # Beyond the peak's width the density is below any double, so the interval can end there.
+        b = F.least(right_angle, a + 40.0 / F.sqrt(v))
+        half, middle = (b - a) / 2, (a + b) / 2
+        return half * F.aggregate(nodes, F.lit(0.0), lambda total, n: total + n["w"] * F.exp(
+            (v - 1) * F.log(F.cos(half * n["x"] + middle))))
 
-    return pd.Series([p_value(a, b) for a, b in zip(t, dof)])
+    p = F.least(F.lit(1.0), mass(F.atan(F.abs(t) / F.sqrt(v))) / mass(F.lit(0.0)))
+    return F.when(t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf")) & (v > 0), p)
 
 
 def t_test_with_p(trials: DataFrame, value: str = "throughput_pct") -> DataFrame:
     """The one-row test with p, whether it is significant, and which model is better then."""
-    tested = t_test(trials, value).withColumn("p_value", two_sided_p(F.col("t_stat"), F.col("dof").cast("double")))
+    tested = t_test(trials, value).withColumn("p_value", two_sided_p(F.col("t_stat"), F.col("dof")))
     better = F.when(F.col("mean_rf") > F.col("mean_xgb"), "RF").otherwise("XGBoost")
     return (tested.withColumn("significant", F.col("p_value") < SIGNIFICANT)
             .withColumn("better", F.when(F.col("significant"), better)))

@@ -12,7 +12,7 @@ from ..functions.sizing import clamp
 from ..operators.candidates import best_candidate_inline
 from ..operators.clean import normalise_units, to_model_columns, with_default_features
 from ..operators.models import predict_gbt, predict_rf
-from ..operators.profiles import file_profiles, select_files
+from ..operators.profiles import file_profiles, matching_files
 
 # A predictor takes file features and returns them with current_chunk_kb, optimal_chunk_kb and confidence.
 Predictor = Callable[[DataFrame], DataFrame]
@@ -27,13 +27,17 @@ def file_features(meta: DataFrame, access: DataFrame, throughput: DataFrame, cho
 
 
 def change_plan(meta: DataFrame, access: DataFrame, throughput: DataFrame, predict: Predictor, force: bool = False,
-                **selection) -> DataFrame:
+                min_access: int | None = None, limit: int | None = None, **selection) -> DataFrame:
     """Files whose chunk size should change: path, old and new size in KB.
 
-    The new size is clamped to what the file system accepts; files that are right stay out unless forced.
+    The new size is clamped to what the file system accepts; files that are right stay out unless forced. Active files are told by
+    the accesses of their profiles, so each fact table is read once.
     """
-    chosen = select_files(meta, access, **selection)
-    predicted = predict(file_features(meta, access, throughput, chosen))
+    profiles = file_profiles(matching_files(meta, **selection), access, throughput)
+    active = profiles.where(F.col("access_count") >= max(1, min_access or 1))
+    if limit:
+        active = active.orderBy("file_path").limit(limit)
+    predicted = predict(with_default_features(active))
     plan = predicted.select("file_path", F.col("current_chunk_kb").alias("old_chunk_size"),
                             clamp(F.col("optimal_chunk_kb")).cast("bigint").alias("new_chunk_size"), "confidence")
     if force:

@@ -22,10 +22,11 @@ def _read_csv(spark: SparkSession, path: str, schema: StructType, required: Sequ
     missing = [c for c in required if c not in names]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
-    # The file's own column order, the schema's types; columns of no interest are read as text.
+    # The file's own column order, the schema's types; columns of no interest are read as text. A file of the folder whose header
+    # differs is an error.
     kinds = {f.name: f for f in schema.fields}
     ordered = reduce(lambda s, n: s.add(kinds[n]) if n in kinds else s.add(n, "string"), names, StructType())
-    df = spark.read.option("header", True).option("mode", "FAILFAST").schema(ordered).csv(path)
+    df = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).schema(ordered).csv(path)
     return df.select(*[f.name for f in schema.fields if f.name in names])
 
 

@@ -59,6 +59,17 @@ def test_csv_round_trip(spark, tmp_path):
     assert spark.read.option("header", True).schema("id bigint").csv(str(tmp_path / "o")).count() == 3
 
 
+def test_files_whose_columns_differ_in_order_are_an_error(spark, tmp_path):
+    import pytest
+    from accesslake.sources.logs import read_bench_log
+    row = spark.createDataFrame([("/a", 64, 128, 5.0)], "file_path string, file_size_KB bigint, chunk_size_KB bigint, throughput_KBps double")
+    row.coalesce(1).write.option("header", True).csv(str(tmp_path / "logs"))
+    assert read_bench_log(spark, str(tmp_path / "logs")).count() == 1
+    row.select(*reversed(row.columns)).coalesce(1).write.mode("append").option("header", True).csv(str(tmp_path / "logs"))
+    with pytest.raises(Exception):
+        read_bench_log(spark, str(tmp_path / "logs")).collect()
+
+
 EVENTS = "id bigint, file_path string, access_time timestamp, file_size bigint, chunk_size bigint"
 
 
