@@ -106,8 +106,9 @@ def t_test(trials: DataFrame, value: str = "throughput_pct") -> DataFrame:
                     F.col("m_rf").alias("mean_rf"), F.col("m_xgb").alias("mean_xgb"))
 
 
-def two_sided_p(t: Column, dof: Column) -> Column:
+def two_sided_p(t: Column | str, dof: Column | str) -> Column:
     """Two-sided p of Student's t, by integrating the density over the angle atan(t / sqrt(dof)); null where it has none."""
+    t, dof = (F.col(c) if isinstance(c, str) else c for c in (t, dof))
     nodes = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w"))
                       for x, w in zip(*np.polynomial.legendre.leggauss(200))])
     right_angle, v = F.lit(float(np.pi / 2)), dof.cast("double")
