@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Words and white-space separated pieces remembered by a worker between batches; emptied when full, results do not depend on it.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 #: Texts are encoded in chunks of about so many characters, so that the memory of a batch does not grow with its texts.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 #: Characters that every Unicode version normalises, lower-cases and classes alike; texts of these alone are split here.
 _PLAIN = re.compile("[\\t\\n\\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u0130\u0132-\u017f\u2013\u2014\u2018-\u201e\u2026]*")
 
