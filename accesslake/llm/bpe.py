@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-#: Words and white-space separated pieces remembered by a worker between batches; emptied when full, results do not depend on it.
-CACHED_WORDS = 150_000
+#: Words and white-space separated pieces remembered within a task; emptied when full and at its end, results do not depend on it.
+CACHED_WORDS = 250_000
 #: Texts are encoded in chunks of about so many characters, so that the memory of a batch does not grow with its texts.
 CHUNK_CHARS = 1_000_000
 #: Characters that every Unicode version normalises, lower-cases and classes alike; texts of these alone are split here.
@@ -267,6 +267,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: st
                     if decoded:
                         done[decoded] = [t for _, t in coded]
                 yield done
+        c.forget()  # workers live on; other jobs need their memory
 
     return docs.mapInPandas(run, T.StructType(fields + new))
 
