@@ -117,7 +117,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = scratch.keep(_sets(source, width, percent, whole=False), "sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    same = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    # stored, so that a set that very many documents have can be split in the join
+    same = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "same")
     copies = scratch.keep(known.select("doc_id", "digest").join(same, "digest").filter("doc_id != rep")
                           .select("doc_id", "rep").distinct(), "copies")
     light = _boundary(known.groupBy("n").agg(F.count("*").alias("sets")), percent)
