@@ -45,11 +45,9 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
     The neighbours of a document are the others of its group, so votes are counted for each group and shard, never gathered.
     A group larger than a shard asks for as many shards as it fills, its members are spread over those by hash.
     """
-    start = F.pmod(F.xxhash64("node", F.lit(_START)), F.lit(shards)).cast("int")
-    free = nodes.filter("grp IS NULL").withColumn("shard", start)
-    state = materialise(nodes.filter("grp IS NOT NULL").withColumn("shard", start), "labels")
-    unlinked = free.groupBy("shard").agg(F.count("*").alias("unlinked"))  # a row for each shard
     room = max(1, -(-nodes.count() // shards))
+    state = materialise(nodes.filter("grp IS NOT NULL").withColumn(
+        "shard", F.pmod(F.xxhash64("node", F.lit(_START)), F.lit(shards)).cast("int")), "labels")
     for step in range(rounds):
         votes = state.groupBy("grp", "shard").agg(F.count("*").alias("votes"))
         best = materialise(votes.groupBy("grp").agg(
@@ -60,10 +58,9 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
         # shards x shards rows at most
         asked = wish.filter("wish != shard").groupBy("shard", "wish").agg(F.count("*").alias("n"))
         back = asked.select(F.col("wish").alias("shard"), F.col("shard").alias("wish"), F.col("n").alias("back"))
-        held = (wish.groupBy("shard").agg(F.count("*").alias("linked")).join(unlinked, "shard", "full")
-                .select(F.col("shard").alias("wish"), (F.coalesce("linked", F.lit(0)) + F.coalesce("unlinked", F.lit(0))).alias("held")))
+        held = wish.groupBy(F.col("shard").alias("wish")).agg(F.count("*").alias("held"))
         surplus = F.greatest(F.lit(0), F.col("n") - F.col("back"))
-        space = F.greatest(F.lit(0), F.lit(room) - F.col("held")) + F.lit(room // 20)
+        space = F.greatest(F.lit(0), F.lit(room) - F.col("held"))  # unlinked documents make way
         quota = (asked.join(back, ["shard", "wish"], "left").fillna(0, ["back"]).join(held, "wish", "left").fillna(0, ["held"])
                  .withColumn("over", F.sum(surplus).over(Window.partitionBy("wish")))
                  .withColumn("granted", F.least("n", "back") + surplus * F.least(F.lit(1.0), space / F.greatest(F.lit(1), F.col("over"))))
@@ -71,7 +68,13 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
         moves = _uniform("node", F.lit(step)) < F.col("share")
         state = materialise(wish.join(F.broadcast(quota), ["shard", "wish"], "left").select(
             "node", "grp", F.when(moves, F.col("wish")).otherwise(F.col("shard")).cast("int").alias("shard")), "labels")
-    return state.union(free.select("node", "grp", "shard"))
+    # unlinked documents fill what room is left: one number for each shard
+    linked = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    left = [max(0, room - linked.get(k, 0)) for k in range(shards)]
+    upto = [sum(left[: k + 1]) / max(1, sum(left)) for k in range(shards - 1)]
+    draw = _uniform("node", F.lit(_START))
+    filled = F.size(F.filter(F.array(*map(F.lit, upto)), lambda x: x <= draw)) if upto else F.lit(0)
+    return state.union(nodes.filter("grp IS NULL").select("node", "grp", filled.cast("int").alias("shard")))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", rounds: int = 4) -> DataFrame:
