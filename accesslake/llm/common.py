@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from accesslake.session import materialise
 
@@ -13,6 +13,15 @@ def refuse_clash(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the input already has columns {clash}")
 
 
+#: Rows of texts that a Python worker gets at once. Texts are long, so Spark's default of 10,000 rows can be hundreds of MB.
+TEXT_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Settings for jobs on texts: batches that Python workers can hold several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component_id) for every node of an edge: component_id is the smallest node that links reach.
 

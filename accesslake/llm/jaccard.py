@@ -42,7 +42,7 @@ BROADCAST_IDS = 1_000_000
 #: Characters whose shingles are made at once.
 CHARS = 4_000_000
 
-#: Fixed value of the empty result of a Python step.
+#: Columns of links between two documents.
 _PAIR = "a long, b long"
 
 
@@ -198,7 +198,6 @@ def _heavy_edges(scratch: Scratch, source: DataFrame, reps: DataFrame, spare: Da
     scratch.release("whole", "shared")
 
     # pairs of short lists, and every member of a long list with its most typical one
-    a, b = entries.alias("a"), entries.alias("b")
     short = lists.filter(F.col("size") <= LIST).select("h")
     fits = (F.col("a.n") * 100 >= percent * F.col("b.n")) & (F.col("b.n") * 100 >= percent * F.col("a.n"))
     ordered = F.struct("a.doc_id", "a.set_id") < F.struct("b.doc_id", "b.set_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import html
 from .bpe import bpe_encode
+from .common import text_batches
 from .jaccard import jaccard_join
 from .langid import fit, identify
 from .linedup import dedup_lines
@@ -35,6 +36,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

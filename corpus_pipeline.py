@@ -18,6 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from accesslake.llm.bpe import bpe_encode
+from accesslake.llm.common import text_batches
 from accesslake.llm.jaccard import jaccard_join
 from accesslake.llm.linedup import dedup_lines
 from accesslake.llm.mixing import mixing_rates
@@ -39,6 +40,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is high enough."""
+    text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_quality(docs, labels, F.col("source"), F.col("lang"))
     return _without(docs, scored.filter(~F.col("kept")))
@@ -46,6 +48,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of lines that stood before; documents that held nothing else go."""
+    text_batches(spark)
     cut = dedup_lines(docs)
     return cut.filter((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn(
         "n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -53,12 +56,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    text_batches(spark)
     joined = jaccard_join(docs)
     return _without(docs, joined.filter("doc_id != component_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that meet the target weights."""
+    text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rates = mixing_rates(docs, label_domains(labels), TARGETS, max_rate=1.0)
     return _without(docs, rates.filter("copies = 0"))
@@ -66,6 +71,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the decoded text of every document that is left."""
+    text_batches(spark)
     return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids="ids", decoded="decoded")
 
 
