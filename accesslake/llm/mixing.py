@@ -125,7 +125,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """``doc_id, n_tokens, domain, p, rate, copies`` of every row of ``docs``.
 
     ``labelled`` has (doc_id, domain). ``targets`` gives each domain's weight; targets are weights times ``budget`` tokens (default: the
-    tokens that there are). ``p`` are the posteriors in the order of the targets' names, ``domain`` the likeliest (ties: first name).
+    tokens that there are), and with ``max_rate`` no more than a domain's tokens at that rate: what no rates can reach would lift
+    the rates of all that has a trace of the domain. ``p`` are the posteriors in the order of the targets' names, ``domain`` the likeliest (ties: first name).
     ``rate`` is nonnegative, ``max_rate`` at most; expected domain tokens, the sums of rate * n_tokens * p, meet the targets as
     closely as rates can. ``copies`` is the rate rounded up or down by a hash of the id, so that it is the rate on average.
     Null and empty texts have 0 tokens and the posterior of the prior and their looks. Repeated rows each get their rate. Null ids
@@ -140,6 +141,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     mass_of = [max(float(mass[f"m{k}"] or 0.0), 1e-9) for k in range(size)]
     whole = sum(targets.values()) or 1.0
     wanted = [targets[d] / whole * float(budget if budget is not None else mass.n or 0) for d in domains]
+    if max_rate is not None:
+        wanted = [min(w, max_rate * m) for w, m in zip(wanted, mass_of)]
 
     # Squares are weighed by 1 / a domain's tokens and rates by a document's tokens; the curvature is then 1 at most, and so the step.
     rate = F.lit(1.0)

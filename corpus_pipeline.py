@@ -3,7 +3,8 @@
 1. ``quality``: documents that the quality classifier rejects go.
 2. ``line_dedup``: repeated runs of lines are deleted; documents of which nothing is left go.
 3. ``near_duplicates``: of each group of near-duplicates the document with the smallest id stays.
-4. ``mixing``: documents are kept at the rates that meet the target weights; no document is repeated.
+4. ``mixing``: documents are kept at the rates that meet the target weights; no document is repeated, and none stays whose likeliest
+   domain has the weight 0.
 5. ``encode``: token ids and decoded text are added.
 
 Rows with a null id are judged by their text alone: they pass the stages that link documents. Empty tables pass through. Columns
@@ -28,8 +29,9 @@ from accesslake.session import Scratch, work_dir
 
 #: Ids are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Weights of the domains in the corpus: what the labelled table calls toxic is left out.
-TARGETS = {"clean": 0.98, "junk": 0.02, "toxic": 0.0}
+#: Weights of the domains in the corpus: all clean tokens, as many as there are. What the labelled table calls toxic is left out, and
+#: so is junk: quality has removed almost all of it, so that a share of it could not be met.
+TARGETS = {"clean": 1.0, "junk": 0.0, "toxic": 0.0}
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -62,11 +64,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that meet the target weights."""
+    """Documents drawn at the rates that meet the target weights; those whose likeliest domain has no weight go."""
     text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rates = mixing_rates(docs, label_domains(labels), TARGETS, max_rate=1.0)
-    return _without(docs, rates.filter("copies = 0"))
+    unwanted = [d for d, weight in TARGETS.items() if not weight]
+    return _without(docs, rates.filter((F.col("copies") == 0) | F.col("domain").isin(unwanted)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
