@@ -8,6 +8,7 @@ aggregate over the stored posteriors, and rates are expressions of a document's
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -102,27 +103,28 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str,
     return scratch.keep(spark.createDataFrame(table, "word string, w array<double>"), "weights"), b.tolist()
 
 
-def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col: str, text: str) -> DataFrame:
-    """(row, doc_id, n_tokens, p): p is the posterior over the domains of every row of ``docs``."""
+def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., row, doc_id, n_tokens, p): p is the posterior over the domains of every row of ``docs``."""
     size = len(priors)
-    rows = _tokens(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+    own = [*keep, "row", "doc_id", "n_tokens"]
+    rows = _tokens(docs.select(*keep, F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                                F.col(text).alias("text")), "text")
     # the empty mark keeps rows without any known word
-    words = rows.select("row", "doc_id", "n_tokens", F.explode(F.concat(F.array(F.lit("#")), "seen")).alias("word"))
+    words = rows.select(*own, F.explode(F.concat(F.array(F.lit("#")), "seen")).alias("word"))
     always = weights.sparkSession.range(1).select(F.lit("#").alias("word"), F.array(*[F.lit(x) for x in priors]).alias("w"))
     table = weights.union(always)
     hits = words.join(F.broadcast(table), "word")
-    sums = hits.groupBy("row", "doc_id", "n_tokens").agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(size)])
+    sums = hits.groupBy(*own).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(size)])
     logs = [F.col(f"s{k}") for k in range(size)]
     top = F.greatest(*logs) if size > 1 else logs[0]
     parts = [F.exp(x - top) for x in logs]
     whole = reduce(lambda a, b: a + b, parts)
-    return sums.select("row", "doc_id", "n_tokens", F.array(*[x / whole for x in parts]).alias("p"))
+    return sums.select(*own, F.array(*[x / whole for x in parts]).alias("p"))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text",
-                 max_rate: float | None = None, budget: float | None = None) -> DataFrame:
-    """``doc_id, n_tokens, domain, p, rate, copies`` of every row of ``docs``.
+                 max_rate: float | None = None, budget: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, n_tokens, domain, p, rate, copies`` of every row of ``docs``, after its columns ``keep``.
 
     ``labelled`` has (doc_id, domain). ``targets`` gives each domain's weight; targets are weights times ``budget`` tokens (default: the
     tokens that there are), and with ``max_rate`` no more than a domain's tokens at that rate: what no rates can reach would lift
@@ -135,7 +137,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     domains = sorted(targets)
     scratch = Scratch(docs.sparkSession, "mixing")
     weights, priors = learn(docs, labelled, domains, id_col, text, scratch)
-    rows = scratch.keep(posteriors(docs, weights, priors, id_col, text), "posteriors")
+    rows = scratch.keep(posteriors(docs, weights, priors, id_col, text, keep), "posteriors")
     size, p = len(domains), [F.col("p")[k] for k in range(len(domains))]
     mass = rows.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * x).alias(f"m{k}") for k, x in enumerate(p)]).first()
     mass_of = [max(float(mass[f"m{k}"] or 0.0), 1e-9) for k in range(size)]
@@ -162,5 +164,5 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     likeliest = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.array_max("p")).cast("int"))
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(21)), 11) / F.lit(float(1 << 53))
     out = rows.withColumn("rate", rate)
-    return out.select("doc_id", "n_tokens", likeliest.alias("domain"), "p", "rate",
+    return out.select(*keep, "doc_id", "n_tokens", likeliest.alias("domain"), "p", "rate",
                       (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))

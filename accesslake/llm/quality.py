@@ -8,7 +8,7 @@ spread of the rates. A document's posterior joins its own evidence with the rate
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,15 +57,16 @@ def _most(words: list[str]) -> int:
     return max(count.values())
 
 
-def measured(docs: DataFrame, id_col: str, text: str, host: Column, path: Column) -> DataFrame:
-    """(doc_id, host, path, x) of every row: x are the numbers of FEATURES, null texts count as empty."""
+def measured(docs: DataFrame, id_col: str, text: str, host: Column, path: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, host, path, x) and the columns ``keep`` of every row: x are the numbers of FEATURES, null texts count as empty."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["doc_id", "host", "path"]].assign(x=[measure(t) if isinstance(t, str) else [0.0] * len(FEATURES) for t in batch.text])
+            yield batch[["doc_id", "host", "path", *keep]].assign(x=[measure(t) if isinstance(t, str) else [0.0] * len(FEATURES) for t in batch.text])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"),
-                       F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, host string, path string, x array<double>")
+                       *keep, F.col(text).alias("text"))
+    schema = rows.drop("text").withColumn("x", F.array(F.lit(0.0))).schema
+    return rows.mapInPandas(run, schema)
 
 
 @dataclass
@@ -157,8 +158,8 @@ def site_rates(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text: str = "text",
-                  label: str = "quality", threshold: float = 0.25) -> DataFrame:
-    """``doc_id, evidence, host_rate, path_rate, quality, kept`` of every row of ``docs``.
+                  label: str = "quality", threshold: float = 0.25, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, evidence, host_rate, path_rate, quality, kept`` of every row of ``docs``, after its columns ``keep``.
 
     ``evidence`` are the classifier's log-odds of a good text, ``quality`` the posterior with the rate of the row's path, ``kept``
     whether it is at least ``threshold``. Null and empty texts are measured as all zeros and judged like others; null hosts and paths
@@ -166,13 +167,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     is 0 and every rate one half. Empty tables give no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    features = scratch.keep(measured(docs, id_col, text, host, path), "features")
+    features = scratch.keep(measured(docs, id_col, text, host, path, keep), "features")
     model = fit(features, labels, id_col, label)
     evidence = model.evidence()
-    scored = scratch.keep(features.select("doc_id", "host", "path", evidence.alias("evidence"),
+    scored = scratch.keep(features.select(*keep, "doc_id", "host", "path", evidence.alias("evidence"),
                                           _sigmoid(evidence + model.base).alias("p")), "scored")
     _, rates = site_rates(scored, scratch)
     same = F.col("d.host").eqNullSafe(F.col("r.host")) & F.col("d.path").eqNullSafe(F.col("r.path"))
     posterior = _sigmoid(F.col("evidence") + _logit(F.col("path_rate")))
     return scored.alias("d").join(rates.alias("r"), same).select(
-        "doc_id", "evidence", "host_rate", "path_rate", posterior.alias("quality"), (posterior >= threshold).alias("kept"))
+        *keep, "doc_id", "evidence", "host_rate", "path_rate", posterior.alias("quality"), (posterior >= threshold).alias("kept"))

@@ -7,7 +7,8 @@
    domain has the weight 0.
 5. ``encode``: token ids and decoded text are added.
 
-Rows with a null id are judged by their text alone: they pass the stages that link documents. Empty tables pass through. Columns
+Quality and mixing decide for each row, not for each id. Rows with a null id are judged by their text alone there, and pass the stages
+that link documents. Empty tables pass through. Columns
 beside doc_id, text, lang, source and n_chars are kept up to the last stage; n_chars follows the text.
 """
 
@@ -27,25 +28,35 @@ from accesslake.llm.quality import score_quality
 from accesslake.llm.queries import label_domains
 from accesslake.session import Scratch, work_dir
 
-#: Ids are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys of rows are broadcast up to this number (16 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Weights of the domains in the corpus: all clean tokens, as many as there are. What the labelled table calls toxic is left out, and
 #: so is junk: quality has removed almost all of it, so that a share of it could not be met.
 TARGETS = {"clean": 1.0, "junk": 0.0, "toxic": 0.0}
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the given ids (column doc_id)."""
-    gone = Scratch(docs.sparkSession, "gone").keep(ids.select("doc_id").distinct(), "ids")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a digest of the id and of all that a decision depends on: rows of one key are judged alike."""
+    return docs.withColumn("_row", F.unhex(F.md5(F.to_json(F.struct("doc_id", "source", "lang", F.md5("text").alias("text"))))))
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: str, name: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is one of ``gone``; the key is never null for rows to leave out."""
+    gone = Scratch(docs.sparkSession, name).keep(gone.select(key).distinct(), "gone")
+    return docs.join(_few(gone), key, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is high enough."""
     text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_quality(docs, labels, F.col("source"), F.col("lang"))
-    return _without(docs, scored.filter(~F.col("kept")))
+    rows = _keyed(docs)
+    scored = score_quality(rows, labels, F.col("source"), F.col("lang"), keep=["_row"])
+    return _without(rows, scored.filter(~F.col("kept")), "_row", "quality").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,19 +68,39 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates.
+
+    Texts that share an id are documents of their own, linked under hashes of id and text; of rows that repeat both, one stays.
+    """
     text_batches(spark)
-    joined = jaccard_join(docs)
-    return _without(docs, joined.filter("doc_id != component_id"))
+    scratch = Scratch(spark, "near")
+    ids = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1")
+    twice = _few(scratch.keep(ids.select("_id"), "twice"))
+    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    same = (docs.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id", "text")
+            .agg(F.min_by(rest, F.to_json(rest)).alias("rest")).select("doc_id", "text", "rest.*").select(docs.columns))
+    same = scratch.keep(same.withColumn("_node", F.xxhash64("doc_id", "text")), "same")
+    rows = docs.join(twice, F.col("doc_id") == F.col("_id"), "left_anti").withColumn("_node", F.col("doc_id")).union(same)
+    joined = scratch.keep(jaccard_join(rows, id_col="_node").select(F.col("doc_id").alias("_node"), "component_id"), "joined")
+    # the smallest node is not the smallest id in components that hold hashes
+    names = same.select("_node", F.col("doc_id").alias("_id"))
+    mixed = scratch.keep(joined.join(_few(names), "_node", "left_semi").select("component_id").distinct(), "mixed")
+    least = joined.join(_few(mixed), "component_id", "left_semi").join(_few(names), "_node", "left").groupBy("component_id").agg(
+        F.min(F.struct(F.coalesce("_id", "_node").alias("id"), "_node")).alias("least"))
+    least = _few(scratch.keep(least.select("component_id", F.col("least._node").alias("_first")), "least"))
+    gone = joined.join(least, "component_id", "left").filter(F.col("_node") != F.coalesce("_first", "component_id"))
+    return _without(rows, gone, "_node", "near").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that meet the target weights; those whose likeliest domain has no weight go."""
     text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rates = mixing_rates(docs, label_domains(labels), TARGETS, max_rate=1.0)
+    rows = _keyed(docs)
+    rates = mixing_rates(rows, label_domains(labels), TARGETS, max_rate=1.0, keep=["_row"])
     unwanted = [d for d, weight in TARGETS.items() if not weight]
-    return _without(docs, rates.filter((F.col("copies") == 0) | F.col("domain").isin(unwanted)))
+    gone = rates.filter((F.col("copies") == 0) | F.col("domain").isin(unwanted))
+    return _without(rows, gone, "_row", "mixing").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,5 @@
 """The stages of the pipeline on labelled rows and on planted cases."""
 
-import pytest
-from pyspark.sql import functions as F
-
 import corpus_pipeline
 from accesslake.llm.mixing import mixing_rates
 from accesslake.llm.queries import label_domains
@@ -24,3 +21,31 @@ def test_mixing_drops_toxic_and_keeps_clean(spark):
     clean = {r.doc_id for r in known.filter("domain = 'clean'").collect()} & likeliest.keys()
     left = {r.doc_id for r in corpus_pipeline.mixing(spark, rows, SF).select("doc_id").collect()}
     assert not toxic & left and len(clean & left) >= 0.99 * len(clean)
+
+
+def test_decisions_are_for_rows_not_ids(spark):
+    """Rows without an id are judged, and of rows that share an id only the bad ones go."""
+    good = "a plain sentence of the usual kind that says something about number {} and stops there."
+    bad = "BAD BAD ### BAD $$$ {} ### BAD"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, (bad if i % 2 else good).format(i), "en", "s", 9) for i in range(400)]
+    rows += [(None, bad.format("x"), "en", "s", 9), (None, good.format("x"), "en", "s", 9), (1000, bad.format("y"), "en", "s", 9),
+             (1000, good.format("y"), "en", "s", 9), (1001, good.format("z"), None, None, None), (1001, good.format("z"), None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    wanted = sorted(((i, t) for i, t, *_ in rows if "BAD" not in t), key=str)
+    quality = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    toxic = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    for stage, labels in ((corpus_pipeline.quality, quality), (corpus_pipeline.mixing, toxic)):
+        folder = Scratch(spark, "labels").folder
+        labels.write.parquet(f"{folder}/labels.parquet")
+        assert sorted(((r.doc_id, r.text) for r in stage(spark, docs, folder).collect()), key=str) == wanted
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    base, other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in "xyz")
+    rows = [(-3, base), (5, base + " end"), (5, other), (5, other), (4, third), (4, "short text"), (3, third + " end"), (6, other + " end"), (8, "alone here"),
+            (8, "alone here"), (None, base)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(-3, base), (5, other), (4, "short text"), (3, third + " end"), (8, "alone here"), (None, base)], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), "").count() == 0
