@@ -164,6 +164,11 @@ def _linked(percent: int) -> Column:
     return (100 + percent) * F.size(F.array_intersect("xa", "xb")) >= percent * (F.size("xa") + F.size("xb"))
 
 
+def _reaches(shared: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """The same for counts of shared shingles, which may be floats, and sums of sizes: compared as integers."""
+    return (100 + percent) * shared.astype(np.int64) >= percent * total
+
+
 def _heavy_edges(scratch: Scratch, source: DataFrame, reps: DataFrame, spare: DataFrame, light: int, width: int,
                  percent: int) -> DataFrame:
     """Links of pairs with a heavy set in them."""
@@ -257,7 +262,7 @@ def _apart(scratch: Scratch, long: DataFrame, sets: DataFrame, found: DataFrame,
             m[row[here], at[here] - s] = 1
             shared += m[: len(own)] @ m[len(own):].T
         total = sizes[: len(own), None] + sizes[None, len(own):]
-        hit = ((100 + percent) * shared >= percent * total) & (own.root.to_numpy()[:, None] != other.root.to_numpy()[None, :])
+        hit = _reaches(shared, total, percent) & (own.root.to_numpy()[:, None] != other.root.to_numpy()[None, :])
         # one link for each stray and root that it reaches
         i, j = np.nonzero(hit)
         links = pd.DataFrame({"a": own.doc_id.to_numpy()[i], "b": other.doc_id.to_numpy()[j], "root": other.root.to_numpy()[j]})

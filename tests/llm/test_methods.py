@@ -257,3 +257,10 @@ def test_sharding_keeps_groups_together(spark):
 def test_gapless(spark):
     rows = gapless(spark.range(1000).withColumn("k", F.col("id") % 7), "k", "id").collect()
     assert [r.position for r in sorted(rows, key=lambda r: (r.k, r.id))] == list(range(1000))
+
+
+def test_threshold_of_very_long_lists():
+    shared = np.arange(95_871, 96_471, 3)  # exactly at 75 percent with 7 / 3 of their number as sizes
+    total = shared // 3 * 7
+    assert jaccard._reaches(shared.astype(np.float32), total, 75).all()
+    assert not jaccard._reaches(shared.astype(np.float32), total + 1, 75).any()
