@@ -66,33 +66,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
           scale: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of every query by integer inner product, ties to the smaller id.
 
-    ``queries`` and ``vectors`` have the same columns; a query is not its own candidate, so repeated rows of one id are one
-    candidate for others and none for themselves. Vectors are scaled by ``scaled``; those that are null or hold null or non-finite
-    components take no part, nor do those of another length than the first query's. Queries with fewer candidates get all of them;
-    empty tables give no rows. Other columns are not read.
+    ``queries`` and ``vectors`` have the same columns; a query is not its own candidate. Repeated rows of one id are candidates
+    each, but not for themselves; as queries they are one, with the best of what their rows find. Vectors are scaled by ``scaled``;
+    those that are null, empty or hold null or non-finite components take no part. Vectors of each length are searched by
+    themselves. Queries with fewer candidates get all of them; empty tables give no rows. Other columns are not read.
 
     Queries go out in blocks of QUERY_BLOCK against all vectors; each pass is a scan of stored cells, with two small shuffles of k
     rows for each query and task.
     """
     spark = vectors.sparkSession
-    exact = scaled(vectors, id_col, vector, scale).dropDuplicates(["vec_id"])
-    asked = materialise(scaled(queries, id_col, vector, scale).dropDuplicates(["vec_id"]), "queries")
-    first = asked.first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if first is None:
-        return empty
-    dims = len(first.v)
-    exact, asked = exact.filter(F.size("v") == dims), asked.filter(F.size("v") == dims)
-    stored, lo, width = approximated(exact, dims)
-    count = asked.count()
-    blocks = -(-count // QUERY_BLOCK)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    exact = scaled(vectors, id_col, vector, scale)
+    asked = materialise(scaled(queries, id_col, vector, scale).filter(F.size("v") > 0), "queries")
+    counts = {r.dims: r["count"] for r in asked.groupBy(F.size("v").alias("dims")).count().collect()}
+    if not counts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = []
-    for b in range(blocks):
-        rows = asked.filter(F.col("block") == b).select("vec_id", "v").toPandas()
-        if len(rows):
-            found.append(_search(stored, rows, k, lo, width))
-    return found[0] if len(found) == 1 else materialise(_union(found), "found")
+    for dims, count in sorted(counts.items()):
+        stored, lo, width = approximated(exact.filter(F.size("v") == dims), dims)
+        blocks = -(-count // QUERY_BLOCK)
+        part = asked.filter(F.size("v") == dims).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+        for b in range(blocks):
+            rows = part.filter(F.col("block") == b).select("vec_id", "v").toPandas()
+            if len(rows):
+                found.append(_search(stored, rows, k, lo, width))
+    out = found[0] if len(found) == 1 else materialise(_union(found), "found")
+    return out if len(counts) == 1 else _best(out.drop("rank"), k)  # an id may have rows of several lengths
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -153,5 +156,4 @@ def _search(stored: DataFrame, rows: pd.DataFrame, k: int, lo: np.ndarray, width
         yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     near = stored.mapInPandas(read, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _best(near, k)

@@ -259,6 +259,17 @@ def test_gapless(spark):
     assert [r.position for r in sorted(rows, key=lambda r: (r.k, r.id))] == list(range(1000))
 
 
+def test_top_k_lengths_and_repeated_rows(spark):
+    rows = [(0, []), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [2.0]), (4, [1.0]), (3, [0.0, 2.0]), (5, [0.5, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    wanted = set()
+    for q in {i for i, x in rows if x}:
+        near = sorted((-int(64 * np.array(x) @ np.array(y) * 64), j) for i, x in rows for j, y in rows if i == q != j and x and len(x) == len(y))
+        wanted |= {(q, n + 1, j, -s) for n, (s, j) in enumerate(near[:4])}
+    got = topk.top_k(vectors, vectors, k=4).collect()
+    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
+
+
 def test_threshold_of_very_long_lists():
     shared = np.arange(95_871, 96_471, 3)  # exactly at 75 percent with 7 / 3 of their number as sizes
     total = shared // 3 * 7
