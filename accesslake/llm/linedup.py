@@ -3,7 +3,7 @@
 A window is the shortest run of whole lines from some line on that holds ``min_words`` words. Every window selects the line of least
 hash as its fingerprint, so any repeated run of that many words has fingerprints at the same lines wherever it stands. Fingerprints
 of equal windows are joined with their first occurrence; each match is extended line by line both ways; and every run that stood
-somewhere before is deleted. First is who has the smallest (document, line).
+somewhere before is deleted. First is who has the smallest (document, line). Passages inside longer, otherwise different lines stay.
 """
 
 from __future__ import annotations
