@@ -112,7 +112,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("encode", encode)]
 
-#: The stages fit models and walk texts; SQL cannot express them, tests compare them with brute force.
+#: The stages fit models and walk texts; SQL cannot express them, tests/llm/test_pipeline.py runs them on planted cases.
 ORACLE_SQL = None
 
 

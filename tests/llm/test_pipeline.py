@@ -1,7 +1,14 @@
 """The stages of the pipeline on labelled rows and on planted cases."""
 
+import random
+
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from accesslake.llm.mixing import mixing_rates
+from accesslake.llm.quality import score_quality
 from accesslake.llm.queries import label_domains
 from accesslake.session import Scratch
 
@@ -49,3 +56,36 @@ def test_near_duplicates_of_shared_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted([(-3, base), (5, other), (4, "short text"), (3, third + " end"), (8, "alone here"), (None, base)], key=str)
     assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), "").count() == 0
+
+
+def test_run_on_planted_cases(spark):
+    rnd = random.Random(2)
+    word = lambda: rnd.choice("bcdfgklm") + rnd.choice("aeiou") + rnd.choice("nrst") + rnd.choice("aeiou") + str(rnd.randrange(9))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    kinds = {0: lambda: prose(40), 1: lambda: " ".join("BAD ### $$$ " + word() for _ in range(10)), 2: lambda: prose(20) + " vile hateful slur " + prose(20)}
+    rows = [(i, kinds[i % 3]()) for i in range(600)]
+    passage = "\n".join(prose(25) for _ in range(2))
+    near = rows[0][1] + " more"
+    rows += [(9000, near), (9001, prose(30) + "\n" + passage), (9002, passage + "\n" + prose(35)), (9003, passage), (None, kinds[1]()), (None, kinds[2]())]
+    folder = Scratch(spark, "planted").folder
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+                          ).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{folder}/labels.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    text = {r.doc_id: r.text for r in got}
+    assert len(got) == len(text) and text.keys() == {*range(0, 600, 3), 9001, 9002}
+    assert passage in text[9001] and text[9002] == rows[602][1].split("\n")[-1]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in got:
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False) and r.n_chars == len(r.text)
+
+
+def test_quality_of_held_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    scored = score_quality(docs, labels.filter(~held), F.col("source"), F.col("lang"))
+    rows = scored.join(labels.filter(held).select("doc_id", F.col("quality").alias("y")), "doc_id").select("kept", "y").collect()
+    bad, good = [r.kept for r in rows if r.y == 0], [r.kept for r in rows if r.y == 1]
+    assert len(bad) >= 10 and sum(bad) <= 0.15 * len(bad) and sum(good) >= 0.97 * len(good)
