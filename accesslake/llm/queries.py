@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import html
 from .bpe import bpe_encode
 from .common import text_batches
+from .hardneg import hard_negatives
 from .jaccard import jaccard_join
 from .langid import fit, identify
 from .linedup import dedup_lines
@@ -132,3 +133,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, site rates, posterior and decision for every document; hosts are sources, paths a source's languages."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+_CLASS = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+
+
+@query("op11_hard_negatives", f"""
+    WITH v AS (SELECT vec_id, {_CLASS} AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x
+      FROM embeddings WHERE label IS NOT NULL AND {_SOUND}),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id != b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+      vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every vector whose id is divisible by 100."""
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, F.expr(_CLASS))
