@@ -19,6 +19,7 @@ from .linedup import dedup_lines
 from .mixing import mixing_rates
 from .quality import score_quality
 from .rangejoin import range_join
+from .runs import periodic_runs
 from .sharding import shard_documents
 from .topk import top_k
 
@@ -152,3 +153,21 @@ _CLASS = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten hard negatives for each of the five positives of every vector whose id is divisible by 100."""
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, F.expr(_CLASS))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) where a tenth of the texts repeats a stretch of its words from some word on to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10)))
+    rows = rows.withColumn("_w", F.when(F.col("_g").isNotNull(), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    rows = rows.withColumn("_n", F.size("_w")).withColumn("_a", F.when(F.col("_n") > 0, F.expr("int(_g % _n)")))
+    rows = rows.withColumn("_p", F.expr("int(1 + (_n - _a) div (3 + _g % 8))"))
+    tail = "slice(flatten(array_repeat(slice(_w, _a + 1, _p), int((_n - _a + _p - 1) div _p))), 1, _n - _a)"
+    repeated = F.expr(f"array_join(concat(slice(_w, 1, _a), {tail}), ' ')")
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and digests of all runs and of the text without the repeats."""
+    return periodic_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text", "n_words")
