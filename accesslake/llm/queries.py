@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import html
+from . import html, pii
 from .bpe import bpe_encode
 from .common import text_batches
 from .hardneg import hard_negatives
@@ -171,3 +171,10 @@ def with_repeats(docs: DataFrame) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every document, and digests of all runs and of the text without the repeats."""
     return periodic_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text", "n_words")
+
+
+@query("op13_pii")
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: what patterns find, and what the field adds to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_pii(docs, pii.fit(docs)).drop("text")
