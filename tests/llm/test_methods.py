@@ -209,10 +209,12 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_top_k_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, cells", [(7, 256), (7, 5), (2048, 16)])
+def test_top_k_by_brute_force(spark, monkeypatch, block, cells):
     monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk, "CELLS", cells)
     monkeypatch.setattr(topk, "SCAN_ROWS", 37)
+    monkeypatch.setattr(topk, "SCAN_QUERIES", 11)
     r = np.random.default_rng(4)
     x = np.round(r.normal(size=(400, 6)), 1)  # many ties
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
