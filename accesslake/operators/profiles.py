@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cutoff, lookback
+from .common import after, before, cutoff, lookback, not_before
 from ..functions.measures import seconds_between, throughput_mbps
 from ..functions.paths import extension, first_dot_ext
+from ..session import materialise
 
 
-
-def _access_measures() -> list:
+def access_measures() -> list:
+    """The count of a file's accesses, and what is known of them."""
     return [
         F.count(F.lit(1)).alias("access_count"),
         F.avg("read_size").alias("avg_read_size"),
@@ -34,7 +35,7 @@ def file_profiles(meta: DataFrame, access: DataFrame, throughput: DataFrame,
     if as_of is not None:
         access = lookback(access, "access_time", days, as_of)
         throughput = lookback(throughput, "start_time", days, as_of)
-    per_access = access.groupBy("file_path").agg(*_access_measures())
+    per_access = access.groupBy("file_path").agg(*access_measures())
     per_transfer = throughput.groupBy("file_path").agg(F.avg("throughput_mbps").alias("throughput_mbps"))
     joined = (meta.select("file_path", "file_size", "chunk_size")
               .join(per_access, "file_path", "left").join(per_transfer, "file_path", "left"))
@@ -43,7 +44,7 @@ def file_profiles(meta: DataFrame, access: DataFrame, throughput: DataFrame,
 
 def training_profiles(meta: DataFrame, access: DataFrame) -> DataFrame:
     """Profiles of the files that have accesses."""
-    per_access = access.groupBy("file_path").agg(*_access_measures())
+    per_access = access.groupBy("file_path").agg(*access_measures())
     return meta.select("file_path", "file_size", "chunk_size").join(per_access, "file_path")
 
 
@@ -199,22 +200,24 @@ def apply_retention(access: DataFrame, throughput: DataFrame, meta: DataFrame, d
                     as_of: str) -> dict[str, DataFrame]:
     """The three tables without rows older than ``days``, and the rows each one loses.
 
-    Rows exactly at the cut-off stay; a file goes when no access of it stays.
+    Rows exactly at the cut-off stay, and so do rows without a time; a file goes when no access of it stays. Accesses are read once and
+    stored as two counts for each file: the report and the files to keep come from those. Runs a job when called.
     """
-    stays_access = F.col("access_time") >= cutoff(access, "access_time", days, as_of)
-    stays_transfer = F.col("start_time") >= cutoff(throughput, "start_time", days, as_of)
-    kept_access = access.where(stays_access)
-    orphans = orphan_files(meta, kept_access)
-    kept_meta = meta.join(accessed_paths(kept_access), "file_path", "left_semi")
-    deleted = (access.agg(F.count_if(~stays_access).alias("deleted")).select(F.lit("file_access").alias("table_name"), "deleted")
-               .unionAll(throughput.agg(F.count_if(~stays_transfer).alias("deleted"))
-                         .select(F.lit("throughput_metrics"), "deleted"))
-               .unionAll(orphans.agg(F.count(F.lit(1)).alias("deleted")).select(F.lit("file_metadata"), "deleted")))
-    return {"file_access": kept_access, "throughput_metrics": throughput.where(stays_transfer),
-            "file_metadata": kept_meta, "deleted": deleted}
+    access_end = cutoff(access, "access_time", days, as_of)
+    transfer_end = cutoff(throughput, "start_time", days, as_of)
+    old = F.coalesce(F.col("access_time") < access_end, F.lit(False))
+    counts = materialise(access.groupBy("file_path").agg(
+        F.count_if(old).alias("deleted"), F.count_if(~old).alias("kept")), "retention")
+    files = meta.join(counts.where("kept > 0"), "file_path", "left_anti")
+    deleted = (counts.agg(F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted")).select(F.lit("file_access").alias("table_name"), "deleted")
+               .unionAll(throughput.where(before(throughput, "start_time", transfer_end)).agg(F.count(F.lit(1)).alias("deleted")).select(F.lit("throughput_metrics"), "deleted"))
+               .unionAll(files.agg(F.count(F.lit(1)).alias("deleted")).select(F.lit("file_metadata"), "deleted")))
+    return {"file_access": access.where(not_before(access, "access_time", access_end)),
+            "throughput_metrics": throughput.where(not_before(throughput, "start_time", transfer_end)),
+            "file_metadata": meta.join(counts.where("kept > 0"), "file_path", "left_semi"), "deleted": deleted}
 
 
 def new_rows(df: DataFrame, ts: str, since: str) -> DataFrame:
     """How many rows arrived after ``since``."""
-    after = F.col(ts) > F.lit(since).cast(df.schema[ts].dataType)
-    return df.where(after).agg(F.count(F.lit(1)).alias("new_rows"))
+    later = after(df, ts, F.lit(since).cast(df.schema[ts].dataType))
+    return df.where(later).agg(F.count(F.lit(1)).alias("new_rows"))

@@ -34,11 +34,17 @@ def change_plan(meta: DataFrame, access: DataFrame, throughput: DataFrame, predi
     the accesses of their profiles, so each fact table is read once.
     """
     profiles = file_profiles(matching_files(meta, **selection), access, throughput)
+    return plan_of(profiles, predict, force, min_access, limit)
+
+
+def plan_of(profiles: DataFrame, predict: Predictor, force: bool = False, min_access: int | None = None,
+            limit: int | None = None) -> DataFrame:
+    """The plan for files whose profiles are known."""
     active = profiles.where(F.col("access_count") >= max(1, min_access or 1))
     if limit:
         active = active.orderBy("file_path").limit(limit)
     predicted = predict(with_default_features(active))
-    plan = predicted.select("file_path", F.col("current_chunk_kb").alias("old_chunk_size"),
+    plan = predicted.select("file_path", F.col("current_chunk_kb").cast("bigint").alias("old_chunk_size"),
                             clamp(F.col("optimal_chunk_kb")).cast("bigint").alias("new_chunk_size"), "confidence")
     if force:
         return plan

@@ -9,8 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.sizing import parse_chunk_kb
 from ..operators.clean import validate_events
-from ..operators.profiles import throughput_rows
+from ..operators.profiles import access_measures, throughput_rows
+from ..plans.recommend import Predictor, plan_of
 from ..session import work_dir
+from ..sources.versions import ChangeLog
 
 # Bytes assumed per access, and the chunk size of a file without entry info.
 ASSUMED_BYTES = 4096
@@ -43,26 +45,23 @@ def metadata_updates(events: DataFrame) -> DataFrame:
     return events.groupBy("file_path").agg(F.min("access_time").alias("first_seen"), newest)
 
 
-def upsert_metadata(events: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Keep file metadata current.
+def kept_metadata(spark: SparkSession, path: str, every: int = 16) -> ChangeLog:
+    """The stored metadata of the files, by path."""
+    latest = "latest struct<access_time: timestamp, id: bigint, file_size: bigint, chunk_size: bigint>"
+    return ChangeLog(spark, path, f"file_path string, first_seen timestamp, {latest}", ["file_path"], every)
 
-    Each batch stores only the files it changed, in a folder named after the batch, so a batch that runs
-    again after a failure replaces its own output. ``current_metadata`` reads the newest row per file.
-    """
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (metadata_updates(events).writeStream.outputMode("update").foreachBatch(store)
+def upsert_metadata(events: DataFrame, path: str, checkpoint: str, trigger: dict, every: int = 16) -> StreamingQuery:
+    """Keep file metadata current: each batch stores the files it changed; every so many batches are merged into a snapshot."""
+    log = kept_metadata(events.sparkSession, path, every)
+    return (metadata_updates(events).writeStream.outputMode("update").foreachBatch(log.store)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 def current_metadata(spark: SparkSession, path: str) -> DataFrame:
     """The metadata table as of the last stored batch."""
-    changes = spark.read.option("basePath", path).parquet(path)
-    newest = changes.groupBy("file_path").agg(F.max(F.struct("batch_id", "first_seen", "latest")).alias("u"))
-    return newest.select("file_path", F.col("u.latest.file_size").alias("file_size"),
-                         F.col("u.latest.chunk_size").alias("chunk_size"), F.col("u.first_seen").alias("first_seen"),
-                         F.col("u.latest.access_time").alias("last_seen"))
+    return kept_metadata(spark, path).rows().select(
+        "file_path", "latest.file_size", "latest.chunk_size", "first_seen", F.col("latest.access_time").alias("last_seen"))
 
 
 def record_throughput(transfers: DataFrame, delay: str) -> DataFrame:
@@ -77,31 +76,32 @@ def record_throughput(transfers: DataFrame, delay: str) -> DataFrame:
 _ACTIVITY = ("events", "read_events", "write_events")
 
 
+def kept_activity(spark: SparkSession, path: str, every: int = 16) -> ChangeLog:
+    """The stored counts of the windows, by their bounds."""
+    counts = ", ".join(f"{c} bigint" for c in _ACTIVITY)
+    return ChangeLog(spark, path, f"window_start timestamp, window_end timestamp, {counts}", ["window_start", "window_end"], every)
+
+
 def publish_activity(events: DataFrame, path: str, checkpoint: str, trigger: dict, length: str = "24 hours", step: str = "1 hour",
-                     delay: str | None = None) -> StreamingQuery:
+                     delay: str | None = None, every: int = 16) -> StreamingQuery:
     """Keep the accesses per sliding window current, open windows included.
 
-    Each batch stores the windows it changed, in a folder named after the batch; ``current_activity`` reads the newest row of each.
-    Without ``delay`` no row is ever too late and the state keeps all windows; with it, windows that old are closed and forgotten.
+    Each batch stores the windows it changed; every so many batches are merged into a snapshot. Without ``delay`` no row is ever too late
+    and the state keeps all windows; with it, windows that old are closed and forgotten by the state, not by the table.
     """
     late = events.withWatermark("access_time", delay) if delay else events
     counted = late.groupBy(F.window("access_time", length, step).alias("w")).agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("access_type") == "read").alias("read_events"),
         F.count_if(F.col("access_type") == "write").alias("write_events"))
     rows = counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_ACTIVITY)
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return (rows.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    log = kept_activity(events.sparkSession, path, every)
+    return (rows.writeStream.outputMode("update").foreachBatch(log.store).option("checkpointLocation", checkpoint)
             .trigger(**trigger).start())
 
 
 def current_activity(spark: SparkSession, path: str) -> DataFrame:
     """The counts of every window as of the last stored batch."""
-    changes = spark.read.option("basePath", path).parquet(path)
-    newest = changes.groupBy("window_start", "window_end").agg(F.max(F.struct("batch_id", *_ACTIVITY)).alias("u"))
-    return newest.select("window_start", "window_end", *[F.col(f"u.{c}").alias(c) for c in _ACTIVITY])
+    return kept_activity(spark, path).rows()
 
 
 def live_activity(events: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str | None = None) -> DataFrame:
@@ -130,14 +130,47 @@ def count_stream(rows: DataFrame, ts: str, since: str) -> DataFrame:
         F.count(F.lit(1)).alias("new_rows"))
 
 
-def scan_loop(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-              trigger: dict | None = None) -> StreamingQuery:
-    """Run ``plan`` on each batch of changed files every five minutes and store its rows per batch."""
-    def store(batch: DataFrame, batch_id: int) -> None:
-        plan(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def profile_updates(accesses: DataFrame, transfers: DataFrame) -> DataFrame:
+    """The running profile of every file that a batch of accesses or transfers touches.
+
+    Both streams feed one aggregation: its state holds sums, counts and maxima for each file, so a batch reads its own rows and the state
+    of the files they touch, whatever the history. The measures are those of ``file_profiles``.
+    """
+    rows = (accesses.select("file_path", "access_type", "read_size", "write_size", F.lit(1).alias("_access"))
+            .unionByName(transfers.select("file_path", "throughput_mbps"), allowMissingColumns=True))
+    count = F.count("_access").alias("access_count")
+    return rows.groupBy("file_path").agg(count, *access_measures()[1:], F.avg("throughput_mbps").alias("throughput_mbps"))
+
+
+PLAN = "file_path string, old_chunk_size bigint, new_chunk_size bigint, confidence double, wanted boolean"
+
+
+def kept_plan(spark: SparkSession, path: str, every: int = 16) -> ChangeLog:
+    """The stored plan, by path; rows that are no longer wanted are kept as such."""
+    return ChangeLog(spark, path, PLAN, ["file_path"], every)
+
+
+def scan_loop(accesses: DataFrame, transfers: DataFrame, meta: Callable[[], DataFrame], predict: Predictor, path: str, checkpoint: str,
+              min_access: int = 5, force: bool = False, trigger: dict | None = None, every: int = 16) -> StreamingQuery:
+    """Keep the change plan current, every five minutes for the files that were touched since.
+
+    ``meta`` gives the files' metadata as of the batch. A batch plans anew the files it touches, from their running profiles; the others'
+    rows stand. ``current_plan`` equals ``change_plan`` over all rows so far.
+    """
+    log = kept_plan(accesses.sparkSession, path, every)
+
+    def plan(batch: DataFrame, number: int) -> None:
+        profiles = meta().select("file_path", "file_size", "chunk_size").join(batch, "file_path")
+        rows = plan_of(profiles, predict, True, min_access)
+        log.store(rows.withColumn("wanted", F.lit(force) | (F.col("old_chunk_size") != F.col("new_chunk_size"))), number)
+
+    return (profile_updates(accesses, transfers).writeStream.outputMode("update").foreachBatch(plan)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "300 seconds"})).start())
+
 
-    return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "300 seconds"})).start())
+def current_plan(spark: SparkSession, path: str) -> DataFrame:
+    """The planned changes as of the last stored batch."""
+    return kept_plan(spark, path).rows().where("wanted").drop("wanted")
 
 
 def drain(spark: SparkSession, start: Callable[[str, str], StreamingQuery], name: str) -> str:

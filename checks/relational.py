@@ -52,12 +52,8 @@ def _(t: Tables):
     return require_samples(t.bench_log, 100).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("src_tables", """
-SELECT 'file_access' AS table_name, count(*) AS row_count, sum(read_size + write_size)::BIGINT AS total FROM accesses
-UNION ALL SELECT 'file_metadata', count(*), sum(file_size)::BIGINT FROM files
-UNION ALL SELECT 'throughput_metrics', count(*), sum(bytes_transferred)::BIGINT FROM tput
-UNION ALL SELECT 'optimization_history', count(*), sum(new_chunk_size)::BIGINT FROM history""")
-def _(t: Tables):
+def stored_tables(t: Tables) -> str:
+    """The given tables as a log store in a folder of its own."""
     base = work_dir(t.spark, "tables")
     now = F.lit(AS_OF).cast("timestamp")
     logs.save_tables({
@@ -67,7 +63,16 @@ def _(t: Tables):
         "optimization_history": t.history.withColumn("optimization_time", F.col("optimization_time").cast("timestamp"))
         .withColumn("id", F.xxhash64("file_path", "optimization_time")),
     }, base)
-    loaded = logs.load_tables(t.spark, base)
+    return base
+
+
+@query("src_tables", """
+SELECT 'file_access' AS table_name, count(*) AS row_count, sum(read_size + write_size)::BIGINT AS total FROM accesses
+UNION ALL SELECT 'file_metadata', count(*), sum(file_size)::BIGINT FROM files
+UNION ALL SELECT 'throughput_metrics', count(*), sum(bytes_transferred)::BIGINT FROM tput
+UNION ALL SELECT 'optimization_history', count(*), sum(new_chunk_size)::BIGINT FROM history""")
+def _(t: Tables):
+    loaded = logs.load_tables(t.spark, stored_tables(t))
     total = {"file_access": F.sum(F.col("read_size") + F.col("write_size")), "file_metadata": F.sum("file_size"),
              "throughput_metrics": F.sum("bytes_transferred"), "optimization_history": F.sum("new_chunk_size")}
     parts = [loaded[n].agg(F.count(F.lit(1)).alias("row_count"), s.alias("total")).select(F.lit(n).alias("table_name"), "*")
@@ -201,6 +206,14 @@ def _(t: Tables):
     return lookback(t.accesses, "access_time", 7, AS_OF).select("id", "file_path", "access_time")
 
 
+@query("flt_lookback_stored", """
+SELECT id, file_path, access_time FROM accesses WHERE access_time > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY""")
+def _(t: Tables):
+    """The same out of the stored table, of which only the days in question are opened."""
+    stored = logs.load_tables(t.spark, stored_tables(t))["file_access"]
+    return lookback(stored, "access_time", 7, AS_OF).select("id", "file_path", F.col("access_time").cast("timestamp_ntz"))
+
+
 @query("flt_dynamic", """
 SELECT DISTINCT f.file_path FROM files f JOIN accesses a ON f.file_path = a.file_path
 WHERE f.file_size >= 1000000 AND f.file_size <= 800000000

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from accesslake.operators import profiles
-from accesslake.plans import recommend
+from accesslake.sources import logs
 from accesslake.streaming import ingest
-from .learning import closed_form
-from .registry import Tables, query
-from .relational import AS_OF, ENTRY_TEXT
+from .learning import BEST_OF_FILES, closed_form
+from .registry import Tables, query, rounded
+from .relational import AS_OF, ENTRY_TEXT, stored_tables
 
 NOW = {"availableNow": True}
 
@@ -27,6 +27,15 @@ def live_accesses(t: Tables) -> DataFrame:
     return stream_of(t, "events", lambda live: live.accesses.withColumn("access_time", F.col("access_time").cast("timestamp")))
 
 
+def timed_transfers(t: Tables) -> DataFrame:
+    return stream_of(t, "orders", lambda live: live.transfer_rows.withColumns(
+        {c: F.col(c).cast("timestamp") for c in ("start_time", "end_time")}))
+
+
+def live_transfers(t: Tables) -> DataFrame:
+    return profiles.throughput_rows(timed_transfers(t))
+
+
 KIND = "CASE WHEN access_type = 'write' THEN CASE id % 2 WHEN 0 THEN 'modified' ELSE 'created' END ELSE CASE id % 3 WHEN 0 THEN 'opened' WHEN 1 THEN 'accessed' ELSE 'moved' END END"
 
 
@@ -60,11 +69,8 @@ def _(t: Tables):
 @query("st_throughput", """
 SELECT file_path, start_time, count(*) AS row_count FROM (SELECT DISTINCT file_path, start_time FROM tput) GROUP BY 1, 2""")
 def _(t: Tables):
-    def timed(live: Tables) -> DataFrame:
-        return live.transfer_rows.withColumns({c: F.col(c).cast("timestamp") for c in ("start_time", "end_time")})
-
     # The table is not in time order, so a copy can be as late as the table is long.
-    rates = ingest.record_throughput(stream_of(t, "orders", timed), delay="3650 days")
+    rates = ingest.record_throughput(timed_transfers(t), delay="3650 days")
     path = ingest.drain(t.spark, lambda out, ckpt: ingest.append_to(rates, out, ckpt, NOW), "throughput")
     stored = t.spark.read.schema(rates.schema).parquet(path).withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
     return stored.groupBy("file_path", "start_time").agg(F.count(F.lit(1)).alias("row_count"))
@@ -91,6 +97,25 @@ def _(t: Tables):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+@query("st_retention_stored", """
+SELECT 'file_access' AS table_name, count(*) FILTER (WHERE old) AS deleted, count(*) FILTER (WHERE NOT old) AS row_count,
+  0::BIGINT AS days_before FROM (SELECT access_time < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AS old FROM accesses)
+UNION ALL SELECT 'throughput_metrics', count(*) FILTER (WHERE old), count(*) FILTER (WHERE NOT old), 0
+  FROM (SELECT start_time < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AS old FROM tput)
+UNION ALL SELECT 'file_metadata', count(*) FILTER (WHERE old), count(*) FILTER (WHERE NOT old), 0 FROM (SELECT file_path NOT IN (
+  SELECT file_path FROM accesses WHERE access_time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY) AS old FROM files)""")
+def _(t: Tables):
+    """The same on the stored tables: what goes, what is left on disk, and how many folders of days before the cut-off there are."""
+    base = stored_tables(t)
+    deleted = logs.retain(t.spark, base, 7, AS_OF)
+    left = logs.load_tables(t.spark, base)
+    early = {n: F.count_distinct(F.when(F.col(d) < F.lit("2024-01-24").cast("date"), F.col(d)))
+             for n, d in (("file_access", "access_date"), ("throughput_metrics", "start_date"))}
+    parts = [left[n].agg(F.count(F.lit(1)).alias("row_count"), early.get(n, F.lit(0).cast("bigint")).alias("days_before"))
+             .select(F.lit(n).alias("table_name"), "*") for n in ("file_access", "throughput_metrics", "file_metadata")]
+    return deleted.join(parts[0].unionAll(parts[1]).unionAll(parts[2]), "table_name")
+
+
 @query("st_new_rows", """
 SELECT 'batch' AS kind, count(*) AS new_rows FROM accesses WHERE access_time > TIMESTAMP '2024-01-20 00:00:00'
 UNION ALL SELECT 'stream', count(*) FROM accesses WHERE access_time > TIMESTAMP '2024-01-20 00:00:00'""")
@@ -107,18 +132,14 @@ def _(t: Tables):
     return batch.select(F.lit("batch").alias("kind"), "new_rows").unionAll(streamed.select(F.lit("stream"), "new_rows"))
 
 
-@query("st_scan_loop", """
-SELECT DISTINCT f.file_path FROM files f JOIN accesses a ON f.file_path = a.file_path
-WHERE (SELECT count(*) FROM accesses x WHERE x.file_path = f.file_path) >= 5""")
+@query("st_scan_loop", f"""
+SELECT file_path, CAST(chunk_size AS BIGINT) AS old_chunk_size, CAST(least(greatest(chunk, 64), 4096) AS BIGINT) AS new_chunk_size, round(best, 6) AS confidence
+FROM {BEST_OF_FILES} WHERE chunk_size <> least(greatest(chunk, 64), 4096)
+  AND file_path IN (SELECT file_path FROM accesses GROUP BY file_path HAVING count(*) >= 5)""")
 def _(t: Tables):
-    changed = stream_of(t, "events", lambda live: live.accesses.select("file_path"))
-
-    def plan(batch: DataFrame) -> DataFrame:
-        touched = t.files.join(profiles.accessed_paths(batch), "file_path", "left_semi")
-        return recommend.change_plan(touched, t.accesses, t.tput, closed_form, force=True, min_access=5)
-
-    path = ingest.drain(t.spark, lambda out, ckpt: ingest.scan_loop(changed, plan, out, ckpt, NOW), "scan-loop")
-    return t.spark.read.option("basePath", path).parquet(path).select("file_path").distinct()
+    path = ingest.drain(t.spark, lambda out, ckpt: ingest.scan_loop(
+        live_accesses(t), live_transfers(t), lambda: t.files, closed_form, out, ckpt, trigger=NOW), "scan-loop")
+    return rounded(ingest.current_plan(t.spark, path))
 
 
 ACTIVITY = """
