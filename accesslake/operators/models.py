@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -10,9 +10,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import Imputer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
-from .candidates import best_candidate, candidate_list, expand_candidates
+from .candidates import TIE, candidate_list
 from .common import with_row
+from .ensembles import with_best_candidate, with_candidate_scores
 from .evaluate import binary_metrics
 from .labels import with_band
 from ..functions.sizing import decide, tier_candidates
@@ -64,12 +66,13 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> list:
             VectorAssembler(inputCols=filled, outputCol="features")]
 
 
-def model_input(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with the columns that the model reads, as numbers; the access band is derived where it is missing."""
+def model_input(model: PipelineModel, df: DataFrame, as_is: Collection[str] = ()) -> DataFrame:
+    """``df`` with the columns that the model reads, as numbers (but for those to be left as they are); the access band is derived where
+    it is missing."""
     features = model.stages[0].getInputCols()
     if "access_count_label" in features and "access_count_label" not in df.columns:
         df = with_band(df)
-    return df.withColumns({c: F.col(c).cast("double") for c in features})
+    return df.withColumns({c: F.col(c).cast("double") for c in features if c not in as_is})
 
 
 def without_summary(model, spark: SparkSession):
@@ -157,34 +160,33 @@ def predict_rf(df: DataFrame, model: PipelineModel, candidates: Sequence[float],
                size: str = "file_size_kb", chunk: str = "chunk_size_kb", keep: Sequence[str] = ()) -> DataFrame:
     """Best trained chunk size and its confidence for every row, whether or not others have its ``key``.
 
-    A row's candidates are told from those of equal rows by a number, so every input row comes out once. ``keep`` names further
-    columns to carry along.
+    Among candidates whose probabilities are nearly equal the largest is chosen. A row's candidates are scored within the row: every
+    input row comes out once, and nothing is shuffled. ``keep`` names further columns to carry along.
     """
-    expanded = expand_candidates(df.withColumn("_row", F.monotonically_increasing_id()), candidates, chunk)
-    best = best_candidate(with_probability(model, expanded), ["_row", *key, size, "current_chunk", *keep], chunk)
-    return best.select(*key, size, F.col("current_chunk").alias("current_chunk_kb"),
-                       F.col("optimal_chunk").alias("optimal_chunk_kb"), "confidence", *keep)
+    kind = df.schema[chunk].dataType
+    chunks = [float(int(c)) if isinstance(kind, IntegralType) else float(c) for c in candidates]
+    best = with_best_candidate(model_input(model, df, {chunk}), model, chunks, chunk, TIE)
+    return best.select(*key, size, F.col(chunk).alias("current_chunk_kb"), F.col("_optimal").cast(kind).alias("optimal_chunk_kb"),
+                       "confidence", *keep)
 
 
 def predict_gbt(df: DataFrame, model: PipelineModel, key: Sequence[str] = ("file_path",),
                 size: str = "file_size_kb", chunk: str = "chunk_size_kb", keep: Sequence[str] = ()) -> DataFrame:
     """Tiered candidates, model scores and the keep-or-change decision for every row, whether or not others have its ``key``.
 
-    Every input row comes out once; ``keep`` names further columns to carry along. A row of a file too small for any candidate keeps one unscored line, which decides for 64 KB.
+    The candidates of a row are an array, scored within the row; among equals the first counts. Every input row comes out once; ``keep``
+    names further columns to carry along. A row of a file too small for any candidate has no confidence, and is decided for 64 KB.
     """
-    kind = df.schema[chunk].dataType
-    spread = (df.withColumns({"current_chunk": F.col(chunk), "_row": F.monotonically_increasing_id()})
-              .select("*", F.posexplode_outer(tier_candidates(F.col(size), F.col(chunk))).alias("position", "_c"))
-              .withColumn(chunk, F.coalesce(F.col("_c"), F.col("current_chunk")).cast(kind)))
-    scored = with_probability(model, spread)
-    fits = F.col("_c").isNotNull()
-    best = F.max(F.when(fits, F.struct("p", (-F.col("position")).alias("n"), F.col("_c").alias("chunk"))))
-    own = F.max(F.when(fits & (F.col("_c") == F.col("current_chunk")), F.col("p")))
-    rows = scored.groupBy("_row", *key, size, "current_chunk", *keep).agg(best.alias("_b"), own.alias("current_p"))
-    return rows.select(
-        *key, size, F.col("current_chunk").alias("current_chunk_kb"),
-        decide(F.col(size), F.col("current_chunk"), F.col("_b.chunk"), F.col("current_p"), F.col("_b.p")).alias("optimal_chunk_kb"),
-        F.col("_b.p").alias("confidence"), *keep)
+    listed = model_input(model, df, {chunk, size}).withColumn("_c", tier_candidates(F.col(size), F.col(chunk)))
+    scored = with_candidate_scores(listed, model, F.col("_c"), chunk, "_p")
+    best = F.array_max("_p")
+    current = F.array_position("_c", F.col(chunk).cast("double"))
+    chosen = scored.withColumns({"_best": best, "_own": F.when(current > 0, F.get("_p", current.cast("int") - 1))}).withColumn(
+        "_chunk", F.get("_c", F.array_position("_p", F.col("_best")).cast("int") - 1))
+    return chosen.select(
+        *key, size, F.col(chunk).alias("current_chunk_kb"),
+        decide(F.col(size), F.col(chunk), F.col("_chunk"), F.col("_own"), F.col("_best")).alias("optimal_chunk_kb"),
+        F.col("_best").alias("confidence"), *keep)
 
 
 def save_model(model: PipelineModel, candidates: Sequence[float], path: str, spark: SparkSession) -> None:
