@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_on, with_row
+from .common import join_on
 from .quantiles import (
     HOT_VALUES, exact_quantiles, few_group_quantiles, global_quantile, stored_counts, values_at_ranks)
 from ..functions.sizing import LARGE_FILE_KB, access_band, combination
@@ -29,13 +29,12 @@ def label_ot(df: DataFrame, q: float = QUANTILE, size: str = "file_size_kb", thr
     """
     banded = with_band(df)
     keys = list(keys or (size, "access_count_label"))
-    # The thresholds scan the rows a few times: only the columns that they need, evaluated once.
-    narrow = materialise(banded.select(*keys, F.col(throughput).cast("double").alias(throughput)), "throughputs")
-    limits = few_group_quantiles(narrow, keys, throughput, {"_limit": q}, "_rows", hot_values)
+    narrow = banded.select(*keys, F.col(throughput).cast("double").alias(throughput))
+    limits = few_group_quantiles(narrow, keys, throughput, {"_limit": q}, "_rows", hot_values,
+                                 overall={"_overall": q} if min_rows > 1 else None)
     if min_rows > 1:
-        limits = with_row(limits, few_group_quantiles(narrow, [], throughput, {"limit": q}, hot_values=hot_values))
-        limits = limits.withColumn("_limit", F.when(F.col("_rows") >= min_rows, F.col("_limit")).otherwise(F.col("_m.limit")))
-    # Stored, so that the join knows how small the thresholds are and need not shuffle the rows.
+        limits = limits.withColumn("_limit", F.when(F.col("_rows") >= min_rows, F.col("_limit")).otherwise(F.col("_overall")))
+    # Stored, so that the join knows how small the thresholds are, and whatever reads the labels does not find them anew.
     limits = materialise(limits.select(*keys, "_limit"), "limits")
     reached = F.round(throughput, DECIMALS) >= F.round("_limit", DECIMALS)
     return (join_on(banded, limits, keys, "left")
@@ -54,8 +53,7 @@ def prune_labels(df: DataFrame, label: str, path: str = "file_path", size: str =
     sized = df.withColumn("_large", F.col(size) > LARGE_FILE_KB)
     cuts = exact_quantiles(sized.where(F.col(label) == 1), [path, "_large"], chunk, {"_median": 0.5},
                            count_as="_optimal", hot_values=hot_values)
-    cuts = materialise(cuts.where(F.col("_optimal") >= 2), "cuts")
-    joined = join_on(sized, cuts, [path, "_large"], "left")
+    joined = join_on(sized, cuts.where(F.col("_optimal") >= 2), [path, "_large"], "left")
     beyond = F.when(F.col("_large"), F.col(chunk) < F.col("_median")).otherwise(F.col(chunk) > F.col("_median"))
     loses = (F.col(label) == 1) & beyond
     return joined.withColumn(label, F.when(loses, 0).otherwise(F.col(label))).drop("_large", "_median", "_optimal")

@@ -1,16 +1,17 @@
 """Exact grouped quantiles that hold when one group has a third of all rows.
 
 The caller says which of two ways fits. For a few groups, such as the columns of a table or bands of sizes, ``few_group_quantiles``
-scans the rows for the extremes, again for counts per bucket of the range between them, and a third time for the values of the
-buckets that hold the wanted ranks: no value but those is shuffled or stored. For many groups, such as files, ``exact_quantiles``
-reduces the rows to counted values:
+scans the rows twice. The first scan counts them per group and bucket of a fixed logarithmic scale, which needs no extremes and merges from
+task to task; these counts are the one table that is stored, and tell the bucket of every wanted rank, for the groups and for all rows
+alike. The second scan takes the values of those buckets only. For many groups, such as files, ``exact_quantiles`` reduces the rows to
+counted values:
 
 The rows are reduced once to (group, value, count), with map-side combine, and that table is stored in
 the shared work folder: the input is evaluated one time, whatever follows. A group with few distinct
 values goes to the built-in ``percentile``. A group with many is never brought into one task: rank
 selection narrows the value range that holds the wanted rank, by counting rows per equal-width bucket
 of the range, until few values are left in it. Each step reads the stored counts against a table with
-one row per hot group and rank; only bucket counts are shuffled.
+one row per hot group and rank; only bucket counts are shuffled. The same happens to a logarithmic bucket that holds too many rows.
 
 The functions run jobs when called; what they return is lazy over stored tables.
 """
@@ -18,6 +19,7 @@ The functions run jobs when called; what they return is lazy over stored tables.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -46,28 +48,65 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
     return quantiles_of_counts(stored_counts(typed, keys, value), keys, quantiles, count_as, hot_values)
 
 
+def log_bucket(v: Column) -> Column:
+    """The place of a double on a logarithmic scale of 128 steps for each doubling: never falls as the value grows; NaN comes last."""
+    size = F.floor(F.log2(F.abs(v)) * F.lit(128.0))
+    code = F.lit(140_000) + F.least(F.greatest(size, F.lit(-139_999)), F.lit(131_072))
+    return F.when(F.isnan(v), F.lit(400_000)).when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0)).cast("int")
+
+
 def few_group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
-                        count_as: str | None = None, hot_values: int = HOT_VALUES, fanout: int = FANOUT) -> DataFrame:
-    """As ``exact_quantiles`` for few groups: the rows are scanned again instead of stored, and groups of any size go one way.
+                        count_as: str | None = None, hot_values: int = HOT_VALUES, fanout: int = FANOUT,
+                        overall: Mapping[str, float] | None = None) -> DataFrame:
+    """As ``exact_quantiles`` for few groups, from two scans of ``df``, whatever the sizes of the groups.
 
-    ``df`` should be cheap to scan: a table, or a projection of one.
+    ``overall`` names quantiles of all rows, which come as further columns, the same in every row, out of the same scans.
     """
     keys, points = list(keys), [float(q) for q in quantiles.values()]
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sizes = materialise(rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_t"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("_t > 0"), "extremes")
-    placed = join_on(rows, sizes, keys) if keys else with_row(rows, sizes).select("_v", "_m.*")
-    buckets = materialise(
-        placed.groupBy(*keys, _bucket(fanout).alias("_b"))
-        .agg(F.count(F.lit(1)).alias("_bn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "buckets")
-    ranks = sizes.select(*keys, F.lit(0).cast("bigint").alias("_base"), F.explode(_ranks(points)).alias("_rank"))
-    # ``fanout`` rows at most for each group and rank
-    counted = join_on(ranks, buckets, keys) if keys else ranks.join(buckets, F.lit(True))
-    held = _at_rank(counted, [*keys, "_rank"], "_b", "_bn").select(
-        *keys, "_rank", "_lo", "_hi", (F.col("_upto") - F.col("_bn")).alias("_base"), F.col("_bn").alias("_d"))
-    found = _settle(rows.withColumn("_n", F.lit(1).cast("bigint")), keys, held, hot_values, fanout)
+    rows = rows.withColumn("_b", log_bucket(F.col("_v")))
+    counts = materialise(rows.groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "histogram")
+    levels = [_Level(counts, keys, points)] + ([_Level(counts, [], [float(q) for q in overall.values()])] if overall else [])
+    # the buckets whose values are wanted, of any level, group by group
+    wanted = [join_on(counts, level.open, [*level.keys, "_b"], "left_semi").select(*keys, "_b") for level in levels]
+    hit = reduce(DataFrame.union, wanted).distinct() if len(wanted) > 1 else wanted[0]
+    values = join_on(rows, hit, [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    found = [level.quantiles(values, rows, hot_values, fanout) for level in levels]
     columns = [F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)]
-    return _interpolated(sizes, keys, found, points).select(*keys, *columns, *([F.col("_t").alias(count_as)] if count_as else []))
+    result = found[0].select(*keys, *columns, *([F.col("_t").alias(count_as)] if count_as else []))
+    if overall:
+        result = with_row(result, found[1].select(*[F.col("_q")[i].alias(n) for i, n in enumerate(overall)]), "_all")
+        result = result.select(*[c for c in result.columns if c != "_all"], "_all.*")
+    return result
+
+
+class _Level:
+    """The ranks of the quantiles of some groups, located in a stored histogram of finer groups."""
+
+    def __init__(self, counts: DataFrame, keys: list[str], points: list[float]):
+        self.keys, self.points = keys, points
+        merged = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        self.sizes = merged.groupBy(*keys).agg(F.sum("_n").alias("_t")).where("_t > 0")
+        ranks = self.sizes.select(*keys, F.lit(0).cast("bigint").alias("_base"), F.explode(_ranks(points)).alias("_rank"))
+        ranked = join_on(ranks, merged, keys) if keys else ranks.join(merged, F.lit(True))
+        # the buckets of a group at most, for each of its ranks
+        self.held = _at_rank(ranked, [*keys, "_rank"], "_b", "_n").select(
+            *keys, "_rank", "_b", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_base"), F.col("_n").alias("_d"))
+        self.open = self.held.where("_lo < _hi").select(*keys, "_b").distinct()
+
+    def quantiles(self, values: DataFrame, rows: DataFrame, hot_values: int, fanout: int) -> DataFrame:
+        """(keys, _q, _t): from the counted values of the open buckets or, if one holds too many rows, by narrowing its range."""
+        largest = self.held.where("_lo < _hi").agg(F.max("_d")).first()[0]  # one number
+        if largest is not None and largest > hot_values:
+            found = _settle(rows.withColumn("_n", F.lit(1).cast("bigint")), self.keys, self.held.drop("_b"), hot_values, fanout)
+        else:
+            group = [*self.keys, "_b"]
+            merged = values.groupBy(*group, "_v").agg(F.sum("_n").alias("_n"))
+            ranked = join_on(merged, self.held.where("_lo < _hi").select(*group, "_rank", "_base"), group)
+            found = _at_rank(ranked, [*self.keys, "_rank"], "_v", "_n").select(*self.keys, "_rank", "_v").unionByName(
+                self.held.where("_lo >= _hi").select(*self.keys, "_rank", F.col("_lo").alias("_v")))
+        return _interpolated(self.sizes, self.keys, found, self.points)
 
 
 def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float],
@@ -81,11 +120,12 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], quantiles: Mappi
                                       F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     # There are at most (rows of the table / hot_values) such groups. Storing them tells the optimizer
     # their true size before it chooses how to join.
-    hot = materialise(sizes.where(F.col("_d") > hot_values), "hot-groups")
     columns = [F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)]
     result = [*keys, *columns, *([F.col("_t").alias(count_as)] if count_as else [])]
-    if hot.isEmpty():
+    largest = sizes.agg(F.max("_d")).first()[0]  # one number
+    if largest is None or largest <= hot_values:
         return _percentiles(counts, keys, points).select(*result)
+    hot = materialise(sizes.where(F.col("_d") > hot_values), "hot-groups")
     large = _selected(counts, keys, hot, points, hot_values).select(*result)
     if not keys:
         return large
