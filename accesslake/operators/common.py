@@ -32,43 +32,47 @@ def with_row(df: DataFrame, row: DataFrame, name: str = "_m") -> DataFrame:
     return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
 
 
-#: Time columns of stored tables that are partitioned by their day in UTC, and the column of that day.
-DAY_COLUMNS = {"access_time": "access_date", "start_time": "start_date"}
+#: Time columns of stored tables that are partitioned by their time in UTC: the column of the day, or of the first day of the month.
+PERIODS = {"access_time": ("access_date", "day"), "start_time": ("start_month", "month")}
 
 
-def utc_day(ts: Column, kind: DataType) -> Column:
-    """The day of a timestamp of type ``kind``, the same whatever the session's time zone."""
-    if isinstance(kind, TimestampNTZType):
-        return ts.cast("date")
-    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+def period_column(ts: str) -> str | None:
+    return PERIODS[ts][0] if ts in PERIODS else None
+
+
+def period_of(ts: str, at: Column, kind: DataType) -> Column:
+    """The period of a time of type ``kind`` in the column ``ts``, the same whatever the session's time zone."""
+    day = at.cast("date") if isinstance(kind, TimestampNTZType) else F.date_from_unix_date(
+        F.floor(F.unix_micros(at) / F.lit(86_400_000_000)).cast("int"))
+    return F.trunc(day, "month") if PERIODS[ts][1] == "month" else day
 
 
 def lookback(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
-    """Rows with ``ts`` strictly after ``as_of`` minus ``days``; of a table stored by day, no other day's files are opened."""
+    """Rows with ``ts`` strictly after ``as_of`` minus ``days``; of a table stored by day or month, no other's files are opened."""
     return df.where(after(df, ts, cutoff(df, ts, days, as_of)))
 
 
 def after(df: DataFrame, ts: str, bound: Column) -> Column:
-    """``ts`` lies strictly after the foldable ``bound``, with what that says about the table's day column, if it has one."""
+    """``ts`` lies strictly after the foldable ``bound``, with what that says about the table's partitions, if it has one."""
     in_time = F.col(ts) > bound
-    day = DAY_COLUMNS.get(ts)
-    return (F.col(day) >= utc_day(bound, df.schema[ts].dataType)) & in_time if day in df.columns else in_time
+    period = period_column(ts)
+    return (F.col(period) >= period_of(ts, bound, df.schema[ts].dataType)) & in_time if period in df.columns else in_time
 
 
 def before(df: DataFrame, ts: str, bound: Column) -> Column:
-    """``ts`` lies strictly before the foldable ``bound``, with what that says about the table's day column, if it has one."""
-    day = DAY_COLUMNS.get(ts)
+    """``ts`` lies strictly before the foldable ``bound``, with what that says about the table's partitions, if it has one."""
+    period = period_column(ts)
     in_time = F.col(ts) < bound
-    return (F.col(day) <= utc_day(bound, df.schema[ts].dataType)) & in_time if day in df.columns else in_time
+    return (F.col(period) <= period_of(ts, bound, df.schema[ts].dataType)) & in_time if period in df.columns else in_time
 
 
 def not_before(df: DataFrame, ts: str, bound: Column) -> Column:
     """The opposite of ``before``: at the bound, after it, or without a time."""
-    day = DAY_COLUMNS.get(ts)
+    period = period_column(ts)
     in_time = F.col(ts).isNull() | (F.col(ts) >= bound)
-    if day not in df.columns:
+    if period not in df.columns:
         return in_time
-    return (F.col(day).isNull() | (F.col(day) >= utc_day(bound, df.schema[ts].dataType))) & in_time
+    return (F.col(period).isNull() | (F.col(period) >= period_of(ts, bound, df.schema[ts].dataType))) & in_time
 
 
 def cutoff(df: DataFrame, ts: str, days: int, as_of: str) -> Column:

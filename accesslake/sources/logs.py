@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
-from ..operators.common import DAY_COLUMNS, cutoff, utc_day
+from ..operators.common import cutoff, period_column, period_of
 from ..operators.profiles import apply_retention
 from ..session import materialise
 from .versions import Folder, current_path, replace
@@ -50,8 +50,8 @@ def read_bench_log(spark: SparkSession, path: str) -> DataFrame:
     return _read_csv(spark, path, schemas.BENCH_LOG_V2, schemas.BENCH_REQUIRED)
 
 
-#: Tables that are stored by day, with the time that says which.
-BY_DAY = {"file_access": "access_time", "throughput_metrics": "start_time"}
+#: Tables that are stored by day or month, with the time that says which.
+BY_TIME = {"file_access": "access_time", "throughput_metrics": "start_time"}
 KINDS = {"file_metadata": schemas.FILE_METADATA, "file_access": schemas.FILE_ACCESS,
          "throughput_metrics": schemas.THROUGHPUT, "optimization_history": schemas.OPTIMIZATION_HISTORY}
 
@@ -59,65 +59,64 @@ KINDS = {"file_metadata": schemas.FILE_METADATA, "file_access": schemas.FILE_ACC
 def load_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """The log store's Parquet tables below ``base``.
 
-    Accesses and transfers come with the day they are stored by (``access_date``, ``start_date``, in UTC): ``lookback``, profiles and
-    retention use it to open the files of the days in question only.
+    Accesses and transfers come with the day and the month they are stored by (``access_date``, ``start_month``, in UTC): ``lookback``,
+    profiles and retention use them to open the files in question only.
     """
     found = {}
     for name, kind in KINDS.items():
         rows = spark.read.schema(kind).parquet(current_path(spark, f"{base}/{name}"))
-        day = DAY_COLUMNS.get(BY_DAY.get(name, ""))
-        found[name] = rows.select(*kind.names, *[c for c in rows.columns if c == day])
+        period = period_column(BY_TIME.get(name, ""))
+        found[name] = rows.select(*kind.names, *[c for c in rows.columns if c == period])
     return found
 
 
 def save_tables(tables: dict[str, DataFrame], base: str) -> None:
-    """Write the log store, accesses and transfers by day.
+    """Write the log store, accesses by day and transfers by month.
 
-    Rows are gathered by day before, in parts of a size: a busy day is several files, and quiet days don't leave one file for each task.
+    Rows are gathered by that before, in parts of a size: a busy day is several files, and quiet days don't leave one file for each task.
     """
     for name, df in tables.items():
-        if name in BY_DAY:
-            _by_day(df, BY_DAY[name]).write.partitionBy(DAY_COLUMNS[BY_DAY[name]]).parquet(f"{base}/{name}")
+        if name in BY_TIME:
+            ts = BY_TIME[name]
+            period = period_column(ts)
+            stored = df.withColumn(period, period_of(ts, F.col(ts), df.schema[ts].dataType)).hint("rebalance", period)
+            stored.write.partitionBy(period).parquet(f"{base}/{name}")
         else:
             replace(df, f"{base}/{name}")
 
 
-def _by_day(df: DataFrame, ts: str) -> DataFrame:
-    day = DAY_COLUMNS[ts]
-    return df.withColumn(day, utc_day(F.col(ts), df.schema[ts].dataType)).hint("rebalance", day)
-
-
 def retain(spark: SparkSession, base: str, days: int, as_of: str) -> DataFrame:
     """Delete what is older than ``days`` from the log store; (table_name, deleted) comes back, as stored counts.
 
-    Whole days go as folders, the day of the cut-off is rewritten by an overwrite of that partition alone, and file metadata without
-    accesses left goes with a new version of its table. Accesses are scanned once, for the counts and for the files they leave. A run
+    Whole days and months go as folders, the one of the cut-off is rewritten by an overwrite of that partition alone, and file metadata
+    without accesses left goes with a new version of its table. Accesses are scanned once, for the counts and for the files they leave. A run
     that was stopped is completed by running it again; what it had deleted before is not counted again.
     """
     tables = load_tables(spark, base)
     done = apply_retention(tables["file_access"], tables["throughput_metrics"], tables["file_metadata"], days, as_of)
     deleted = materialise(done["deleted"], "deleted")
     replace(done["file_metadata"], f"{base}/file_metadata")
-    for name, ts in BY_DAY.items():
+    for name, ts in BY_TIME.items():
         _drop_before(tables[name], f"{base}/{name}", ts, cutoff(tables[name], ts, days, as_of))
     return deleted
 
 
 def _drop_before(rows: DataFrame, path: str, ts: str, bound: Column) -> None:
-    """Delete the rows of a table stored by day whose ``ts`` lies before ``bound``."""
-    spark, day = rows.sparkSession, DAY_COLUMNS[ts]
-    border = str(spark.range(1).select(utc_day(bound, rows.schema[ts].dataType)).first()[0])
+    """Delete the rows of a table stored by time whose ``ts`` lies before ``bound``."""
+    spark, period = rows.sparkSession, period_column(ts)
+    border = str(spark.range(1).select(period_of(ts, bound, rows.schema[ts].dataType)).first()[0])
     folder = Folder(spark, path)
-    stored = sorted(n.partition("=")[2] for n in folder.names() if n.startswith(f"{day}="))
+    stored = sorted(n.partition("=")[2] for n in folder.names() if n.startswith(f"{period}="))
     if border in stored:
-        left = rows.where((F.col(day) == F.lit(border).cast("date")) & (F.col(ts) >= bound))
+        inside = rows.where(F.col(period) == F.lit(border).cast("date"))
+        left = inside.where(F.col(ts) >= bound)
         if left.isEmpty():
-            folder.delete(f"{day}={border}")
-        elif not rows.where((F.col(day) == F.lit(border).cast("date")) & (F.col(ts) < bound)).isEmpty():
-            left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+            folder.delete(f"{period}={border}")
+        elif not inside.where(F.col(ts) < bound).isEmpty():
+            left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
     for date in stored:
         if date[:1].isdigit() and date < border:  # rows without a time have a folder of another name, and stay
-            folder.delete(f"{day}={date}")
+            folder.delete(f"{period}={date}")
 
 
 def scan_files(spark: SparkSession, directory: str, recursive: bool = False, suffixes: Sequence[str] = (),

@@ -105,12 +105,12 @@ UNION ALL SELECT 'throughput_metrics', count(*) FILTER (WHERE old), count(*) FIL
 UNION ALL SELECT 'file_metadata', count(*) FILTER (WHERE old), count(*) FILTER (WHERE NOT old), 0 FROM (SELECT file_path NOT IN (
   SELECT file_path FROM accesses WHERE access_time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY) AS old FROM files)""")
 def _(t: Tables):
-    """The same on the stored tables: what goes, what is left on disk, and how many folders of days before the cut-off there are."""
+    """The same on the stored tables: what goes, what is left on disk, and how many of its days and months lie before the cut-off."""
     base = stored_tables(t)
     deleted = logs.retain(t.spark, base, 7, AS_OF)
     left = logs.load_tables(t.spark, base)
-    early = {n: F.count_distinct(F.when(F.col(d) < F.lit("2024-01-24").cast("date"), F.col(d)))
-             for n, d in (("file_access", "access_date"), ("throughput_metrics", "start_date"))}
+    early = {n: F.count_distinct(F.when(F.col(d) < F.lit(first).cast("date"), F.col(d)))
+             for n, d, first in (("file_access", "access_date", "2024-01-24"), ("throughput_metrics", "start_month", "2024-01-01")) if d in left[n].columns}
     parts = [left[n].agg(F.count(F.lit(1)).alias("row_count"), early.get(n, F.lit(0).cast("bigint")).alias("days_before"))
              .select(F.lit(n).alias("table_name"), "*") for n in ("file_access", "throughput_metrics", "file_metadata")]
     return deleted.join(parts[0].unionAll(parts[1]).unionAll(parts[2]), "table_name")

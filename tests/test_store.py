@@ -49,7 +49,7 @@ def test_lookbacks_open_their_days_only(spark, store):
     opened = recent.select(F.input_file_name().alias("f")).distinct().collect()
     assert all("access_date=2024-01-2" in r.f or "access_date=2024-01-3" in r.f for r in opened)
     profiled = profiles.file_profiles(t["file_metadata"], t["file_access"], t["throughput_metrics"], AS_OF, 7)
-    assert {"access_date" in s or "start_date" in s for s in scans(profiled)} == {True}
+    assert {"access_date" in s or "start_month" in s for s in scans(profiled)} == {True}
     assert profiled.count() == 11
 
 
@@ -65,7 +65,7 @@ def test_days_are_those_of_utc_in_every_session(spark, store):
 
 def test_retention_on_disk(spark, store):
     t = logs.load_tables(spark, store)
-    plain = {n: t[n].drop("access_date", "start_date") for n in t}
+    plain = {n: t[n].drop("access_date", "start_month") for n in t}
     wanted = {r.table_name: r.deleted for r in profiles.apply_retention(
         plain["file_access"], plain["throughput_metrics"], plain["file_metadata"], 7, AS_OF)["deleted"].collect()}
     got = {r.table_name: r.deleted for r in logs.retain(spark, store, 7, AS_OF).collect()}
