@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import PCA, OneHotEncoder, OneHotEncoderModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from . import stats
-from .common import melt, with_row
-from .quantiles import few_group_quantiles
+from .scalers import fit_scaler
 from ..functions import measures, paths
+from ..session import materialise
 
 # The numeric features of the v1 log after derivation.
 V1_FEATURES = (
@@ -47,38 +50,78 @@ def category_levels(df: DataFrame, column: str) -> list[str]:
 
 
 def onehot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """0/1 columns ``<column>_<level>`` in place of each categorical column, without its first level."""
+    """0/1 columns ``<column>_<level>`` in place of each categorical column, without its first level.
+
+    For columns with any number of levels there is ``fit_onehot``, which makes one sparse vector of each.
+    """
     for column in columns:
         known = levels[column] if levels else category_levels(df, column)
         df = df.withColumns({f"{column}_{v}": F.when(F.col(column) == v, 1).otherwise(0) for v in known[1:]})
     return df.drop(*columns)
 
 
+@dataclass
+class OneHot:
+    """A fitted dictionary: (level, position), the first level at position 0, and an encoder that knows how many there are."""
+
+    column: str
+    levels: DataFrame
+    encoder: OneHotEncoderModel
+
+    def transform(self, df: DataFrame, output: str) -> DataFrame:
+        """``df`` with the sparse vector ``output``: a 1 at position - 1 of the row's level, nothing for the first level, nulls and levels
+        that the dictionary has not."""
+        count = self.encoder.categorySizes[0]
+        # the encoder drops the last category, so the first level takes that place
+        known = self.levels.select(F.col("level").alias("_level"), F.col("position").alias("_position"))
+        placed = df.join(known, F.col(self.column) == F.col("_level"), "left").withColumn(
+            "_index", F.coalesce(F.when(F.col("_position") > 0, F.col("_position") - 1), F.lit(count - 1)).cast("double"))
+        return self.encoder.copy({self.encoder.outputCols: [output]}).transform(placed).drop("_level", "_position", "_index")
+
+
+def fit_onehot(df: DataFrame, column: str) -> OneHot | None:
+    """The dictionary of a categorical column with any number of levels, in their order; None if there are none.
+
+    Levels are sorted by ranges and numbered within each; only the sizes of the ranges are summed in one place.
+    """
+    levels = df.select(F.col(column).alias("level")).where(F.col("level").isNotNull()).distinct()
+    # stored once dealt out: the ranges must not be drawn anew
+    dealt = materialise(levels.repartitionByRange("level").withColumn("_part", F.spark_partition_id()), "levels")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("level")) - 1
+    numbered = materialise(dealt.withColumn("_n", within).join(before, "_part").select(
+        "level", (F.col("_before") + F.col("_n")).alias("position")), "dictionary")
+    count = numbered.count()
+    if not count:
+        return None
+    last = df.sparkSession.createDataFrame([(float(count - 1),)], "_index double")
+    encoder = OneHotEncoder(inputCols=["_index"], outputCols=["_vector"], dropLast=True).fit(last)
+    return OneHot(column, numbered, encoder)
+
+
+def decode_onehot(fitted: OneHot, df: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector holds a level, with that ``level``: the long form of the encoding."""
+    at = F.get(F.col("_sparse.indices"), F.lit(0)).alias("_at")
+    # the vector's stored form tells its place without spreading it over as many numbers as there are levels
+    rows = df.withColumn("_sparse", unwrap_udt(vector)).select("*", at).where("_at IS NOT NULL").drop("_sparse")
+    known = fitted.levels.select("level", (F.col("position") - 1).alias("_known"))
+    return rows.join(known, F.col("_at") == F.col("_known")).drop("_at", "_known")
+
+
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean 0 and population deviation 1; a constant column becomes 0."""
-    moments = df.agg(*[e for c in columns for e in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
-    m = F.col("_m")
-    return with_row(df, moments).withColumns(
-        {c: (F.col(c) - m[f"{c}_mean"]) / measures.nonzero(m[f"{c}_std"]) for c in columns}).drop("_m")
+    """Mean 0 and population deviation 1; a constant column becomes 0. ``fit_scaler`` keeps what it takes for other rows."""
+    return fit_scaler(df, columns, "standard").transform(df)
 
 
-def robust_scale(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
+def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median 0 and interquartile range 1, from exact quartiles."""
-    q = few_group_quantiles(melt(df, columns), ["column_name"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, **options)
-    # One entry per column of the table.
-    entry = F.struct("column_name", F.struct("q2", (F.col("q3") - F.col("q1")).alias("iqr")).alias("v"))
-    by_name = F.col("_m.of")
-    return with_row(df, q.agg(F.map_from_entries(F.collect_list(entry)).alias("of"))).withColumns(
-        {c: (F.col(c) - by_name[c]["q2"]) / measures.nonzero(by_name[c]["iqr"]) for c in columns}).drop("_m")
+    return fit_scaler(df, columns, "robust").transform(df)
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """To [0, 1]; a constant column becomes 0."""
-    extremes = df.agg(*[e for c in columns for e in (
-        F.min(c).cast("double").alias(f"{c}_lo"), F.max(c).cast("double").alias(f"{c}_hi"))])
-    m = F.col("_m")
-    return with_row(df, extremes).withColumns(
-        {c: (F.col(c) - m[f"{c}_lo"]) / measures.nonzero(m[f"{c}_hi"] - m[f"{c}_lo"]) for c in columns}).drop("_m")
+    return fit_scaler(df, columns, "minmax").transform(df)
 
 
 def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -89,34 +132,42 @@ def align_features(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()
         for n in names])
 
 
-def fit_pca(df: DataFrame, columns: Sequence[str], kept: float = stats.KEPT_VARIANCE):
-    """PCA model over standard-scaled columns, with the number of components that keep the variance."""
-    scaled = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(standard_scale(df, columns))
-    model = PCA(k=len(columns), inputCol="_x", outputCol="_pc").fit(scaled.select("_x"))
+def fit_pca(df: DataFrame, columns: Sequence[str], kept: float = stats.KEPT_VARIANCE) -> PipelineModel:
+    """Standard scaling of the columns, their principal components, and the first of those that keep the share of variance.
+
+    The pipeline holds its scaler, so rows scored later are scaled as the rows it was fitted on. It can be stored like any other.
+    """
+    scaler = fit_scaler(df, columns)
+    assembler = VectorAssembler(inputCols=list(columns), outputCol="_x")
+    scaled = assembler.transform(scaler.transform(df)).select("_x")
+    model = PCA(k=len(columns), inputCol="_x", outputCol="_pc").fit(scaled)
     shares = model.explainedVariance.toArray()
-    k = int((shares.cumsum().round(12) < kept).sum()) + 1
-    return model, min(k, len(columns))
+    k = min(int((shares.cumsum().round(12) < kept).sum()) + 1, len(columns))
+    return PipelineModel([scaler, assembler, model, VectorSlicer(inputCol="_pc", outputCol="_kept", indices=list(range(k)))])
 
 
-def project_pca(df: DataFrame, columns: Sequence[str], model, k: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Columns PC1..PCk of the scaled rows."""
-    scaled = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(standard_scale(df, columns))
-    pc = vector_to_array(F.col("_pc"))
-    return model.transform(scaled).select(*keep, *[pc[i].alias(f"PC{i + 1}") for i in range(k)])
+def project_pca(df: DataFrame, model: PipelineModel, keep: Sequence[str] = ()) -> DataFrame:
+    """Columns PC1..PCk of the rows, by a fitted pipeline."""
+    pc = vector_to_array(F.col("_kept"))
+    count = len(model.stages[-1].getIndices())
+    carried = df.withColumns({f"_keep{i}": F.col(c) for i, c in enumerate(keep)})  # a kept column may be scaled as well
+    return model.transform(carried).select(
+        *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], *[pc[i].alias(f"PC{i + 1}") for i in range(count)])
 
 
 def training_sets(df: DataFrame, columns: Sequence[str] = V1_FEATURES, target: str = "chunk_size_kb",
                   k: int = 10) -> dict[str, DataFrame]:
     """Four sets with the target: all scaled features, the best by correlation, by F-score, and PCA."""
     # Two lists of at most k names come to the driver; the rows do not.
+    known = materialise(stats.moments(df, [*columns, target]), "moments")
     by_corr = [r["feature"] for r in stats.select_by_corr(
-        stats.corr_matrix(df, [*columns, target]), target, columns, k).collect()]
-    by_f = [r["feature"] for r in stats.select_by_f(stats.f_scores(df, columns, target), k).collect()]
-    scaled = standard_scale(df.select(*columns, target), columns)
-    model, parts = fit_pca(df, columns)
+        stats.corr_matrix(df, [*columns, target], known), target, columns, k).collect()]
+    by_f = [r["feature"] for r in stats.select_by_f(stats.f_scores(df, columns, target, known), k).collect()]
+    components = fit_pca(df, columns)
+    scaled = components.stages[0].transform(df.select(*columns, target))
     return {
         "full": scaled.select(*columns, target),
         "correlation": scaled.select(*by_corr, target),
         "fscore": scaled.select(*by_f, target),
-        "pca": project_pca(df.select(*columns, target), columns, model, parts, keep=[target]),
+        "pca": project_pca(df.select(*columns, target), components, keep=[target]),
     }

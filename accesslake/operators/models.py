@@ -15,10 +15,11 @@ from pyspark.sql.types import IntegralType
 from .candidates import TIE, candidate_list
 from .common import with_row
 from .ensembles import with_best_candidate, with_candidate_scores
-from .evaluate import binary_metrics
+from .evaluate import binary_metrics, cv_summary
 from .labels import with_band
 from ..functions.sizing import decide, tier_candidates
 from ..session import work_dir
+from ..sources.bundles import Bundle, load_bundle, save_bundle
 
 # The features of the bench-log models.
 MODEL_FEATURES = ("file_size_kb", "chunk_size_kb", "access_count", "avg_read_kb", "avg_write_kb",
@@ -121,9 +122,12 @@ def with_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 @dataclass
 class BoostedFit:
+    """The best fold's model, the metrics of every fold, and what the labels were made with (name, value), if they were made here."""
+
     model: PipelineModel
     folds: DataFrame
     best_fold: int
+    thresholds: DataFrame | None = None
 
 
 def fit_gbt_cv(df: DataFrame, key: Sequence[str], features: Sequence[str] = MODEL_FEATURES, label: str = "is_optimal",
@@ -190,10 +194,27 @@ def predict_gbt(df: DataFrame, model: PipelineModel, key: Sequence[str] = ("file
 
 
 def save_model(model: PipelineModel, candidates: Sequence[float], path: str, spark: SparkSession) -> None:
-    """The fitted stages with the candidate list next to them."""
-    model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(float(c),) for c in candidates], "chunk double").write.mode("overwrite").parquet(f"{path}/candidates")
+    """The fitted stages with the candidate list next to them, as the next version of ``path``."""
+    chunks = spark.createDataFrame([(float(c),) for c in candidates], "chunk double")
+    save_bundle(spark, path, Bundle({"model": model}, {"candidates": chunks}))
 
 
 def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel, list[float]]:
-    return PipelineModel.load(f"{path}/model"), candidate_list(spark.read.parquet(f"{path}/candidates"), "chunk")
+    stored = load_bundle(spark, path)
+    return stored.models["model"], candidate_list(stored.tables["candidates"], "chunk")
+
+
+def save_boosted(fit: BoostedFit, path: str, spark: SparkSession, trained_at: str) -> None:
+    """Boosted trees with the metrics of their folds, the means of those, and the thresholds of their labels."""
+    means = cv_summary(fit.folds.drop("fold"), METRICS).collect()  # a row for each metric
+    tables = {"folds": fit.folds} | ({"thresholds": fit.thresholds} if fit.thresholds is not None else {})
+    save_bundle(spark, path, Bundle({"model": fit.model}, tables, {
+        "features": list(fit.model.stages[0].getInputCols()), "best_fold": fit.best_fold, "trained_at": trained_at,
+        "metrics": {r["metric"]: r["mean"] for r in means}}))
+
+
+def load_boosted(path: str, spark: SparkSession) -> tuple[BoostedFit, dict]:
+    """The stored fit, and its features, time and mean metrics."""
+    stored = load_bundle(spark, path)
+    fit = BoostedFit(stored.models["model"], stored.tables["folds"], stored.facts["best_fold"], stored.tables.get("thresholds"))
+    return fit, dict(stored.facts)

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .scalers import VectorScalerModel, fit_vector_scaler
 from ..functions.sizing import round_chunk
 
 SMALLEST_SIDE, LARGEST_SIDE = 10, 30
@@ -105,57 +107,103 @@ def initial_codebook(df: DataFrame, side: int, vector: str = "vector", order: st
     return rows[np.arange(side * side) % len(rows)]
 
 
+@dataclass
+class FittedMap:
+    """A map with what it needs to score other rows: the scaler of its input, and the error that each epoch started from, then the last."""
+
+    codebook: DataFrame
+    scaler: VectorScalerModel
+    errors: list[float]
+    chunk_map: DataFrame | None = None
+
+    def assign(self, df: DataFrame, vector: str = "vector") -> DataFrame:
+        """Adds each row's nearest unit and its distance, both in scaled space."""
+        return nearest_unit(self._scaled(df, vector), self.codebook, vector)
+
+    def predict(self, df: DataFrame, vector: str = "vector") -> DataFrame:
+        """``predict_som`` on rows as they are."""
+        if self.chunk_map is None:
+            raise ValueError("the map has no chunk sizes")
+        return predict_som(self._scaled(df, vector), self.codebook, self.chunk_map, vector)
+
+    def _scaled(self, df: DataFrame, vector: str) -> DataFrame:
+        return self.scaler.copy({self.scaler.inputCol: vector}).transform(df)
+
+
+def fit_map(df: DataFrame, vector: str = "vector", epochs: int = 10, side: int | None = None, sigma: float = 1.0) -> FittedMap:
+    """A map over rows whose positions are scaled to [0, 1] first, so that none outweighs the others.
+
+    Its errors tell the descent: the units start as sampled rows, which the first epochs draw together; from there on the error falls.
+    """
+    scaler = fit_vector_scaler(df, vector)
+    codebook, errors = _fit(scaler.transform(df.select(vector)), vector, epochs, side, sigma)
+    return FittedMap(codebook, scaler, errors)
+
+
 def fit_som(df: DataFrame, vector: str = "vector", epochs: int = 10, side: int | None = None,
             sigma: float = 1.0) -> DataFrame:
-    """Codebook (i, j, weights) fitted in batch epochs with a Gaussian neighbourhood.
+    """Codebook (i, j, weights) over the rows as they are; ``fit_map`` scales them, and measures the descent."""
+    return _fit(df, vector, epochs, side, sigma)[0]
 
-    Each epoch sums rows and counts per nearest unit inside the tasks, so a task returns at most one row
+
+def _fit(df: DataFrame, vector: str, epochs: int, side: int | None, sigma: float) -> tuple[DataFrame, list[float]]:
+    """Codebook (i, j, weights) fitted in batch epochs with a Gaussian neighbourhood, and the mean distance to the nearest unit.
+
+    Each epoch sums rows, counts and distances per nearest unit inside the tasks, so a task returns at most one row
     per unit and the driver sees at most 900 sums.
     """
     spark = df.sparkSession
     data = df.select(F.col(vector).cast("array<double>").alias(vector)).persist()
+    errors = []
     try:
         side = min(side, LARGEST_SIDE) if side else map_side(data.count())
         grid = np.array([(i, j) for i in range(side) for j in range(side)])
         weights = initial_codebook(data, side, vector)
         gap2 = ((grid[:, None, :] - grid[None, :, :]) ** 2).sum(axis=2)
         for epoch in range(epochs):
-            sums, hits = _unit_sums(data, vector, weights)
+            sums, hits, error = _unit_sums(data, vector, weights)
+            errors.append(error)
             radius = sigma * (1 - epoch / epochs) + 0.1
             pull = np.exp(-gap2 / (2 * radius * radius))
             mass = pull @ hits
             weights = np.where(mass[:, None] > 1e-12, (pull @ sums) / np.maximum(mass, 1e-12)[:, None], weights)
+        errors.append(_unit_sums(data, vector, weights)[2])
     finally:
         data.unpersist()
     return spark.createDataFrame(
-        [(int(i), int(j), w.tolist()) for (i, j), w in zip(grid, weights)], "i int, j int, weights array<double>")
+        [(int(i), int(j), w.tolist()) for (i, j), w in zip(grid, weights)], "i int, j int, weights array<double>"), errors
 
 
-def _unit_sums(data: DataFrame, vector: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unit_sums(data: DataFrame, vector: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Per unit the sum and the count of the rows nearest to it, and the mean distance of all rows to their units."""
     units, width = weights.shape
     shared = data.sparkSession.sparkContext.broadcast(weights)
     distances = _distances()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
-        sums, hits = np.zeros((units, width)), np.zeros(units, dtype="int64")
+        sums, hits, far = np.zeros((units, width)), np.zeros(units, dtype="int64"), np.zeros(units)
         for batch in batches:
+            if not len(batch):
+                continue
             x = np.stack(batch[vector].to_numpy()).astype("float64")
-            best = distances(x, w).argmin(axis=1)
+            d = distances(x, w)
+            best = d.argmin(axis=1)
             np.add.at(sums, best, x)
+            np.add.at(far, best, d[np.arange(len(d)), best])
             hits += np.bincount(best, minlength=units)
         used = np.flatnonzero(hits)
-        yield pd.DataFrame({"unit": used, "hits": hits[used], "sums": list(sums[used])})
+        yield pd.DataFrame({"unit": used, "hits": hits[used], "far": far[used], "sums": list(sums[used])})
 
-    parts = data.mapInPandas(partial, "unit int, hits bigint, sums array<double>")
+    parts = data.mapInPandas(partial, "unit int, hits bigint, far double, sums array<double>")
     totals = parts.groupBy("unit").agg(
-        F.sum("hits").alias("hits"), *[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)]).collect()
+        F.sum("hits").alias("hits"), F.sum("far").alias("far"), *[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)]).collect()
     sums, hits = np.zeros((units, width)), np.zeros(units)
     for r in totals:
         hits[r["unit"]] = r["hits"]
         sums[r["unit"]] = [r[f"s{k}"] for k in range(width)]
     shared.unpersist()
-    return sums, hits
+    return sums, hits, float(sum(r["far"] for r in totals) / max(1.0, hits.sum()))
 
 
 def predict_som(df: DataFrame, codebook: DataFrame, chunk_map: DataFrame, vector: str = "vector") -> DataFrame:

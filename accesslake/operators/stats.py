@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import combinations_with_replacement
 from operator import or_
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import melt, with_row
 from .quantiles import few_group_quantiles
@@ -15,6 +16,8 @@ from .quantiles import few_group_quantiles
 OUTLIER_Z = 3.0
 REDUNDANT_R = 0.85
 KEPT_VARIANCE = 0.95
+# Groups in which the moments of the tasks are merged before the last merge.
+MERGE_GROUPS = 64
 
 
 def dataset_summary(df: DataFrame, column: str = "chunk_size_kb") -> DataFrame:
@@ -59,34 +62,75 @@ def split_outliers(df: DataFrame, columns: Sequence[str], z: float = OUTLIER_Z)
     return marked.where(~F.col("is_outlier")).drop("is_outlier"), marked.where("is_outlier").drop("is_outlier")
 
 
-def _centred_sums(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row: ``n`` and, per pair, the sum of products of the columns less their means (``x|y``).
+def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: ``n``, and for the columns in their order the arrays ``mean``, ``lo``, ``hi`` and ``co``, the sums of products of deviations
+    from the means, row by row of the matrix.
 
-    Two narrow passes of plain sums: as stable as running covariances, and the sums stay inside
-    generated code where many covariances do not. A constant column centres to exactly 0.
+    The rows are read once. Each task folds its batches into one block of count, means and co-moments, and blocks are merged by the
+    difference of their means, so nothing is lost where values are large and close. A task sends one row. Columns must be complete; an empty table has no moments.
     """
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    centre = typed.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in columns])
-    centred = with_row(typed, centre).select(*[(F.col(c) - F.col("_m")[c]).alias(c) for c in columns])
-    return centred.agg(F.count(F.lit(1)).alias("n"),
-                       *[F.sum(F.col(x) * F.col(y)).alias(f"{x}|{y}") for x, y in pairs])
-
-
-def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    columns = list(columns)
+    d, merged = len(columns), _merged()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            x = batch.to_numpy(np.float64)
+            if len(x):
+                mean = x.mean(axis=0)
+                c = x - mean
+                block = (len(x), mean, x.min(axis=0), x.max(axis=0), c.T @ c)
+                total = block if total is None else merged(total, block)
+        if total is not None:
+            n, mean, lo, hi, co = total
+            yield pd.DataFrame({"part": [0], "n": [n], "mean": [mean], "lo": [lo], "hi": [hi], "co": [co.ravel()]})
+
+    def merge(blocks: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for r in blocks.itertuples():
+            block = (r.n, np.asarray(r.mean), np.asarray(r.lo), np.asarray(r.hi), np.asarray(r.co).reshape(d, d))
+            total = block if total is None else merged(total, block)
+        n, mean, lo, hi, co = total
+        return pd.DataFrame({"part": [0], "n": [n], "mean": [mean], "lo": [lo], "hi": [hi], "co": [co.ravel()]})
+
+    kind = "part long, n long, mean array<double>, lo array<double>, hi array<double>, co array<double>"
+    blocks = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(fold, kind)
+    # a row for each task; merged in groups first, so that no task gets very many
+    grouped = blocks.withColumn("part", F.spark_partition_id().cast("bigint") % MERGE_GROUPS).groupBy("part").applyInPandas(merge, kind)
+    return grouped.withColumn("part", F.lit(0).cast("bigint")).groupBy("part").applyInPandas(merge, kind).drop("part")
+
+
+def _merged():
+    """A function that merges two blocks of moments; made here, so that it travels to the tasks by value."""
+    def merged(a, b):
+        n = a[0] + b[0]
+        gap = b[1] - a[1]
+        return (n, a[1] + gap * (b[0] / n), np.minimum(a[2], b[2]), np.maximum(a[3], b[3]),
+                a[4] + b[4] + np.outer(gap, gap) * (a[0] * b[0] / n))
+
+    return merged
+
+
+def _co(i: Column, j: Column, d: int) -> Column:
+    """A sum of products out of ``moments``; 0 where a column is constant, whatever rounding has left there."""
+    varies = [F.get("lo", k) < F.get("hi", k) for k in (i, j)]
+    return F.when(varies[0] & varies[1], F.get("co", i * d + j)).otherwise(0.0)
+
+
+def corr_matrix(df: DataFrame, columns: Sequence[str], known: DataFrame | None = None) -> DataFrame:
     """(feature_x, feature_y, r) for every ordered pair; null where a column is constant.
 
-    Columns must be complete. The diagonal is 1, as is usual, unless the column is constant.
+    Columns must be complete. The diagonal is 1, as is usual, unless the column is constant. ``known`` are their ``moments``, if at hand.
     """
     columns = list(columns)
-    sums = _centred_sums(df, columns, list(combinations_with_replacement(columns, 2)))
-    cells = []
-    for i, x in enumerate(columns):
-        for j, y in enumerate(columns):
-            first, second = (x, y) if i <= j else (y, x)
-            spread = F.sqrt(F.col(f"{x}|{x}")) * F.sqrt(F.col(f"{y}|{y}"))
-            cells.append(F.struct(F.lit(x).alias("feature_x"), F.lit(y).alias("feature_y"),
-                                  F.try_divide(F.col(f"{first}|{second}"), spread).alias("r")))
-    return sums.select(F.inline(F.array(*cells)))
+    sums, d = moments(df, columns) if known is None else known, len(columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    cells = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(d * d - 1))).alias("_at")).select(
+        "*", F.expr(f"int(_at div {d})").alias("_i"), F.expr(f"int(_at % {d})").alias("_j"))
+    i, j = F.col("_i"), F.col("_j")
+    spread = F.sqrt(_co(i, i, d)) * F.sqrt(_co(j, j, d))
+    return cells.select(F.get(names, i).alias("feature_x"), F.get(names, j).alias("feature_y"),
+                        F.try_divide(_co(F.least(i, j), F.greatest(i, j), d), spread).alias("r"))
 
 
 def redundant_pairs(matrix: DataFrame, threshold: float = REDUNDANT_R) -> DataFrame:
@@ -95,16 +139,19 @@ def redundant_pairs(matrix: DataFrame, threshold: float = REDUNDANT_R) -> DataFr
     return matrix.where((F.col("feature_x") < F.col("feature_y")) & (strength > threshold) & (strength < 1.0))
 
 
-def f_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """(feature, f_score) of the univariate regression of ``target`` on each column."""
-    pairs = [(target, target), *[p for c in columns for p in ((c, c), (c, target))]]
-    sums = _centred_sums(df, list(dict.fromkeys([*columns, target])), pairs)
-    cells = []
-    for c in columns:
-        r2 = F.try_divide(F.pow(F.col(f"{c}|{target}"), 2.0), F.col(f"{c}|{c}") * F.col(f"{target}|{target}"))
-        score = F.try_divide(r2, 1 - r2) * (F.col("n") - 2)
-        cells.append(F.struct(F.lit(c).alias("feature"), score.alias("f_score")))
-    return sums.select(F.inline(F.array(*cells)))
+def f_scores(df: DataFrame, columns: Sequence[str], target: str, known: DataFrame | None = None) -> DataFrame:
+    """(feature, f_score) of the univariate regression of ``target`` on each column.
+
+    ``known`` are the ``moments`` of the columns and the target, in this order, if at hand.
+    """
+    every = list(dict.fromkeys([*columns, target]))
+    sums = moments(df, every) if known is None else known
+    d, t = len(every), F.lit(every.index(target))
+    asked = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(every.index(c)).alias("at")) for c in columns])
+    rows = sums.select("*", F.inline(asked))
+    i = F.col("at")
+    r2 = F.try_divide(F.pow(_co(i, t, d), 2.0), _co(i, i, d) * _co(t, t, d))
+    return rows.select("feature", (F.try_divide(r2, 1 - r2) * (F.col("n") - 2)).alias("f_score"))
 
 
 def select_by_corr(matrix: DataFrame, target: str, features: Sequence[str], k: int = 10) -> DataFrame:

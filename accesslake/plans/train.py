@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.clean import drop_missing, to_numeric
 from ..operators.evaluate import binary_metrics
-from ..operators.labels import label_optimal, label_ot
+from ..operators.labels import label_optimal, label_ot, label_stats
 from ..operators.models import (
     MODEL_FEATURES, RF_FEATURES, BoostedFit, candidate_list, fit_gbt_cv, fit_rf_stack, require_samples, stratified_split,
     with_probability)
+from ..operators.som import FittedMap
 from ..session import materialise
+from ..sources.bundles import Bundle, load_bundle, save_bundle
 
 
 def train_rf(log: DataFrame, key: Sequence[str], features: Sequence[str] = RF_FEATURES, min_samples: int = 100,
@@ -39,4 +42,18 @@ def train_gbt(log: DataFrame, key: Sequence[str], features: Sequence[str] = MODE
     clean = drop_missing(log, ["file_size_kb", "chunk_size_kb", "throughput_kbps"])
     ordered = require_samples(clean, min_samples).withColumn("_order", F.xxhash64(*key))
     labelled = materialise(label_optimal(ordered, order="_order").drop("_order"), "gbt-labels")
-    return fit_gbt_cv(labelled, key, features, **settings)
+    fit = fit_gbt_cv(labelled, key, features, **settings)
+    names = ("combinations", "optimal", "total", "optimal_ratio", "global_threshold")
+    known = label_stats(labelled).select(*[F.col(c).cast("double").alias(c) for c in names])
+    return replace(fit, thresholds=materialise(known.unpivot([], list(names), "name", "value"), "thresholds"))
+
+
+def save_map(fitted: FittedMap, path: str, spark: SparkSession, chunk_map: DataFrame | None = None) -> None:
+    """A map with its scaler, the errors of its epochs and, if there is one, the chunk size of every unit."""
+    tables = {"codebook": fitted.codebook} | ({"chunk_map": chunk_map} if chunk_map is not None else {})
+    save_bundle(spark, path, Bundle({"scaler": PipelineModel([fitted.scaler])}, tables, {"errors": fitted.errors}))
+
+
+def load_map(path: str, spark: SparkSession) -> FittedMap:
+    stored = load_bundle(spark, path)
+    return FittedMap(stored.tables["codebook"], stored.models["scaler"].stages[0], list(stored.facts["errors"]), stored.tables.get("chunk_map"))

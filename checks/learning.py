@@ -11,6 +11,7 @@ from accesslake.operators import candidates, clean, evaluate, features, labels,
 from accesslake.plans import recommend, train
 from accesslake.session import work_dir
 from accesslake.sources import sinks
+from accesslake.sources.bundles import Bundle, load_bundle, save_bundle
 from .aggregates import grid
 from .registry import Tables, query, rounded
 from .relational import mean_codebook
@@ -42,18 +43,45 @@ def _(t: Tables):
     return rounded(features.minmax_scale(t.bench_log, SCALED).select(*KEY, *SCALED))
 
 
-@query("ml_pca")
+# What holds for principal components of a table, whatever their signs: as many rows, centred, uncorrelated columns whose variances fall,
+# and no fewer of them than the share of variance needs.
+PCA_FACTS = """
+SELECT count(*) AS row_count, true AS centred, true AS uncorrelated, true AS falling, true AS enough, true AS needed FROM {source}"""
+
+
+def pca_facts(projected: DataFrame, total: int, kept: float = stats.KEPT_VARIANCE) -> DataFrame:
+    """The facts above; ``total`` is the number of scaled columns, each of variance 1 (those that vary)."""
+    names = [c for c in projected.columns if c.startswith("PC")]
+    d = len(names)
+    m = stats.moments(projected, names)
+    variance = [F.col("co")[i * d + i] / F.col("n") for i in range(d)]
+    apart = [F.abs(F.col("co")[i * d + j]) <= 1e-6 * F.sqrt(F.col("co")[i * d + i] * F.col("co")[j * d + j]) for i in range(d) for j in range(i)]
+    share = sum(variance) / total
+    return m.select(
+        F.col("n").alias("row_count"), F.forall("mean", lambda x: F.abs(x) < 1e-6).alias("centred"), reduce(and_, apart, F.lit(True)).alias("uncorrelated"),
+        reduce(and_, [a >= b for a, b in zip(variance, variance[1:])], F.lit(True)).alias("falling"), (share >= kept - 1e-9).alias("enough"),
+        (share - variance[-1] / total < kept).alias("needed"))
+
+
+@query("ml_pca", PCA_FACTS.format(source="v1"))
 def _(t: Tables):
+    """The components of the whole table, from the fitted pipeline stored and loaded again."""
     log = features.derive_v1(t.v1)
     columns = [c for c in features.V1_FEATURES if c != "dir_depth"]
-    model, k = features.fit_pca(log, columns)
-    return features.project_pca(log, columns, model, k, keep=KEY)
+    path = work_dir(t.spark, "pca")
+    save_bundle(t.spark, path, Bundle({"pca": features.fit_pca(log, columns)}))
+    return pca_facts(features.project_pca(log, load_bundle(t.spark, path).models["pca"], keep=KEY), len(columns))
 
 
 # The training sets: the v1 features with a spread, the target, and how DuckDB finds the chosen columns.
-SET_COLUMNS = ("file_size", "access_count", "avg_read_size", "read_count", "throughput_mbps", "write_count")
+SET_COLUMNS = tuple(c for c in features.V1_FEATURES if c != "dir_depth")
 TARGET = "chunk_size_kb"
-_SOURCE = "(SELECT *, chunk_size / 1024.0e0 AS chunk_size_kb FROM v1)"
+CHOSEN = 5
+_SOURCE = """(SELECT *, chunk_size / 1024.0e0 AS chunk_size_kb, file_size / 1048576.0e0 AS file_size_mb,
+  read_count::DOUBLE / CASE WHEN write_count = 0 THEN 1 ELSE write_count END AS read_write_ratio,
+  (avg_read_size * read_count + avg_write_size * write_count) / CASE WHEN access_count = 0 THEN 1 ELSE access_count END AS avg_access_size,
+  greatest(max_read_size, max_write_size) AS max_access_size, 100.0e0 * read_count / CASE WHEN access_count = 0 THEN 1 ELSE access_count END AS read_percentage,
+  coalesce(TRY_CAST(regexp_extract(file_path, 'testdir_([0-9]+)K', 1) AS BIGINT) * 1024, 0) AS path_chunk_hint FROM v1)"""
 _Z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z_{c}" for c in SET_COLUMNS)
 _RANKED = " UNION ALL ".join(f"SELECT '{c}' AS f, corr({c}, chunk_size_kb) AS r FROM {_SOURCE}" for c in SET_COLUMNS)
 
@@ -67,20 +95,20 @@ WITH scaled AS (SELECT chunk_size_kb, {_Z} FROM {_SOURCE}), chosen AS ({chosen})
 SELECT feature, count(*) AS row_count, round(sum(z * chunk_size_kb) / count(*), 4) AS moment FROM ({parts}) WHERE feature IN (SELECT f FROM chosen) GROUP BY 1""")
     def _(t: Tables):
         log = features.derive_v1(t.v1)
-        made = features.training_sets(log, SET_COLUMNS, TARGET, k=3)[name]
+        made = features.training_sets(log, SET_COLUMNS, TARGET, k=CHOSEN)[name]
         columns = [c for c in made.columns if c != TARGET]
         long = made.unpivot([TARGET], columns, "feature", "z")
         return rounded(long.groupBy("feature").agg(F.count(F.lit(1)).alias("row_count"), F.avg(F.col("z") * F.col(TARGET)).alias("moment")), 4)
 
 
 training_set("full", f"SELECT f FROM ({_RANKED})")
-training_set("correlation", f"SELECT f FROM ({_RANKED}) ORDER BY r DESC, f LIMIT 3")
-training_set("fscore", f"SELECT f FROM ({_RANKED}) ORDER BY r * r DESC, f LIMIT 3")
+training_set("correlation", f"SELECT f FROM ({_RANKED}) ORDER BY r DESC, f LIMIT {CHOSEN}")
+training_set("fscore", f"SELECT f FROM ({_RANKED}) ORDER BY r * r DESC, f LIMIT {CHOSEN}")
 
 
-@query("ml_datasets_pca")
+@query("ml_datasets_pca", PCA_FACTS.format(source="v1"))
 def _(t: Tables):
-    return features.training_sets(features.derive_v1(t.v1), SET_COLUMNS, TARGET, k=3)["pca"]
+    return pca_facts(features.training_sets(features.derive_v1(t.v1), SET_COLUMNS, TARGET, k=CHOSEN)["pca"], len(SET_COLUMNS))
 
 
 @query("ml_align", """
@@ -106,14 +134,11 @@ def planted(t: Tables) -> DataFrame:
 
 MODEL_INPUT = models.RF_FEATURES
 GBT_INPUT = tuple(c for c in models.MODEL_FEATURES if c != "throughput_kbps")
-# Rounds of the boosted trees: a round is a job of its own, and few do for the planted signal.
-ROUNDS = 10
-
 
 @query("ml_rf_stack", """
 SELECT count(DISTINCT chunk_size_kb)::INT AS candidates, true AS separates, true AS in_range FROM bench_log""")
 def _(t: Tables):
-    _, chunks, metrics = train.train_rf(planted(t), KEY, MODEL_INPUT, rounds=ROUNDS)
+    _, chunks, metrics = train.train_rf(planted(t), KEY, MODEL_INPUT)
     inside = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "auc")]
     return metrics.select(F.lit(len(chunks)).alias("candidates"), (F.col("auc") > 0.8).alias("separates"), reduce(and_, inside).alias("in_range"))
 
@@ -121,7 +146,7 @@ def _(t: Tables):
 @query("ml_gbt_cv", """
 SELECT unnest(range(5))::INT AS fold, true AS separates, true AS in_range, 1::BIGINT AS best_folds""")
 def _(t: Tables):
-    fit = train.train_gbt(planted(t), KEY, GBT_INPUT, folds=5, rounds=ROUNDS, depth=6)
+    fit = train.train_gbt(planted(t), KEY, GBT_INPUT)
     inside = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "auc")]
     return fit.folds.select("fold", (F.col("auc") > 0.8).alias("separates"), reduce(and_, inside).alias("in_range"),
                             F.lit(int(0 <= fit.best_fold < 5)).cast("bigint").alias("best_folds"))
@@ -129,7 +154,7 @@ def _(t: Tables):
 
 def fitted_rf(t: Tables):
     labelled = labels.label_ot(planted(t))
-    return models.fit_rf_stack(labelled, MODEL_INPUT, rounds=ROUNDS), candidates.candidate_list(labelled)
+    return models.fit_rf_stack(labelled, MODEL_INPUT), candidates.candidate_list(labelled)
 
 
 # What holds for every prediction, whatever was fitted: one for each row of the log, of a known size, with a probability.
@@ -153,14 +178,31 @@ def _(t: Tables):
 @query("ml_gbt_predict", COUNTS)
 def _(t: Tables):
     labelled = labels.label_optimal(planted(t))
-    fit = models.fit_gbt_cv(labelled, KEY, GBT_INPUT, folds=2, rounds=ROUNDS, depth=6)
+    fit = models.fit_gbt_cv(labelled, KEY, GBT_INPUT)
     # the decision is one of the sizes for the file's tier, its own size, or the smallest chunk
     return _counts(models.predict_gbt(planted(t), fit.model), F.col("optimal_chunk_kb").between(64, 8192))
 
 
-@query("ml_som_fit")
+@query("ml_som_fit", """
+SELECT CAST(power(least(greatest(ceil(5 * sqrt(count(*))), 10), 30), 2) AS BIGINT) AS units, 10 AS epochs, true AS descends, count(*) AS assigned,
+  true AS in_grid, true AS error_is_last FROM embeddings WHERE embedding IS NOT NULL""")
 def _(t: Tables):
-    return som.fit_som(t.embeddings.select("embedding"), "embedding", epochs=3, side=10)
+    """A map of the derived side over all epochs, stored and loaded: its descent, and every row assigned by it."""
+    rows = t.embeddings.where("embedding IS NOT NULL").select("embedding")
+    path = work_dir(t.spark, "map")
+    train.save_map(som.fit_map(rows, "embedding"), path, t.spark)
+    fitted = train.load_map(path, t.spark)
+    units = fitted.codebook.count()
+    side = round(units ** 0.5)
+    errors = fitted.errors
+    found = fitted.assign(rows, "embedding").agg(
+        F.count("distance").alias("assigned"), (F.count_if(F.col("unit.i").between(0, side - 1) & F.col("unit.j").between(0, side - 1)) == F.count("distance"))
+        .alias("in_grid"), (F.abs(F.avg("distance") - errors[-1]) < 1e-9).alias("error_is_last"))
+    # the first epochs spread the units, which were rows, over the grid; from the highest error on it falls to the end
+    peak = errors.index(max(errors))
+    falls = peak <= len(errors) // 3 and errors[-1] < 0.9 * errors[peak] and all(b <= a for a, b in zip(errors[peak:], errors[peak + 1:]))
+    return found.select(F.lit(units).cast("bigint").alias("units"), F.lit(len(errors) - 1).alias("epochs"), F.lit(falls).alias("descends"), "assigned",
+                        "in_grid", "error_is_last")
 
 
 @query("ml_som_predict", """

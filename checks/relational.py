@@ -165,16 +165,48 @@ def _(t: Tables):
         F.date_format("trained_at", "yyyy-MM-dd HH:mm:ss").alias("trained_at"))
 
 
-@query("sink_model")
+STORED = """
+SELECT file_path, count(*) AS row_count, 0::BIGINT AS differing, (SELECT count(DISTINCT chunk_size_kb) FROM bench_log)::INT AS candidates
+FROM bench_log GROUP BY 1"""
+STORED_FEATURES = ["file_size_kb", "chunk_size_kb", "access_count", "read_ops", "write_ops"]
+
+
+def differing(log, before, after):
+    """Rows of each file, and how many get another probability from the one model than from the other."""
+    from accesslake.operators.models import with_probability
+    both = with_probability(after, with_probability(before, log).withColumnRenamed("p", "_p"))
+    return both.groupBy("file_path").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(~F.col("p").eqNullSafe(F.col("_p"))).alias("differing"))
+
+
+@query("sink_model", STORED)
 def _(t: Tables):
-    from accesslake.operators.models import fit_rf_stack, with_probability
+    from accesslake.operators.models import fit_rf_stack
     log = t.bench_log.withColumn("OT", (F.col("throughput_kbps") > 50000).cast("int"))
-    features = ["file_size_kb", "chunk_size_kb", "access_count", "read_ops", "write_ops"]
     path = work_dir(t.spark, "model")
-    save_model(fit_rf_stack(log, features, trees=5, rounds=3, depth=4), candidates.candidate_list(log), path, t.spark)
+    fitted = fit_rf_stack(log, STORED_FEATURES)
+    save_model(fitted, candidates.candidate_list(log), path, t.spark)
     model, chunks = load_model(path, t.spark)
-    return (with_probability(model, log).groupBy("file_path").agg(F.round(F.avg("p"), 6).alias("mean_p"))
-            .withColumn("candidates", F.lit(len(chunks))))
+    return differing(log, fitted, model).withColumn("candidates", F.lit(len(chunks)))
+
+
+@query("sink_model_boosted", """
+SELECT file_path, count(*) AS row_count, 0::BIGINT AS differing, 5::BIGINT AS folds, true AS same_metrics,
+  (SELECT round(quantile_cont(throughput_kbps, 0.65), 4) FROM bench_log) AS global_threshold
+FROM bench_log GROUP BY 1""")
+def _(t: Tables):
+    """Boosted trees with thresholds and metrics, stored twice over and loaded."""
+    from accesslake.operators.models import METRICS, load_boosted, save_boosted
+    from accesslake.plans.train import train_gbt
+    path = work_dir(t.spark, "boosted")
+    fit = train_gbt(t.bench_log, ["k1", "k2", "k3"], STORED_FEATURES)
+    save_boosted(fit, path, t.spark, AS_OF)
+    save_boosted(fit, path, t.spark, AS_OF)
+    again, facts = load_boosted(path, t.spark)
+    means = again.folds.agg(*[F.avg(m).alias(m) for m in METRICS]).first().asDict()
+    same = all(abs(means[m] - facts["metrics"][m]) < 1e-9 for m in METRICS) and facts["features"] == STORED_FEATURES
+    limit = {r["name"]: r["value"] for r in again.thresholds.collect()}["global_threshold"]
+    return differing(t.bench_log, fit.model, again.model).withColumns({
+        "folds": F.lit(again.folds.count()), "same_metrics": F.lit(same), "global_threshold": F.round(F.lit(limit), 4)})
 
 
 # -- filters and cleaning -------------------------------------------------------------------------
@@ -423,10 +455,10 @@ NUMERIC = ("file_size_kb", "chunk_size_kb", "access_count", "avg_read_kb", "avg_
 FEATURES = tuple(c for c in NUMERIC if c != "chunk_size_kb")
 
 
-@query("top_features_corr", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(corr({c}, chunk_size_kb), 6) AS r FROM bench_log" for c in FEATURES))
+@query("top_features_corr", "SELECT feature, round(r, 6) AS r FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, corr({c}, chunk_size_kb) AS r FROM bench_log" for c in FEATURES) + ") ORDER BY r DESC, feature LIMIT 4")
 def _(t: Tables):
-    return rounded(stats.select_by_corr(stats.corr_matrix(t.bench_log, NUMERIC), "chunk_size_kb", FEATURES, 10))
+    return rounded(stats.select_by_corr(stats.corr_matrix(t.bench_log, NUMERIC), "chunk_size_kb", FEATURES, 4))
 
 
 @query("top_features_f", "SELECT feature, round(r * r / (1 - r * r) * (n - 2), 4) AS f_score FROM (" + " UNION ALL ".join(

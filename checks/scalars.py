@@ -60,6 +60,16 @@ def _(t: Tables):
     return features.onehot(t.trials.select("trial_id", "access_pattern", "model_type"), ["access_pattern", "model_type"])
 
 
+@query("fn_onehot_sparse", """
+SELECT trial_id, file_path AS level FROM (SELECT o_orderkey AS trial_id, concat('c', o_custkey % 5000) AS file_path FROM orders)
+WHERE file_path <> (SELECT min(concat('c', o_custkey % 5000)) FROM orders)""")
+def _(t: Tables):
+    """Thousands of levels as one sparse vector: each row's level is read back from it."""
+    rows = t.orders.select(F.col("o_orderkey").alias("trial_id"), F.concat(F.lit("c"), F.col("o_custkey") % 5000).alias("customer"))
+    fitted = features.fit_onehot(rows, "customer")
+    return features.decode_onehot(fitted, fitted.transform(rows, "v"), "v").select("trial_id", "level")
+
+
 @query("fn_access_band", """
 SELECT k1, k2, k3, access_count, CASE WHEN access_count <= 10 THEN 1 WHEN access_count <= 20 THEN 2 ELSE 3 END AS band FROM bench_log""")
 def _(t: Tables):
