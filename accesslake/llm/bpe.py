@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .common import give_back
+
 #: Words and white-space separated pieces remembered within a task; emptied when full and at its end, results do not depend on it.
 CACHED_WORDS = 250_000
 #: Texts are encoded in chunks of about so many characters, so that the memory of a batch does not grow with its texts.
@@ -63,8 +65,7 @@ class WordBpe:
             self.join[self.ids[left], self.ids[right]] = rank
             made.setdefault(self.ids[left + right], (rank, self.ids[left], self.ids[right]))
         # the tokens that stand at the right (left) end of a token while it is being merged, with the rank that ends each
-        self.right_end = {i: self._spine(i, made, 2) for i in self.ids.values()}
-        self.left_end = {i: self._spine(i, made, 1) for i in self.ids.values()}
+        self.made = made
         self.pairs: dict[int, bool] = {}
         # which sizes of tokens end in three given symbols; shorter tokens are tried after them
         sizes: dict[str, set[int]] = {}
@@ -73,8 +74,8 @@ class WordBpe:
                 sizes.setdefault(token[-3:], set()).add(len(token))
         self.sizes = {tail: (*sorted(n, reverse=True), 2, 1) for tail, n in sizes.items()}
 
-    @staticmethod
-    def _spine(token: int, made: dict[int, tuple[int, int, int]], side: int) -> list[tuple[int, int]]:
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        made = self.made
         ends, until = [], len(made) + 1
         while True:
             ends.append((token, until))
@@ -88,9 +89,10 @@ class WordBpe:
         They do not if, at some rank, the tokens that then meet at the border merge before either is merged into its own token.
         Of equal merges the leftmost comes first, so the left token's own merge wins a tie and the right one's loses it.
         """
+        right_ends = self._spine(right, 1)
         return not any(
             (rank := self.join.get((a, b))) is not None and rank < until_a and rank <= until_b
-            for a, until_a in self.right_end[left] for b, until_b in self.left_end[right])
+            for a, until_a in self._spine(left, 2) for b, until_b in right_ends)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of distinct words (non-empty text without white space).
@@ -267,7 +269,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: st
                     if decoded:
                         done[decoded] = [t for _, t in coded]
                 yield done
-        c.forget()  # workers live on; other jobs need their memory
+        _CODECS.clear()  # workers live on; other jobs need their memory
+        give_back()
 
     return docs.mapInPandas(run, T.StructType(fields + new))
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from accesslake.session import Scratch
-from .common import components
+from .common import components, give_back
 from .shingles import set_digest, shingle_sets
 
 #: Lists of up to so many sets compare all pairs, longer ones go by blocks; decides cost alone.
@@ -40,7 +40,7 @@ MOST_LIGHT = 16
 #: Ids are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Characters whose shingles are made at once.
-CHARS = 4_000_000
+CHARS = 1_000_000
 
 #: Columns of links between two documents.
 _PAIR = "a long, b long"
@@ -83,6 +83,7 @@ def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"], "n": n, "digest": [set_digest(s) if len(s) else None for s in sets],
                     "h": [s[:k].view(np.int64) for s, k in zip(sets, cut)]})
+        give_back()
 
     return docs.mapInPandas(run, "doc_id long, n int, digest binary, h array<long>")
 
