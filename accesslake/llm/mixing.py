@@ -2,12 +2,14 @@
 
 A sparse logistic classifier, learned from labelled rows, gives every document a posterior over the domains. Each document gets a
 rate, the number of times that it is used on average; rates are found by projected gradient descent on the weighted squares of
-(expected tokens of a domain - its target). The gradient of a document needs one number for each domain, so an iteration is one
-aggregate over the stored posteriors, and rates are expressions of a document's own posterior. All steps are DataFrame operations.
+(expected tokens of a domain - its target). The gradient of a document needs one number for each domain, and its scaling a matrix of
+domains by domains, so an iteration is one aggregate over the stored posteriors, and rates are expressions of a document's own posterior.
+All steps are DataFrame operations.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -22,8 +24,10 @@ SAMPLE, WORDS = 12_000, 1_000
 SPARSE, STEPS = 3e-4, 300
 #: Least likelihood-ratio statistic of a word against the domains: far above what chance gives any of very many words.
 EVIDENCE = 30.0
-#: Iterations at most, and the relative change of the residual at which they stop.
-ITERATIONS, TOLERANCE = 60, 1e-7
+#: Steps at most, the share of a target by which it may be missed, and the share of the loss that a step has to gain.
+ITERATIONS, REACHED, TOLERANCE = 40, 1e-4, 1e-5
+#: How long the steps are that are tried.
+LENGTHS = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 1, 4, 16, 64, 256)
 _SIGNS, _CAPITALS = "!#$%&*+<=>@^_|~", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -122,6 +126,49 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col:
     return sums.select(*own, F.array(*[x / whole for x in parts]).alias("p"))
 
 
+def _descend(rows: DataFrame, p: list[Column], wanted: list[float], mass_of: list[float], max_rate: float | None,
+             scratch: Scratch) -> tuple[DataFrame, Column]:
+    """The rows and the rate of each, by projected gradient descent from rates of 1.
+
+    Squares are weighed by 1 / a domain's tokens, and rates by a document's. A step moves each rate by its posteriors times one vector over
+    the domains and cuts it off at its bounds. The vectors tried are the slope, shorter to much longer, and the slope scaled by the curvature
+    of the rates that are free, a matrix of domains by domains, which meets the targets at once where no bound is; one aggregate gives the
+    losses of all, and the lowest is taken. The slope alone always lowers the loss, for the curvature is 1 at most. It ends when the targets
+    are met or no move lowers the loss by more than TOLERANCE of it; if neither comes in ITERATIONS steps, a warning says so.
+    """
+    size, n = len(p), F.col("n_tokens")
+    top = None if max_rate is None else float(max_rate)
+
+    def moved(rate: Column, by: np.ndarray) -> Column:
+        to = rate - reduce(lambda a, b: a + b, [x * float(v) for x, v in zip(p, by)])
+        return F.greatest(F.lit(0.0), to if top is None else F.least(F.lit(top), to))
+
+    def tokens(rates: list[Column]) -> list[np.ndarray]:
+        got = rows.agg(*[F.sum(r * n * x).alias(f"a{i}_{k}") for i, r in enumerate(rates) for k, x in enumerate(p)]).first()
+        return [np.array([float(got[f"a{i}_{k}"] or 0.0) for k in range(size)]) for i in range(len(rates))]
+
+    rate = F.lit(1.0) if top is None or top >= 1 else F.lit(top)
+    gap = tokens([rate])[0] - wanted
+    for step in range(ITERATIONS):
+        if all(abs(g) <= REACHED * max(w, REACHED * sum(wanted)) for g, w in zip(gap, wanted)):
+            return rows, rate
+        rows = scratch.keep(rows.withColumn("rate", rate), f"rates{step}")
+        rate = F.col("rate")
+        free = (rate > 0) if top is None else (rate > 0) & (rate < top)
+        found = rows.agg(*[F.sum(F.when(free, n * p[k] * p[j])).alias(f"h{k}_{j}") for k in range(size) for j in range(k + 1)]).first()
+        curve = np.array([[float(found[f"h{max(k, j)}_{min(k, j)}"] or 0.0) for j in range(size)] for k in range(size)])
+        slope, scaled = gap / mass_of, np.linalg.lstsq(curve, gap, rcond=1e-10)[0]
+        moves = [slope * x for x in LENGTHS if x >= 1] + [scaled * x for x in LENGTHS if x <= 1]
+        gaps = [a - wanted for a in tokens([moved(rate, m) for m in moves])]
+        losses = [float(g @ (g / mass_of)) for g in gaps]
+        best, loss = int(np.argmin(losses)), float(gap @ slope)
+        if loss - losses[best] <= TOLERANCE * loss:
+            return rows, rate
+        rate, gap = moved(rate, moves[best]), gaps[best]
+    warnings.warn(f"domain tokens have not settled in {ITERATIONS} steps: {(gap + wanted).tolist()} for {wanted}", stacklevel=3)
+    return rows, rate
+
+
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text: str = "text",
                  max_rate: float | None = None, budget: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id, n_tokens, domain, p, rate, copies`` of every row of ``docs``, after its columns ``keep``.
@@ -146,21 +193,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     if max_rate is not None:
         wanted = [min(w, max_rate * m) for w, m in zip(wanted, mass_of)]
 
-    # Squares are weighed by 1 / a domain's tokens and rates by a document's tokens; the curvature is then 1 at most, and so the step.
-    rate = F.lit(1.0)
-    before = float("inf")
-    for step in range(ITERATIONS):
-        got = rows.agg(*[F.sum(rate * F.col("n_tokens") * x).alias(f"a{k}") for k, x in enumerate(p)]).first()
-        slope = [(float(got[f"a{k}"] or 0.0) - wanted[k]) / mass_of[k] for k in range(size)]
-        loss = sum(s * s * m for s, m in zip(slope, mass_of))
-        if before - loss <= TOLERANCE * max(before, 1e-12) and step:
-            break
-        before = loss
-        moved = rate - reduce(lambda a, b: a + b, [x * s for x, s in zip(p, slope)])
-        rate = F.greatest(F.lit(0.0), moved if max_rate is None else F.least(F.lit(float(max_rate)), moved))
-        if step % 8 == 7:  # keep expressions short
-            rows = scratch.keep(rows.withColumn("rate", rate), f"rates{step}")
-            rate = F.col("rate")
+    rows, rate = _descend(rows, p, wanted, mass_of, max_rate, scratch)
     likeliest = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.array_max("p")).cast("int"))
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(21)), 11) / F.lit(float(1 << 53))
     out = rows.withColumn("rate", rate)
