@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from accesslake.session import Scratch
-from .common import refuse_clash
+from .common import give_back, refuse_clash
 
 #: Words that a repeated run must have to be deleted.
 MIN_WORDS = 40
@@ -52,43 +52,57 @@ def windows(h: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int,
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, h, words, keys, starts, marks): hashes and words of the lines, and key, start and fingerprint of the windows."""
+    """(doc_id, digest, h, words, keys, starts, marks): hashes and words of the lines, and key, start and fingerprint of the windows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text):
+            for doc_id, digest, text in zip(batch.doc_id, batch.digest, batch.text):
                 _, h, words = line_hashes(text if isinstance(text, str) else "")
                 found = windows(h, words, min_words)
                 if found:
                     # lines without words play no part: positions are those among the others
                     at = np.cumsum(words > 0) - 1
                     full = words > 0
-                    rows.append((doc_id, h[full], words[full].astype(np.int32), [k for *_, k in found],
+                    rows.append((doc_id, digest, h[full], words[full].astype(np.int32), [k for *_, k in found],
                                  at[[s for s, *_ in found]].astype(np.int32), at[[m for _, _, m, _ in found]].astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "h", "words", "keys", "starts", "marks"])
+            yield pd.DataFrame(rows, columns=["doc_id", "digest", "h", "words", "keys", "starts", "marks"])
+        give_back()
 
-    return docs.mapInPandas(run, "doc_id long, h array<long>, words array<int>, keys array<binary>, starts array<int>, marks array<int>")
+    return docs.mapInPandas(
+        run, "doc_id long, digest long, h array<long>, words array<int>, keys array<binary>, starts array<int>, marks array<int>")
 
 
 def _repeats(scratch: Scratch, docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, gone): the lines, numbered among those with words, that repeat a run that stood before."""
+    """(doc_id, digest, gone): the lines, numbered among those with words, that repeat a run that stood before.
+
+    A document is an id and the digest of a text: texts that share an id are documents of their own, equal rows are one.
+    """
     lines = scratch.keep(_lines(docs, min_words), "lines")
-    prints = lines.select("doc_id", F.explode(F.arrays_zip("keys", "marks")).alias("w")).select(
-        "doc_id", F.col("w.keys").alias("key"), F.col("w.marks").alias("at"))
-    first = scratch.keep(prints.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter(
-        "n > 1").select("key", F.col("first.doc_id").alias("src"), F.col("first.at").alias("src_at")), "first")
+    twice = lines.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id", "digest")
+    if not twice.isEmpty():
+        once = lines.join(twice, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+        lines = scratch.keep(lines.join(twice, ["doc_id", "digest"], "left_anti").select(once.columns).union(once), "lines-once")
+    prints = lines.select("doc_id", "digest", F.explode(F.arrays_zip("keys", "marks")).alias("w")).select(
+        "doc_id", "digest", F.col("w.keys").alias("key"), F.col("w.marks").alias("at"))
+    first = scratch.keep(prints.groupBy("key").agg(F.min(F.struct("doc_id", "digest", "at")).alias("first"), F.count("*").alias("n")).filter(
+        "n > 1").select("key", F.col("first.doc_id").alias("src"), F.col("first.digest").alias("src_digest"), F.col("first.at").alias("src_at")),
+        "first")
+    elsewhere = (F.col("doc_id") != F.col("src")) | (F.col("digest") != F.col("src_digest"))
     # one alignment for each document, source and shift; the rest of the fingerprints on it add nothing
-    matches = scratch.keep(prints.join(first, "key").filter((F.col("doc_id") != F.col("src")) | (F.col("at") != F.col("src_at")))
-                           .select("doc_id", "src", "at", "src_at").distinct(), "matches")
-    per_pair = scratch.keep(matches.groupBy("doc_id", "src").agg(F.collect_list(F.struct("at", "src_at")).alias("pairs")), "pairs")
-    sources = scratch.keep(lines.select(F.col("doc_id").alias("src"), F.col("h").alias("src_h")).join(
-        per_pair.select("src").distinct(), "src", "left_semi"), "sources")
-    own = scratch.keep(per_pair.join(lines.select("doc_id", "h", "words"), "doc_id"), "own")
+    matches = scratch.keep(prints.join(first, "key").filter(elsewhere | (F.col("at") != F.col("src_at")))
+                           .select("doc_id", "digest", "src", "src_digest", "at", "src_at").distinct(), "matches")
+    per_pair = scratch.keep(matches.groupBy("doc_id", "digest", "src", "src_digest").agg(
+        F.collect_list(F.struct("at", "src_at")).alias("pairs")), "pairs")
+    sources = scratch.keep(lines.select(F.col("doc_id").alias("src"), F.col("digest").alias("src_digest"), F.col("h").alias("src_h")).join(
+        per_pair.select("src", "src_digest").distinct(), ["src", "src_digest"], "left_semi"), "sources")
+    own = scratch.keep(per_pair.join(lines.select("doc_id", "digest", "h", "words"), ["doc_id", "digest"]), "own")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc_id", "digest", "src", "src_digest", "pairs", "h", "words", "src_h"]
         for batch in batches:
             rows = []
-            for doc_id, src, pairs, h, words, src_h in batch[["doc_id", "src", "pairs", "h", "words", "src_h"]].itertuples(index=False):
+            for doc_id, digest, src, src_digest, pairs, h, words, src_h in batch[columns].itertuples(index=False):
+                same = (doc_id, digest) == (src, src_digest)
                 gone: set[int] = set()
                 done: dict[int, int] = {}  # shift -> line up to which it is extended
                 for at, src_at in sorted((p["at"], p["src_at"]) for p in pairs):
@@ -101,16 +115,17 @@ def _repeats(scratch: Scratch, docs: DataFrame, min_words: int) -> DataFrame:
                     while high < len(h) and high - shift < len(src_h) and h[high] == src_h[high - shift]:
                         high += 1
                     done[shift] = high - 1
-                    if doc_id == src:
+                    if same:
                         low = max(low, src_at + 1)  # within one text the first occurrence stays
-                    if words[low:high].sum() >= min_words or doc_id == src:
+                    if words[low:high].sum() >= min_words or same:
                         gone.update(range(low, high))
                 if gone:
-                    rows.append((doc_id, sorted(gone)))
-            yield pd.DataFrame(rows, columns=["doc_id", "gone"])
+                    rows.append((doc_id, digest, sorted(gone)))
+            yield pd.DataFrame(rows, columns=["doc_id", "digest", "gone"])
+        give_back()
 
-    return (own.join(sources, "src").mapInPandas(extend, "doc_id long, gone array<int>")
-            .groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    return (own.join(sources, ["src", "src_digest"]).mapInPandas(extend, "doc_id long, digest long, gone array<int>")
+            .groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str = "n_removed",
@@ -119,26 +134,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
 
     A run is repeated if it stood in a document with a smaller id, or earlier in the same one. Lines are compared without white
     space at their ends; lines without words are skipped and stay, except that a text of which nothing else is left becomes empty. The new
-    text is put in ``out`` (default: in place of ``text``). Null texts stay null; rows with a null id stay as they are; rows that
-    repeat an id are one document with several texts, and each loses the lines that the others are found to lose at the same places
-    only if its own text is long enough. Ties do not occur: (id, line) orders all runs. Empty tables give no rows. All other columns
-    stay; ``removed`` may not be one of them.
+    text is put in ``out`` (default: in place of ``text``). Null texts stay null; rows with a null id stay as they are. Texts that share an
+    id are documents of their own, in the order of a 64-bit digest; rows that repeat both id and text are one document, and lose the same
+    lines. Ties do not occur: (id, digest, line) orders all runs. Texts are read whole, of any length; a task holds the lines of some
+    documents and of one source for each. Empty tables give no rows. All other columns stay; ``removed`` may not be one of them, nor may
+    names that begin with ``__dedup_``.
     """
     out = out or text
-    refuse_clash(docs, removed, *([out] if out != text else []))
+    own_id, own_digest, own_gone = "__dedup_id", "__dedup_digest", "__dedup_gone"
+    refuse_clash(docs, removed, own_id, own_digest, own_gone, *([out] if out != text else []))
     scratch = Scratch(docs.sparkSession, "linedup")
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    gone = scratch.keep(_repeats(scratch, rows, min_words).withColumnRenamed("doc_id", "_id"), "gone")
-    size = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0]
+    rows = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    gone = scratch.keep(_repeats(scratch, rows, min_words).toDF(own_id, own_digest, own_gone), "gone")
+    size = gone.agg(F.coalesce(F.sum(F.size(own_gone) + 6), F.lit(0))).first()[0]
     few = size <= BROADCAST_LINES
-    joined = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    same = (F.col(id_col) == F.col(own_id)) & (F.xxhash64(text) == F.col(own_digest))
+    joined = docs.join(F.broadcast(gone) if few else gone, same, "left").drop(own_id, own_digest)
     fields = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*fields, T.StructField(out, T.StringType()), T.StructField(removed, T.LongType())])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, counts = [], []
-            for old, drop in zip(batch[text], batch.gone):
+            for old, drop in zip(batch[text], batch[own_gone]):
                 if drop is None or not isinstance(old, str):
                     texts.append(old if isinstance(old, str) else None)
                     counts.append(0)
@@ -153,5 +172,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
                 texts.append("\n".join(kept) if any(x.strip() for x in kept) else "")
             batch[out], batch[removed] = texts, counts
             yield batch[schema.names]
+        give_back()
 
     return joined.mapInPandas(cut, schema).select(*[c for c in docs.columns], *([out] if out not in docs.columns else []), removed)

@@ -76,6 +76,17 @@ def test_line_dedup(docs, none):
         dedup_lines(docs, removed="text")
 
 
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    run = "\n".join(f"a line of five words{i}" for i in range(5))
+    own = "\n".join(f"another line of its own{i}" for i in range(8))
+    rows = [(1, run), (2, run + "\ntail of the second"), (2, own), (3, own), (4, "x\n" + run), (4, "x\n" + run), (5, own + "\nmore")]
+    table = spark.createDataFrame([(*r, "gone", 1, 2) for r in rows], "doc_id long, text string, gone string, _id long, digest long")
+    got = sorted((r.doc_id, r.n_removed, r.text) for r in dedup_lines(table, min_words=20).collect())
+    # the digest decides which of the two texts of id 2 comes first, not that either loses the other's lines
+    assert got == sorted([(1, 0, run), (2, 5, "tail of the second"), (2, 0, own), (3, 8, ""), (4, 5, "x"), (4, 5, "x"), (5, 8, "more")])
+    assert {r.gone for r in dedup_lines(table, min_words=20).collect()} == {"gone"}
+
+
 def test_mixing(spark, docs, none):
     labels = spark.createDataFrame([(4, "a"), (5, "b"), (5, "b"), (None, "a"), (7, None), (99, "c")], "doc_id long, domain string")
     rows = mixing_rates(docs, labels, {"a": 1.0, "b": 1.0}).collect()
