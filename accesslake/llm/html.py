@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from .common import refuse_clash
 from .shingles import word_hashes
 
-#: Pages that the labeller learns from, on average.
-SAMPLE = 600
+#: Pages that the labeller learns from, on average, and the characters from which a page is not learned from, only labelled.
+SAMPLE, SAMPLE_CHARS = 600, 200_000
 PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN = 160, 16, 7, 24
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
 STEPS, BATCH, RATE = 320, 24, 0.01
@@ -55,7 +56,8 @@ ARTICLE = frozenset("article main".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
+    # a quote opens a value right after = only, and closes it only where an attribute can end; others are characters like any
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*\"(?=[\s/>]|\Z)|=\s*'[^']*'(?=[\s/>]|\Z)|=)*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -73,6 +75,12 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links = linked = 0
+    open_tags: Counter[str] = Counter()
+
+    def close(k: int) -> None:
+        for tag, _ in stack[k:]:
+            open_tags[tag] -= 1
+        del stack[k:]
 
     def flush() -> None:
         nonlocal linked
@@ -99,18 +107,15 @@ def blocks(page: str) -> list[Block]:
             flush()
             if closing:
                 links = 0
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_tags[tag]:
+                    close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
                 continue
             if tag in ENDS_P and any(t == "p" for t, _ in stack[-3:]):
-                k = max(k for k, (t, _) in enumerate(stack) if t == "p")
-                del stack[k:]
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"))
             elif tag in CLOSES:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in CLOSES[tag]:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                         break
@@ -119,6 +124,7 @@ def blocks(page: str) -> list[Block]:
                 for a in _NAMES.findall(attributes) if "=" in attributes else ():
                     names += _WORD.findall("".join(a).lower())
                 stack.append((tag, tuple(names)))
+                open_tags[tag] += 1
     flush()
     return out
 
@@ -294,12 +300,14 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(pages: DataFrame, html: str = "html", id_col: str = "page_id", sample: int = SAMPLE, seed: int = 1) -> Labeller:
-    """A labeller learned from about ``sample`` pages, drawn by a hash of their ids: that is the bound of what the driver gets."""
+    """A labeller learned from about ``sample`` pages of less than SAMPLE_CHARS characters, drawn by a hash of their ids.
+
+    Both bound what the driver gets. Extraction reads every page, of any length, whole.
+    """
     rows = pages.filter(F.col(html).isNotNull() & F.col(id_col).isNotNull())
     total = max(1, rows.count())
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(13)), 11) / F.lit(float(1 << 53))
-    # a very long page adds no more than a piece of it; its length is bounded before it is sent
-    got = rows.filter((draw * total < sample) & (F.length(html) < 200_000)).select(F.col(id_col).alias("id"), F.col(html).alias("html"))
+    got = rows.filter((draw * total < sample) & (F.length(html) < SAMPLE_CHARS)).select(F.col(id_col).alias("id"), F.col(html).alias("html"))
     texts = [r.html for r in sorted(got.collect(), key=lambda r: str(r.id))]
     model, rnd = Labeller(seed), random.Random(seed)
     base = []
