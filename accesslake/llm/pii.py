@@ -342,9 +342,9 @@ def learn(texts: list[str], seed: int = 0, steps: int = 300, decay: float = 1e-4
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """A field learned from at most ``sample`` documents with digits or ``@``, the first by the digest of their text.
+    """A field learned from at most ``sample`` documents with digits or ``@``, drawn by a hash of their text.
 
-    Only the words that can hold personal data are brought to the driver, at most SAMPLE_CHARS characters of a document; documents with
+    They are counted first, so that no more than about twice the sample are looked at. Only the words that can hold personal data are brought to the driver, at most SAMPLE_CHARS characters of a document; documents with
     more are not learned from. Null texts and empty tables teach nothing: what is left finds the patterns only.
     """
     text_batches(docs.sparkSession)
@@ -355,7 +355,10 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Field:
             digest = batch.text.map(lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest())
             yield pd.DataFrame({"digest": digest, "words": short})[short.str.len() <= SAMPLE_CHARS]
 
-    rows = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]")).mapInPandas(shorten, "digest string, words string")
+    active = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    total = active.count()
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("text"), F.lit(17)), 11) / F.lit(float(1 << 53))
+    rows = active.filter(draw * F.lit(float(max(1, total))) < 2 * sample).mapInPandas(shorten, "digest string, words string")
     return learn([r.words for r in rows.orderBy("digest", "words").limit(sample).collect()])
 
 
