@@ -9,7 +9,8 @@
 
 Quality and mixing decide for each row, not for each id. Rows with a null id are judged by their text alone there, and pass the stages
 that link documents. Empty tables pass through. Columns
-beside doc_id, text, lang, source and n_chars are kept up to the last stage; n_chars follows the text.
+beside doc_id, text, lang, source and n_chars are kept up to the last stage, whatever their names, but for names that begin with
+``__pipeline_`` or ``__dedup_``; the last stage renames ``ids`` and ``decoded``. n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -35,13 +36,17 @@ BROADCAST_KEYS = 500_000
 TARGETS = {"clean": 1.0, "junk": 0.0, "toxic": 0.0}
 
 
+#: Columns that stages add for themselves and take away again.
+ROW, NODE, ID, REMOVED = "__pipeline_row", "__pipeline_node", "__pipeline_id", "__pipeline_removed"
+
+
 def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a digest of the id and of all that a decision depends on: rows of one key are judged alike."""
-    return docs.withColumn("_row", F.unhex(F.md5(F.to_json(F.struct("doc_id", "source", "lang", F.md5("text").alias("text"))))))
+    """``docs`` with ROW, a digest of the id and of all that a decision depends on: rows of one key are judged alike."""
+    return docs.withColumn(ROW, F.unhex(F.md5(F.to_json(F.struct("doc_id", "source", "lang", F.md5("text").alias("text"))))))
 
 
 def _without(docs: DataFrame, gone: DataFrame, key: str, name: str) -> DataFrame:
@@ -55,15 +60,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = _keyed(docs)
-    scored = score_quality(rows, labels, F.col("source"), F.col("lang"), keep=["_row"])
-    return _without(rows, scored.filter(~F.col("kept")), "_row", "quality").select(docs.columns)
+    scored = score_quality(rows, labels, F.col("source"), F.col("lang"), keep=[ROW])
+    return _without(rows, scored.filter(~F.col("kept")), ROW, "quality").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of lines that stood before; documents that held nothing else go."""
     text_batches(spark)
-    cut = dedup_lines(docs)
-    return cut.filter((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn(
+    cut = dedup_lines(docs, removed=REMOVED)
+    return cut.filter((F.col(REMOVED) == 0) | (F.trim("text") != "")).withColumn(
         "n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -74,22 +79,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     text_batches(spark)
     scratch = Scratch(spark, "near")
-    ids = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1")
-    twice = _few(scratch.keep(ids.select("_id"), "twice"))
+    ids = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(ID)).count().filter("count > 1")
+    twice = _few(scratch.keep(ids.select(ID), "twice"))
     rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    same = (docs.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id", "text")
+    same = (docs.join(twice, F.col("doc_id") == F.col(ID), "left_semi").groupBy("doc_id", "text")
             .agg(F.min_by(rest, F.to_json(rest)).alias("rest")).select("doc_id", "text", "rest.*").select(docs.columns))
-    same = scratch.keep(same.withColumn("_node", F.xxhash64("doc_id", "text")), "same")
-    rows = docs.join(twice, F.col("doc_id") == F.col("_id"), "left_anti").withColumn("_node", F.col("doc_id")).union(same)
-    joined = scratch.keep(jaccard_join(rows, id_col="_node").select(F.col("doc_id").alias("_node"), "component_id"), "joined")
+    same = scratch.keep(same.withColumn(NODE, F.xxhash64("doc_id", "text")), "same")
+    rows = docs.join(twice, F.col("doc_id") == F.col(ID), "left_anti").withColumn(NODE, F.col("doc_id")).union(same)
+    joined = scratch.keep(jaccard_join(rows, id_col=NODE).select(F.col("doc_id").alias(NODE), "component_id"), "joined")
     # the smallest node is not the smallest id in components that hold hashes
-    names = same.select("_node", F.col("doc_id").alias("_id"))
-    mixed = scratch.keep(joined.join(_few(names), "_node", "left_semi").select("component_id").distinct(), "mixed")
-    least = joined.join(_few(mixed), "component_id", "left_semi").join(_few(names), "_node", "left").groupBy("component_id").agg(
-        F.min(F.struct(F.coalesce("_id", "_node").alias("id"), "_node")).alias("least"))
-    least = _few(scratch.keep(least.select("component_id", F.col("least._node").alias("_first")), "least"))
-    gone = joined.join(least, "component_id", "left").filter(F.col("_node") != F.coalesce("_first", "component_id"))
-    return _without(rows, gone, "_node", "near").select(docs.columns)
+    names = same.select(NODE, F.col("doc_id").alias(ID))
+    mixed = scratch.keep(joined.join(_few(names), NODE, "left_semi").select("component_id").distinct(), "mixed")
+    least = joined.join(_few(mixed), "component_id", "left_semi").join(_few(names), NODE, "left").groupBy("component_id").agg(
+        F.min(F.struct(F.coalesce(ID, NODE).alias("id"), NODE)).alias("least"))
+    least = _few(scratch.keep(least.select("component_id", F.col(f"least.{NODE}").alias("_first")), "least"))
+    gone = joined.join(least, "component_id", "left").filter(F.col(NODE) != F.coalesce("_first", "component_id"))
+    return _without(rows, gone, NODE, "near").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,15 +102,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = _keyed(docs)
-    rates = mixing_rates(rows, label_domains(labels), TARGETS, max_rate=1.0, keep=["_row"])
+    rates = mixing_rates(rows, label_domains(labels), TARGETS, max_rate=1.0, keep=[ROW])
     unwanted = [d for d, weight in TARGETS.items() if not weight]
     gone = rates.filter((F.col("copies") == 0) | F.col("domain").isin(unwanted))
-    return _without(rows, gone, "_row", "mixing").select(docs.columns)
+    return _without(rows, gone, ROW, "mixing").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the decoded text of every document that is left."""
+    """Token ids and the decoded text of every document that is left; columns of their names get the prefix ``input_``."""
     text_batches(spark)
+    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in ("ids", "decoded") if c in docs.columns})
     return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids="ids", decoded="decoded")
 
 
