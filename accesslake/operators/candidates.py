@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import with_row
 from ..functions.sizing import decide, tier_slots
 
 TIE = 1e-4
@@ -25,21 +25,21 @@ def expand_candidates(df: DataFrame, candidates: Sequence[float], column: str =
                       current: str = "current_chunk") -> DataFrame:
     """Each row once per candidate, the candidate in ``column`` and the old value in ``current``.
 
-    The list is one array from a table of one row, so expanding is a narrow step without join or shuffle, and the plan is the same
-    for lists of any length.
+    The list is one constant, folded before the plan is made, so expanding is a narrow step without join or shuffle, and the plan is the
+    same for lists of any length. Select what is needed before: every other column is repeated with the candidates.
     """
     kind = df.schema[column].dataType.simpleString()
-    listed = df.sparkSession.createDataFrame([([float(c) for c in candidates],)], "chunks array<double>")
-    renamed = with_row(df.withColumnRenamed(column, current), listed, "_listed")
-    return renamed.withColumn(column, F.explode(F.col("_listed.chunks").cast(f"array<{kind}>"))).drop("_listed")
+    listed = F.from_json(F.lit(json.dumps([float(c) for c in candidates])), "array<double>").cast(f"array<{kind}>")
+    return df.withColumnRenamed(column, current).withColumn(column, F.explode(listed))
 
 
 def best_candidate(scored: DataFrame, keys: Sequence[str], chunk: str = "chunk_size_kb", p: str = "p",
                    tie: float = TIE) -> DataFrame:
     """Per row key: best p and chosen chunk out of expanded and scored rows.
 
-    ``keys`` identify the row before expansion (carry further columns in ``keys`` as well). All
-    candidates of a row sit next to each other, so the map-side step already folds them into one.
+    ``keys`` identify the row before expansion (carry further columns in ``keys`` as well). All candidates of a row sit next to each
+    other, so the map-side step already folds them into one. Fitted models score candidates within the row instead, as
+    ``models.predict_rf`` does, and closed-form scores do so in ``best_candidate_inline``.
     """
     pair = F.struct(F.col(p).alias("p"), F.col(chunk).alias("chunk"))
     gathered = scored.groupBy(*keys).agg(F.collect_list(pair).alias("_c"), F.max(p).alias("confidence"))

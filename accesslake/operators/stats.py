@@ -129,8 +129,9 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], known: DataFrame | None =
         "*", F.expr(f"int(_at div {d})").alias("_i"), F.expr(f"int(_at % {d})").alias("_j"))
     i, j = F.col("_i"), F.col("_j")
     spread = F.sqrt(_co(i, i, d)) * F.sqrt(_co(j, j, d))
+    r = F.try_divide(_co(F.least(i, j), F.greatest(i, j), d), spread)
     return cells.select(F.get(names, i).alias("feature_x"), F.get(names, j).alias("feature_y"),
-                        F.try_divide(_co(F.least(i, j), F.greatest(i, j), d), spread).alias("r"))
+                        F.when((i == j) & r.isNotNull(), F.lit(1.0)).otherwise(r).alias("r"))
 
 
 def redundant_pairs(matrix: DataFrame, threshold: float = REDUNDANT_R) -> DataFrame:

@@ -73,6 +73,32 @@ def record_throughput(transfers: DataFrame, delay: str) -> DataFrame:
     return rated.dropDuplicatesWithinWatermark(["file_path", "start_time"])
 
 
+_FIRST = "ingest_id: bigint, end_time: timestamp, bytes_transferred: bigint, operation_type: string, throughput_mbps: double"
+
+
+def kept_throughput(spark: SparkSession, path: str, every: int = 16) -> ChangeLog:
+    """The stored rates, by file and start time."""
+    return ChangeLog(spark, path, f"file_path string, start_time timestamp, first struct<{_FIRST}>", ["file_path", "start_time"], every)
+
+
+def publish_throughput(transfers: DataFrame, path: str, checkpoint: str, trigger: dict, delay: str, every: int = 16) -> StreamingQuery:
+    """Keep one rate per file and start time: the copy ingested first, whichever order the copies arrive in.
+
+    ``delay`` bounds the state: transfers that start so much before the latest one of earlier batches are not seen, and what is older is
+    forgotten by the state, not by the table. Each batch stores the rates it changed; every so many batches are merged into a snapshot.
+    """
+    rated = throughput_rows(transfers).withWatermark("start_time", delay)
+    first = F.min(F.struct(*[c.split(":")[0] for c in _FIRST.split(", ")])).alias("first")
+    log = kept_throughput(transfers.sparkSession, path, every)
+    return (rated.groupBy("file_path", "start_time").agg(first).writeStream.outputMode("update").foreachBatch(log.store)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def current_throughput(spark: SparkSession, path: str) -> DataFrame:
+    """The rates as of the last stored batch."""
+    return kept_throughput(spark, path).rows().select("file_path", "start_time", "first.*")
+
+
 _ACTIVITY = ("events", "read_events", "write_events")
 
 

@@ -155,3 +155,22 @@ def test_plan_kept_by_a_stream(spark, tmp_path):
         assert rows[0] == rows[1]
         seen += len(rows[0])
     assert seen > 10
+
+
+def test_rates_kept_by_a_stream(spark, tmp_path):
+    """Copies of a transfer in any order and batch: the first ingested stays; too late ones are not seen."""
+    path = str(tmp_path / "transfers")
+    kinds = "ingest_id long, file_path string, start_time timestamp, end_time timestamp, bytes_transferred long, operation_type string"
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, f, s, s + dt.timedelta(seconds=d), b, "read") for i, f, s, d, b in rows], kinds).write.mode("append").parquet(path)
+        ingest.publish_throughput(spark.readStream.schema(kinds).parquet(path), str(tmp_path / "out"), str(tmp_path / "ckpt"), NOW, "2 days",
+                                  every=2).awaitTermination()
+        return {(r.file_path, r.start_time.day): (r.ingest_id, r.throughput_mbps) for r in ingest.current_throughput(spark, str(tmp_path / "out")).collect()}
+
+    mb = 1 << 20
+    assert arrive((5, "/a", at(3), 1, 5 * mb), (2, "/a", at(3), 1, 2 * mb), (3, "/b", at(3), 0, mb)) == {("/a", 3): (2, 2.0)}
+    assert arrive((7, "/a", at(3), 1, 7 * mb), (8, "/b", at(4), 2, mb), (1, "/c", at(4), 1, mb)) == {("/a", 3): (2, 2.0), ("/b", 4): (8, 0.5), ("/c", 4): (1, 1.0)}
+    wanted = {("/a", 3): (2, 2.0), ("/b", 4): (8, 0.5), ("/c", 4): (1, 1.0), ("/a", 20): (9, 1.0)}
+    assert arrive((9, "/a", at(20), 1, mb)) == wanted
+    assert arrive((10, "/d", at(5), 1, mb), (11, "/a", at(20), 1, 3 * mb)) == wanted  # the fifth is long past
