@@ -113,8 +113,10 @@ def _links(same: DataFrame, cosine: float) -> DataFrame | None:
                 home = near.argmax(axis=1)
                 at_home = near[np.arange(len(u)), home]
                 # distance to the border between the home pivot and another one
-                gap = (at_home[:, None] - near) / apart[home]
-                row, cell = np.nonzero((gap <= eps + SLACK) | (np.arange(len(p)) == home[:, None]))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gap = (at_home[:, None] - near) / apart[home]
+                # two pivots that round to one point have no border: a gap that is not a number is within reach
+                row, cell = np.nonzero(~(gap > eps + SLACK) | (np.arange(len(p)) == home[:, None]))
                 yield pd.DataFrame({"cell": cell.astype(np.int32), "home": cell == home[row], "rep": rows.rep.to_numpy()[row],
                                     "copies": rows.copies.to_numpy()[row], "u": list(u[row])})
 
