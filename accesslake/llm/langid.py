@@ -7,7 +7,7 @@ the rest is fitted on the kernel values with them. Batches of texts are scored b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,8 @@ from .common import refuse_clash
 BITS = 16
 #: Texts of each language that a fit learns from, on average, and how many of them are landmarks.
 SAMPLE, LANDMARKS = 600, 32
+#: Texts that a fit learns from in all, on average: with very many languages each gets its part of these.
+SAMPLE_ALL = 20_000
 #: Weight of the ridge penalty for each training text.
 RIDGE = 1e-3
 #: Characters and texts whose n-grams are made at once.
@@ -80,15 +82,17 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE,
         landmarks: int = LANDMARKS) -> LanguageModel:
-    """Learn from about ``sample`` texts of each language, drawn by a hash of their ids: that is the bound of what the driver gets.
+    """Learn from about ``sample`` texts of each language, drawn by a hash of their ids, and SAMPLE_ALL in all: that is the bound of what
+    the driver gets, as the hashed n-grams that each text has.
 
     Rows with a null or empty text, language or id are not learned from; without any, the model knows no language.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = rows.groupBy("lang").count()  # a row for each language
+    counts = rows.groupBy("lang").count()  # a row for each language; however many a dirty column has, the engine joins them
+    each = min(float(sample), SAMPLE_ALL / max(1, counts.count()))
     draw = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(3)), 11) / F.lit(float(1 << 53))
-    drawn = rows.join(F.broadcast(counts), "lang").filter(draw * F.col("count") < sample)
+    drawn = rows.join(counts, "lang").filter(draw * F.col("count") < each)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -102,20 +106,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str
     languages = sorted(got.lang.unique())
     if not languages:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    has = np.zeros((len(got), 1 << BITS), bool)
-    for k, codes in enumerate(got.codes):
-        has[k, np.frombuffer(codes, np.uint16)] = True
+    size = got.codes.map(len).to_numpy() // 2
+
+    def dense(which: Iterable[int]) -> np.ndarray:
+        has = np.zeros((len(which), 1 << BITS), bool)
+        for k, i in enumerate(which):
+            has[k, np.frombuffer(got.codes.iloc[i], np.uint16)] = True
+        return has
+
     # landmarks evenly over each language's texts by length, short ones too
-    size = has.sum(axis=1)
     chosen = []
     for name in languages:
         own = np.flatnonzero((got.lang == name).to_numpy())
         own = own[np.argsort(size[own], kind="stable")]
         chosen += own[np.unique(np.linspace(0, len(own) - 1, min(landmarks, len(own))).astype(int))].tolist()
-    used = np.flatnonzero(has[chosen].any(axis=0))
-    marks = (has[chosen][:, used] / np.sqrt(np.maximum(1, size[chosen]))[:, None]).T.astype(np.float32)
+    used = np.unique(np.concatenate([np.frombuffer(got.codes.iloc[i], np.uint16) for i in chosen])).astype(np.int64)
+    marks = np.concatenate([dense(chosen[k:k + TEXTS])[:, used] for k in range(0, len(chosen), TEXTS)])
+    marks = (marks / np.sqrt(np.maximum(1, size[chosen]))[:, None]).T.astype(np.float32)
     model = LanguageModel(languages, used, marks, np.zeros((len(chosen), len(languages)), np.float32))
-    known = model.kernel(has).astype(np.float64)
+    known = np.concatenate([model.kernel(dense(range(k, min(k + TEXTS, len(got))))) for k in range(0, len(got), TEXTS)]).astype(np.float64)
     within = known[chosen]
     values, vectors = np.linalg.eigh((within + within.T) / 2)
     keep = values > 1e-6 * values.max()

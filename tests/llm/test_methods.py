@@ -237,6 +237,33 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_kernel_and_ridge_by_numpy(spark):
+    """The fitted scores against the kernel and the ridge written out, over sets of hashed n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL").limit(120)
+    docs = spark.createDataFrame(docs.select("doc_id", "text", "lang").collect(), "doc_id long, text string, lang string")
+    model = langid.fit(docs, landmarks=10_000)  # every text is a landmark: the kernel is that of all of them
+    rows = sorted(((r.lang, str(r.doc_id), r.text) for r in docs.collect()))
+    has, letter = langid.presence([t for *_, t in rows])
+    sets = [set(np.flatnonzero(h)) for h, l in zip(has, letter) if l]
+    names = [n for (n, *_), l in zip(rows, letter) if l]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    got = model.kernel(has[letter]) @ model.weights
+    # ridge regression in the space of the kernel's features, each language weighing the same
+    values, vectors = np.linalg.eigh(k)
+    keep = values > 1e-6 * values.max()
+    features = vectors[:, keep] * np.sqrt(values[keep])
+    y = np.array([[float(n == m) for m in model.languages] for n in names])
+    share = (1 / y.sum(axis=0))[y.argmax(axis=1)][:, None]
+    weights = np.linalg.solve(features.T @ (features * share) + langid.RIDGE * y.shape[1] / 10 * np.eye(keep.sum()), features.T @ (y * share))
+    assert np.abs(got - features @ weights).max() < 2e-2 and (got.argmax(axis=1) == (features @ weights).argmax(axis=1)).all()
+
+
+def test_language_of_very_many_names(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 30)
+    docs = spark.range(900).selectExpr("id AS doc_id", "concat('words of number ', id) AS text", "concat('l', id % 300) AS lang")
+    assert 5 <= len(langid.fit(docs).languages) <= 80
+
+
 @pytest.mark.parametrize("block, cells", [(7, 256), (7, 5), (2048, 16)])
 def test_top_k_by_brute_force(spark, monkeypatch, block, cells):
     monkeypatch.setattr(topk, "QUERY_BLOCK", block)
