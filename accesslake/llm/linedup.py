@@ -21,8 +21,9 @@ from .common import give_back, refuse_clash
 
 #: Words that a repeated run must have to be deleted.
 MIN_WORDS = 40
-#: Deleted lines and documents that have any are broadcast up to this number (a few MB); beyond it they are joined by a shuffle.
-BROADCAST_LINES = 500_000
+#: Deleted lines and documents that have any (four times) are broadcast up to this number, a few MB; beyond it the texts that lose lines
+#: are joined with them by a shuffle, and told from the others by their keys, which are broadcast up to this number of documents.
+BROADCAST_LINES, BROADCAST_KEYS = 500_000, 500_000
 
 
 def line_hashes(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -147,10 +148,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     rows = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     gone = scratch.keep(_repeats(scratch, rows, min_words).toDF(own_id, own_digest, own_gone), "gone")
-    size = gone.agg(F.coalesce(F.sum(F.size(own_gone) + 6), F.lit(0))).first()[0]
-    few = size <= BROADCAST_LINES
+    size = gone.agg(F.coalesce(F.sum(F.size(own_gone)), F.lit(0)).alias("lines"), F.count("*").alias("documents")).first()
     same = (F.col(id_col) == F.col(own_id)) & (F.xxhash64(text) == F.col(own_digest))
-    joined = docs.join(F.broadcast(gone) if few else gone, same, "left").drop(own_id, own_digest)
+    if size.lines + 4 * size.documents <= BROADCAST_LINES:
+        joined = docs.join(F.broadcast(gone), same, "left")
+    elif size.documents <= BROADCAST_KEYS:
+        keys = F.broadcast(gone.select(own_id, own_digest))
+        others = docs.join(keys, same, "left_anti").withColumns({c: F.lit(None).cast(t) for c, t in gone.dtypes})
+        joined = docs.join(keys, same, "left_semi").join(gone, same).unionByName(others)
+    else:
+        joined = docs.join(gone, same, "left")
+    joined = joined.drop(own_id, own_digest)
     fields = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*fields, T.StructField(out, T.StringType()), T.StructField(removed, T.LongType())])
 

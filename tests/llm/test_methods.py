@@ -153,7 +153,10 @@ def test_gradients_of_the_labeller():
         assert abs((up - down) / 2e-2 - grads[name][at]) < 1e-3
 
 
-def test_line_dedup_by_brute_force(spark):
+@pytest.mark.parametrize("lines, keys", [(500_000, 500_000), (0, 500_000), (0, 0)])
+def test_line_dedup_by_brute_force(spark, monkeypatch, lines, keys):
+    monkeypatch.setattr(linedup, "BROADCAST_LINES", lines)
+    monkeypatch.setattr(linedup, "BROADCAST_KEYS", keys)
     rnd = random.Random(5)
     line = lambda: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(30)) for _ in range(rnd.randint(1, 12)))
     runs = [[line() for _ in range(rnd.randint(1, 6))] for _ in range(12)]
