@@ -31,3 +31,10 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     import __spark_entry__
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_correlations_are_of_every_feature(spark):
+    """None is cut off, neither by the query nor by its SQL."""
+    from checks.relational import FEATURES
+    assert {r["feature"] for r in QUERIES["top_features_corr"](spark, SF_DIR).collect()} == set(FEATURES)
+    assert "LIMIT" not in ORACLES["top_features_corr"]
