@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import spread
 from .scalers import VectorScalerModel, fit_vector_scaler
 from ..functions.sizing import round_chunk
 
@@ -31,31 +32,48 @@ def codebook_array(codebook: DataFrame) -> tuple[list, np.ndarray]:
     return [(r["i"], r["j"]) for r in rows], np.array([r["weights"] for r in rows], dtype="float64")
 
 
-def _distances():
-    """A function of rows and units giving every Euclidean distance.
+def _nearest():
+    """A function of rows and units giving each row's nearest unit, the first among equals, and its Euclidean distance.
 
-    It is made here, not imported, so that it travels to the tasks by value.
+    It is made here, not imported, so that it travels to the tasks by value. One matrix product bounds all distances; those within its
+    rounding of the least are then computed exactly. Rows are taken in blocks, so that memory does not grow with a batch.
     """
-    def distances(x, weights):
-        return np.sqrt(np.stack([((x - w) ** 2).sum(axis=1) for w in weights], axis=1))
-
-    return distances
+    def nearest(x, weights, block=1024):
+        best, far = np.zeros(len(x), dtype="int64"), np.zeros(len(x))
+        sizes = (weights ** 2).sum(axis=1)
+        for at in range(0, len(x), block):
+            part = x[at:at + block]
+            own = (part ** 2).sum(axis=1)
+            rough = own[:, None] + sizes - 2.0 * (part @ weights.T)
+            slack = 1e-12 * (own + sizes.max())
+            # where a bound is not a number every unit is looked at
+            row, unit = np.nonzero(~(rough > (rough.min(axis=1) + slack)[:, None]))
+            exact = np.empty(len(row))
+            for k in range(0, len(row), 16 * block):
+                pair = slice(k, k + 16 * block)
+                exact[pair] = np.sqrt(((part[row[pair]] - weights[unit[pair]]) ** 2).sum(axis=1))
+            # as argmin does: what is not a number comes first, then the least, then the first unit
+            order = np.lexsort((unit, exact, ~np.isnan(exact), row))
+            first = order[np.unique(row[order], return_index=True)[1]]
+            best[at:at + block], far[at:at + block] = unit[first], exact[first]
+        return best, far
+
+    return nearest
 
 
 def nearest_unit(df: DataFrame, codebook: DataFrame, vector: str = "vector") -> DataFrame:
     """Adds ``unit`` (i, j) and ``distance`` of the nearest unit, the first in order among equals."""
     units, weights = codebook_array(codebook)
     shared = df.sparkSession.sparkContext.broadcast((units, weights))
-    distances = _distances()
+    nearest = _nearest()
 
     @F.pandas_udf("i int, j int, distance double")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, w = shared.value
         grid = np.array(known)
         for vectors in batches:
-            d = distances(np.stack(vectors.to_numpy()).astype("float64"), w) if len(vectors) else np.zeros((0, 1))
-            best = d.argmin(axis=1)
-            yield pd.DataFrame({"i": grid[best, 0], "j": grid[best, 1], "distance": d[np.arange(len(d)), best]})
+            best, far = nearest(np.stack(vectors.to_numpy()).astype("float64") if len(vectors) else w[:0], w)
+            yield pd.DataFrame({"i": grid[best, 0], "j": grid[best, 1], "distance": far})
 
     return (df.withColumn("_m", match(F.col(vector)))
             .withColumn("unit", F.struct("_m.i", "_m.j")).withColumn("distance", F.col("_m.distance")).drop("_m"))
@@ -153,7 +171,7 @@ def _fit(df: DataFrame, vector: str, epochs: int, side: int | None, sigma: float
     per unit and the driver sees at most 900 sums.
     """
     spark = df.sparkSession
-    data = df.select(F.col(vector).cast("array<double>").alias(vector)).persist()
+    data = spread(df.select(F.col(vector).cast("array<double>").alias(vector))).persist()
     errors = []
     try:
         side = min(side, LARGEST_SIDE) if side else map_side(data.count())
@@ -178,7 +196,7 @@ def _unit_sums(data: DataFrame, vector: str, weights: np.ndarray) -> tuple[np.nd
     """Per unit the sum and the count of the rows nearest to it, and the mean distance of all rows to their units."""
     units, width = weights.shape
     shared = data.sparkSession.sparkContext.broadcast(weights)
-    distances = _distances()
+    nearest = _nearest()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
@@ -187,13 +205,13 @@ def _unit_sums(data: DataFrame, vector: str, weights: np.ndarray) -> tuple[np.nd
             if not len(batch):
                 continue
             x = np.stack(batch[vector].to_numpy()).astype("float64")
-            d = distances(x, w)
-            best = d.argmin(axis=1)
+            best, d = nearest(x, w)
             np.add.at(sums, best, x)
-            np.add.at(far, best, d[np.arange(len(d)), best])
+            np.add.at(far, best, d)
             hits += np.bincount(best, minlength=units)
         used = np.flatnonzero(hits)
-        yield pd.DataFrame({"unit": used, "hits": hits[used], "far": far[used], "sums": list(sums[used])})
+        if len(used):  # a task without rows has nothing to say
+            yield pd.DataFrame({"unit": used, "hits": hits[used], "far": far[used], "sums": list(sums[used])})
 
     parts = data.mapInPandas(partial, "unit int, hits bigint, far double, sums array<double>")
     totals = parts.groupBy("unit").agg(

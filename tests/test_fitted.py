@@ -125,3 +125,25 @@ def test_a_stored_map_scores_alike(spark, tmp_path):
     assert again.predict(df).count() == 300
     with pytest.raises(ValueError):
         fitted.predict(df)
+
+
+def test_a_map_over_tasks_without_rows(spark):
+    """A file of one row group is read by many tasks, all but one of them without rows."""
+    df = spark.createDataFrame([([float(k % 5), float(k % 3)],) for k in range(40)], "vector array<double>").coalesce(1)
+    sparse = df.union(spark.createDataFrame([], df.schema).repartition(4))
+    weights = np.array([[0.0, 0.0], [4.0, 2.0], [2.0, 1.0]])
+    sums, hits, error = som._unit_sums(sparse, "vector", weights)
+    x = np.array([r.vector for r in df.collect()])
+    d = np.sqrt(((x[:, None, :] - weights) ** 2).sum(axis=2))
+    assert hits.tolist() == np.bincount(d.argmin(axis=1), minlength=3).tolist() and abs(error - d.min(axis=1).mean()) < 1e-12
+
+
+def test_nearest_units_are_exact():
+    r = np.random.default_rng(1)
+    x, w = r.normal(1000, 1, (3000, 7)), r.normal(1000, 1, (50, 7))
+    w[20], w[7], x[:5] = w[3], w[5], w[[3, 20, 5, 7, 49]]  # equal units: the first counts
+    x[9, 2] = np.nan
+    d = np.sqrt(np.stack([((x - v) ** 2).sum(axis=1) for v in w], axis=1))
+    best, far = som._nearest()(x, w)
+    assert (best == d.argmin(axis=1)).all() and np.array_equal(far, d[np.arange(len(x)), best], equal_nan=True)
+    assert len(som._nearest()(x[:0], w)[0]) == 0
