@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import join_on
 from .quantiles import (
-    HOT_VALUES, exact_quantiles, few_group_quantiles, global_quantile, stored_counts, values_at_ranks)
+    HOT_VALUES, exact_quantiles, few_group_quantiles, global_quantile, quantiles_of_counts, stored_counts, values_at_ranks)
 from ..functions.sizing import LARGE_FILE_KB, access_band, combination
 from ..session import materialise
 
@@ -25,13 +25,20 @@ def label_ot(df: DataFrame, q: float = QUANTILE, size: str = "file_size_kb", thr
     """``label`` = 1 where the throughput reaches the q-quantile of its (size, access band) group.
 
     Groups with fewer than ``min_rows`` values use the quantile of all rows. Adds the band, the
-    combination text and the label; rows without throughput are the caller's to drop.
+    combination text and the label; rows without throughput are the caller's to drop. Groups by other ``keys`` may be very many, such as
+    files: their values are then counted once, instead of a histogram for each.
     """
-    banded = with_band(df)
+    banded, many = with_band(df), keys is not None
     keys = list(keys or (size, "access_count_label"))
     narrow = banded.select(*keys, F.col(throughput).cast("double").alias(throughput))
-    limits = few_group_quantiles(narrow, keys, throughput, {"_limit": q}, "_rows", hot_values,
-                                 overall={"_overall": q} if min_rows > 1 else None)
+    if many:
+        counts = stored_counts(narrow, keys, throughput)
+        limits = quantiles_of_counts(counts, keys, {"_limit": q}, "_rows", hot_values)
+        if min_rows > 1:
+            limits = limits.withColumn("_overall", quantiles_of_counts(counts, [], {"_overall": q}, hot_values=hot_values).scalar())
+    else:
+        limits = few_group_quantiles(narrow, keys, throughput, {"_limit": q}, "_rows", hot_values,
+                                     overall={"_overall": q} if min_rows > 1 else None)
     if min_rows > 1:
         limits = limits.withColumn("_limit", F.when(F.col("_rows") >= min_rows, F.col("_limit")).otherwise(F.col("_overall")))
     # Stored, so that the join knows how small the thresholds are, and whatever reads the labels does not find them anew.

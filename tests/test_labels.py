@@ -47,3 +47,22 @@ def test_balance_takes_a_quarter_in_order(spark, start, value):
 def test_balance_leaves_mixed_labels_alone(spark):
     df = spark.createDataFrame([(1, 1.0, 0), (2, 2.0, 1)], "id bigint, t double, y int")
     assert labels.balance_labels(df, "y", "t", "id") is df
+
+
+def test_many_groups_are_counted_once(spark, monkeypatch):
+    """Groups by other keys may be as many as files: no histogram for each of them, and the same labels as with one."""
+    rows = [(k % 40, 64, k % 25, float(k * 37 % 101) if k % 9 else None) for k in range(400)]
+    df = spark.createDataFrame([(f"f{a}" if a else None, b, c, d) for a, b, c, d in rows],
+                               "file_path string, file_size_kb long, access_count long, throughput_kbps double")
+    keys = ("file_path", "access_count_label")
+    made = labels.few_group_quantiles
+    monkeypatch.setattr(labels, "few_group_quantiles", None)
+    for min_rows in (1, 4):
+        got = labels.label_ot(df, min_rows=min_rows, keys=keys)
+        limits = made(labels.with_band(df), keys, "throughput_kbps", {"_limit": 0.65}, "_rows", overall={"_all": 0.65}).withColumnsRenamed(
+            {k: f"_{k}" for k in keys})
+        limit = F.when(F.col("_rows") >= min_rows, F.col("_limit")).otherwise(F.col("_all"))
+        match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        wanted = got.join(limits, match, "left").where(
+            F.col("OT") != F.when(F.round("throughput_kbps", 6) >= F.round(limit, 6), 1).otherwise(0))
+        assert got.count() == 400 and wanted.count() == 0 and 0 < got.agg(F.sum("OT")).first()[0] < 400
