@@ -61,10 +61,18 @@ def best_candidate_inline(df: DataFrame, candidates: Sequence[float], score: Cal
 
 
 def argmax_candidate(scored: DataFrame, keys: Sequence[str], chunk: str = "chunk", p: str = "p",
-                     position: str = "position") -> DataFrame:
-    """Per row key: the candidate with the highest p, the first in list order among equals."""
-    best = F.max(F.struct(F.col(p).alias("p"), (-F.col(position)).alias("n"), F.col(chunk).alias("chunk")))
-    return scored.groupBy(*keys).agg(best.alias("_b")).select(
+                     position: str = "position", listed: str | None = None) -> DataFrame:
+    """Per row key: the candidate with the highest p, the first in list order among equals.
+
+    The scored candidates are rows or, with ``listed``, an array of structs of these fields in each row. Lists are folded within the row,
+    so that what is grouped does not grow with the candidates.
+    """
+    def pair(c):
+        return F.struct(c(p).alias("p"), (-c(position)).alias("n"), c(chunk).alias("chunk"))
+
+    own = pair(F.col) if listed is None else F.array_max(F.transform(listed, lambda s: pair(s.getField)))
+    # a key without candidates has no row
+    return scored.select(*keys, own.alias("_s")).groupBy(*keys).agg(F.max("_s").alias("_b")).where("_b IS NOT NULL").select(
         *keys, F.col("_b.chunk").alias("best_chunk"), F.col("_b.p").alias("best_p"))
 
 

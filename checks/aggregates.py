@@ -411,9 +411,9 @@ def _(t: Tables):
     # Scores rounded to one digit tie often; the list runs from the largest chunk down.
     rows = t.bench_log.select("file_path", "file_size_kb", "access_count").distinct()
     chunks = F.array(*[F.lit(c) for c in reversed(candidates.candidate_list(t.bench_log))])
-    wide = rows.select("*", F.posexplode(chunks).alias("position", "chunk"))
-    scored = wide.withColumn("p", F.round(score(F.col("chunk")), 1))
-    return rounded(candidates.argmax_candidate(scored, ["file_path", "file_size_kb", "access_count"]))
+    scored = rows.withColumn("scored", F.transform(chunks, lambda c, i: F.struct(
+        F.round(score(c), 1).alias("p"), i.alias("position"), c.alias("chunk"))))
+    return rounded(candidates.argmax_candidate(scored, ["file_path", "file_size_kb", "access_count"], listed="scored"))
 
 
 @query("win_top_confidence", """

@@ -244,3 +244,15 @@ def test_plan_drops_what_is_right_unless_forced(spark):
     predict = recommend.closed_form(lambda c: 1 / (1 + F.abs(c - 512)), [64.0, 512.0, 8192.0])
     assert [tuple(r)[:3] for r in recommend.change_plan(meta, access, rates, predict).collect()] == [("b", 64, 512)]
     assert recommend.change_plan(meta, access, rates, predict, force=True).count() == 2
+
+
+def test_listed_candidates_are_not_expanded(spark):
+    rows = [("a", 0, 8, 0.5), ("a", 1, 4, 0.5), ("a", 2, 2, 0.1), ("b", 0, 8, None), ("b", 1, 4, 0.2), (None, 0, 8, float("nan")), (None, 1, 4, 9.0)]
+    wide = spark.createDataFrame(rows, "k string, position int, chunk int, p double")
+    lists = wide.groupBy("k").agg(F.collect_list(F.struct("p", "position", "chunk")).alias("scored"))
+    lists = lists.union(spark.createDataFrame([("b", [(0.9, 5, 1)]), ("c", [])], lists.schema))  # a key in two rows, and one without candidates
+    found = candidates.argmax_candidate(lists, ["k"], listed="scored")
+    got = {r.k: (r.best_chunk, r.best_p) for r in found.collect()}
+    assert got["a"] == (8, 0.5) and got["b"] == (1, 0.9) and "c" not in got and got[None][0] == 8
+    assert got["a"] == {r.k: (r.best_chunk, r.best_p) for r in candidates.argmax_candidate(wide, ["k"]).collect()}["a"]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
