@@ -7,6 +7,7 @@ model's features and the outcome pass between the engine and the worker.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import Scratch
 
-#: Rows times candidates whose paths through the trees are followed at once.
-BLOCK = 4096
+#: Rows times candidates whose leaves are looked up at once.
+BLOCK = 1024
+#: Leaves that fit into the bits of one number; trees with more are walked.
+MOST_LEAVES = 64
 
 
 @dataclass
@@ -35,14 +38,93 @@ class Trees:
     roots: np.ndarray
     depth: int
 
+    def __post_init__(self):
+        self.leaves = Leaves.of(self)
+
     def sums(self, x: np.ndarray) -> np.ndarray:
         """For each row of features, the sum over the trees of the values of the leaves it falls in."""
+        if self.leaves is not None:
+            return self.leaves.sums(self.leaves.reached(x))
         at = np.broadcast_to(self.roots, (len(x), len(self.roots)))
         row = np.arange(len(x))[:, None]
         for _ in range(self.depth):
             at = np.where(x[row, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
         return self.value[at].sum(axis=1)
 
+    def sums_with(self, x: np.ndarray, at: int, values: np.ndarray) -> Iterator[np.ndarray]:
+        """``sums`` for each of the values that the feature ``at`` may take instead; what the other features say is looked up once."""
+        if self.leaves is None:
+            for v in values:
+                x = x.copy()
+                x[:, at] = v
+                yield self.sums(x)
+            return
+        others = self.leaves.reached(x, at)
+        for v in values:
+            yield self.leaves.sums(others & self.leaves.allowed(at, np.array([v])))
+
+
+@dataclass
+class Leaves:
+    """The leaves of each tree as bits, from left to right: the place of a feature's value among its thresholds tells which leaves it leaves
+    open. What all features leave open begins with the leaf that the row falls in."""
+
+    thresholds: list[np.ndarray]
+    open: list[np.ndarray]
+    value: np.ndarray
+
+    @staticmethod
+    def of(trees: Trees) -> Leaves | None:
+        inner = trees.left != np.arange(len(trees.left))
+        below: dict[int, int] = {}  # bits of the leaves under each node
+        values, splits = np.zeros((len(trees.roots), MOST_LEAVES, trees.value.shape[1])), []
+        for t, root in enumerate(trees.roots):
+            stack, seen = [int(root)], 0
+            while stack:
+                k = stack[-1]
+                sides = (int(trees.left[k]), int(trees.right[k])) if inner[k] else ()
+                open_sides = [c for c in sides if c not in below]
+                if open_sides:
+                    stack.append(open_sides[0])
+                    continue
+                stack.pop()
+                if not sides:
+                    if seen == MOST_LEAVES:
+                        return None
+                    values[t, seen], below[k], seen = trees.value[k], 1 << seen, seen + 1
+                else:
+                    below[k] = below[sides[0]] | below[sides[1]]
+                    splits.append((int(trees.feature[k]), float(trees.threshold[k]), t, below[sides[0]]))
+        every = (1 << MOST_LEAVES) - 1
+        width = max((f for f, *_ in splits), default=-1) + 1
+        thresholds = [np.array(sorted({v for g, v, *_ in splits if g == f})) for f in range(width)]
+        allowed = [np.full((len(v) + 1, len(trees.roots)), every, np.uint64) for v in thresholds]
+        for f, v, t, left in splits:  # a value beyond the threshold closes the left side
+            allowed[f][np.searchsorted(thresholds[f], v) + 1:, t] &= np.uint64(every ^ left)
+        return Leaves(thresholds, allowed, values)
+
+    def allowed(self, feature: int, x: np.ndarray) -> np.ndarray:
+        """For each value and tree, the leaves that the feature leaves open."""
+        if feature >= len(self.open):
+            return np.full((len(x), len(self.value)), ~np.uint64(0))
+        return self.open[feature][np.searchsorted(self.thresholds[feature], x)]
+
+    def reached(self, x: np.ndarray, but: int = -1) -> np.ndarray:
+        """For each row and tree, the leaves that all features, but one if named, leave open."""
+        out = np.full((len(x), len(self.value)), ~np.uint64(0))
+        for f, v in enumerate(self.thresholds):
+            if f != but and len(v):
+                out &= self.allowed(f, x[:, f])
+        return out
+
+    def sums(self, reached: np.ndarray) -> np.ndarray:
+        """The sum over the trees of the values of the first leaves left open."""
+        first = reached & (~reached + np.uint64(1))
+        leaf = (first.astype(np.float64).view(np.int64) >> 52) - 1023  # the exponent of a power of two
+        leaf += np.arange(len(self.value)) * MOST_LEAVES
+        flat = self.value.reshape(-1, self.value.shape[2])
+        return np.stack([flat[:, c].take(leaf).sum(axis=1) for c in range(flat.shape[1])], axis=1)
+
 
 def trees_of(model) -> Trees:
     """The nodes of a fitted forest (values: share of each class in the leaf) or of boosted trees (values: weighted predictions).
@@ -102,14 +184,30 @@ class Scorer:
         out = np.empty(len(x))
         for s in range(0, len(x), BLOCK):
             part = x[s:s + BLOCK]
-            p = 1.0 / (1.0 + np.exp(-2.0 * self.boosted.sums(part)[:, 0]))
-            if self.forest is not None:
-                votes = self.forest.sums(part)
-                stacked = np.stack([votes[:, 1] / votes.sum(axis=1), p], axis=1)
-                p = 1.0 / (1.0 + np.exp(-(stacked @ self.weights + self.intercept)))
-            out[s:s + BLOCK] = p
+            out[s:s + BLOCK] = self._stacked(self.boosted.sums(part), self.forest.sums(part) if self.forest is not None else None)
         return out
 
+    def probabilities(self, x: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+        """For each row the probabilities with each of the values in the feature ``at`` (none: -1)."""
+        if at < 0:
+            return np.repeat(self.probability(x)[:, None], len(values), axis=1)
+        x = np.where(np.isnan(x), self.medians, x)
+        values = np.where(np.isnan(values), self.medians[at], values)
+        out = np.empty((len(x), len(values)))
+        for s in range(0, len(x), BLOCK):
+            part = x[s:s + BLOCK]
+            votes = self.forest.sums_with(part, at, values) if self.forest is not None else itertools.repeat(None)
+            for k, (b, v) in enumerate(zip(self.boosted.sums_with(part, at, values), votes)):
+                out[s:s + BLOCK, k] = self._stacked(b, v)
+        return out
+
+    def _stacked(self, boosted: np.ndarray, votes: np.ndarray | None) -> np.ndarray:
+        p = 1.0 / (1.0 + np.exp(-2.0 * boosted[:, 0]))
+        if votes is None:
+            return p
+        stacked = np.stack([votes[:, 1] / votes.sum(axis=1), p], axis=1)
+        return 1.0 / (1.0 + np.exp(-(stacked @ self.weights + self.intercept)))
+
 
 def scorer_of(model: PipelineModel) -> Scorer:
     """A fitted stack (forest, boosted trees, logistic model) or boosted trees alone, as ``models`` fits them."""
@@ -171,8 +269,7 @@ def with_best_candidate(df: DataFrame, model: PipelineModel, candidates: Sequenc
             if not n or not k:
                 yield pd.DataFrame({"optimal": np.full(n, np.nan), "confidence": np.full(n, np.nan)})
                 continue
-            x = _expanded(facts[own.features], at, np.full(n, k), np.tile(chunks, n))
-            p = own.probability(x).reshape(n, k)
+            p = own.probabilities(facts[own.features].to_numpy(np.float64, na_value=np.nan), at, chunks)
             best = p.max(axis=1)
             last = k - 1 - np.argmax((best[:, None] - p < tie)[:, ::-1], axis=1)
             yield pd.DataFrame({"optimal": chunks[last], "confidence": best})

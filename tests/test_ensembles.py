@@ -113,3 +113,28 @@ def test_one_described_run(spark):
     run = spark.createDataFrame([("fileA", 204_800, 1733, 20, 57.7, 70.3, 130, 124, 12, 8)], f"file_path string, {kinds}")
     best = models.predict_rf(run, model, [64.0, 128.0, 256.0, 512.0, 1024.0, 2048.0]).first()
     assert (best.file_path, best.current_chunk_kb) == ("fileA", 1733) and best.optimal_chunk_kb >= 512 and best.confidence > 0.8
+
+
+def walked(trees, x):
+    """Leaf values summed by following every path, one step at a time."""
+    out = np.zeros((len(x), trees.value.shape[1]))
+    for r, row in enumerate(x):
+        for at in trees.roots:
+            while trees.left[at] != at:
+                at = trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+            out[r] += trees.value[at]
+    return out
+
+
+def test_leaves_by_bits_are_those_of_the_paths(log, stack, boosted):
+    x = log.select(*USED).toPandas()[USED].to_numpy(np.float64, na_value=np.nan)[:150]
+    for trees in (scorer_of(stack).forest, scorer_of(stack).boosted, scorer_of(boosted).boosted):
+        edges = np.where(trees.left != np.arange(len(trees.left)), trees.threshold, 0.0)
+        y = np.vstack([x, np.repeat(edges[:60, None], len(USED), axis=1), np.full((1, len(USED)), np.nan), np.full((1, len(USED)), np.inf)])
+        assert trees.leaves is not None and np.allclose(trees.sums(y), walked(trees, y), rtol=0, atol=1e-11)
+        for v, got in zip((64.0, 300.0, 1e9), trees.sums_with(y, 1, np.array([64.0, 300.0, 1e9]))):
+            z = y.copy()
+            z[:, 1] = v
+            assert (got == trees.sums(z)).all()
+        trees.leaves = None  # as trees of more leaves are
+        assert np.allclose(trees.sums(y), walked(trees, y), rtol=0, atol=1e-11)
