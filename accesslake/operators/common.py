@@ -21,14 +21,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, match, how).drop(*[f"__{k}" for k in keys])
 
 
-def spread(df: DataFrame, rows: int | None = None, most: int = 400_000) -> DataFrame:
-    """``df`` dealt out evenly for work that costs much more than a shuffle: twice as many parts as the cluster has cores or, told the
+def spread(df: DataFrame, rows: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """``df`` dealt out evenly for work that costs much more than a shuffle: as many parts as the cluster has cores or, told the
     number of ``rows``, as many as hold ``most`` each.
 
     A file is read by as many tasks as it has row groups, however many cores there are and however long each row takes.
     """
-    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(parts, math.ceil((rows or 0) / most)))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil((rows or 0) / most)))
 
 
 def melt(df: DataFrame, columns: Sequence[str], name: str = "column_name", value: str = "value",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
 from .candidates import TIE, candidate_list
-from .common import with_row
+from .common import spread, with_row
 from .ensembles import with_best_candidate, with_candidate_scores
 from .evaluate import binary_metrics, cv_summary
 from .labels import with_band
@@ -87,12 +87,13 @@ def fit_rf_stack(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, label:
                  rounds: int = 50, depth: int = 5, seed: int = 42) -> PipelineModel:
     """Balanced forest and boosted trees, and a balanced logistic model over their probabilities.
 
-    The labelled rows are cached once for the three fits.
+    The labelled rows are dealt out evenly and cached once for the three fits, and what the trees say of them for the last.
     """
     prepare = feature_stages(df, features)
     typed = df.withColumns({c: F.col(c).cast("double") for c in [*features, label]})
     data = PipelineModel(prepare).transform(with_class_weight(typed, label))
-    data = data.select("features", label, "weight").persist()
+    data = spread(data.select("features", label, "weight"), df.count()).persist()
+    stacked = None
     try:
         forest = RandomForestClassifier(
             labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
@@ -105,11 +106,13 @@ def fit_rf_stack(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, label:
                 VectorSlicer(inputCol="rf_probability", outputCol="rf_p", indices=[1]),
                 VectorSlicer(inputCol="gb_probability", outputCol="gb_p", indices=[1]),
                 VectorAssembler(inputCols=["rf_p", "gb_p"], outputCol="stack")]
-        stacked = PipelineModel(base).transform(data)
+        stacked = PipelineModel(base).transform(data).select("stack", label, "weight").persist()
         meta = LogisticRegression(featuresCol="stack", labelCol=label, weightCol="weight",
                                   probabilityCol="probability").fit(stacked)
         meta = without_summary(meta, df.sparkSession)
     finally:
+        if stacked is not None:
+            stacked.unpersist()
         data.unpersist()
     return PipelineModel([*prepare, *base, meta])
 
@@ -139,8 +142,8 @@ def fit_gbt_cv(df: DataFrame, key: Sequence[str], features: Sequence[str] = MODE
     spark = df.sparkSession
     prepare = feature_stages(df, features)
     marked = df.withColumn("_fold", hash_bucket(key, folds, seed)).withColumns({c: F.col(c).cast("double") for c in features})
-    data = PipelineModel(prepare).transform(marked).select(
-        "features", F.col(label).cast("double").alias(label), "_fold").persist()
+    data = PipelineModel(prepare).transform(marked).select("features", F.col(label).cast("double").alias(label), "_fold")
+    data = spread(data, df.count()).persist()
     rows, models = [], []
     try:
         for fold in range(folds):

@@ -138,3 +138,11 @@ def test_leaves_by_bits_are_those_of_the_paths(log, stack, boosted):
             assert (got == trees.sums(z)).all()
         trees.leaves = None  # as trees of more leaves are
         assert np.allclose(trees.sums(y), walked(trees, y), rtol=0, atol=1e-11)
+
+
+def test_few_tasks_are_dealt_out_before_trees_are_fitted(spark, log, monkeypatch):
+    parts = []
+    monkeypatch.setattr(models, "spread", lambda df, rows=None, real=models.spread: parts.append(real(df, rows)) or parts[-1])
+    models.fit_rf_stack(log.coalesce(1), USED, trees=2, rounds=2, depth=2)
+    models.fit_gbt_cv(log.coalesce(1), ["file_path"], USED, "OT", folds=2, rounds=2, depth=2)
+    assert [p.rdd.getNumPartitions() for p in parts] == [spark.sparkContext.defaultParallelism] * 2
