@@ -8,9 +8,11 @@ merges, once for each pair of tokens.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,8 +23,11 @@ from tokenizers import Tokenizer
 
 from .common import give_back
 
-#: Words and white-space separated pieces remembered within a task; emptied when full and at its end, results do not depend on it.
-CACHED_WORDS = 250_000
+#: Words remembered within a task, as well as steps of the trie's walk and pairs of tokens; emptied when full and at its end,
+#: results do not depend on it.
+CACHED_WORDS = 400_000
+#: Longer words are not worth remembering.
+LONG_WORD = 200
 #: Texts are encoded in chunks of about so many characters, so that the memory of a batch does not grow with its texts.
 CHUNK_CHARS = 1_000_000
 #: Characters that every Unicode version normalises, lower-cases and classes alike; texts of these alone are split here.
@@ -56,32 +61,26 @@ class WordBpe:
             codes = [byte_of[c] for c in (token[: -len(end)] if closed else token)]
             return "".join(map(chr, codes[:-1])) + chr(codes[-1] + self.shift * closed)
 
-        self.ids = {spelled(t): i for t, i in model["vocab"].items() if i not in self.special.values()}
+        spelling = {t: spelled(t) for t, i in model["vocab"].items() if i not in self.special.values()}
+        self.ids = {spelling[t]: i for t, i in model["vocab"].items() if t in spelling}
         self.size = {i: len(t) for t, i in self.ids.items()}
-        self.join: dict[tuple[int, int], int] = {}
+        self.join: dict[int, int] = {}
         made: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
-            left, right = (spelled(x) for x in (merge if isinstance(merge, list) else merge.split(" ", 1)))
-            self.join[self.ids[left], self.ids[right]] = rank
+            left, right = (spelling[x] for x in (merge if isinstance(merge, list) else merge.split(" ", 1)))
+            self.join[self.ids[left] << 20 | self.ids[right]] = rank
             made.setdefault(self.ids[left + right], (rank, self.ids[left], self.ids[right]))
-        # the tokens that stand at the right (left) end of a token while it is being merged, with the rank that ends each
+        # the rank that makes a token, and the two that it is made of
         self.made = made
         self.pairs: dict[int, bool] = {}
-        # which sizes of tokens end in three given symbols; shorter tokens are tried after them
-        sizes: dict[str, set[int]] = {}
+        # what a path can still become: its longest end that begins a token, by number; and the tokens that end there, longest first
+        self.starts = {"": 0}
         for token in self.ids:
-            if len(token) > 2:
-                sizes.setdefault(token[-3:], set()).add(len(token))
-        self.sizes = {tail: (*sorted(n, reverse=True), 2, 1) for tail, n in sizes.items()}
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        made = self.made
-        ends, until = [], len(made) + 1
-        while True:
-            ends.append((token, until))
-            if token not in made:
-                return ends
-            until, token = made[token][0], made[token][side]
+            for n in range(1, len(token) + 1):
+                self.starts.setdefault(token[:n], len(self.starts))
+        self.start_names = list(self.starts)
+        self.steps: dict[int, int] = {}
+        self.ends: dict[int, tuple[tuple[int, int, int], ...]] = {0: ()}
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when one stands after the other.
@@ -89,75 +88,111 @@ class WordBpe:
         They do not if, at some rank, the tokens that then meet at the border merge before either is merged into its own token.
         Of equal merges the leftmost comes first, so the left token's own merge wins a tie and the right one's loses it.
         """
-        right_ends = self._spine(right, 1)
-        return not any(
-            (rank := self.join.get((a, b))) is not None and rank < until_a and rank <= until_b
-            for a, until_a in self._spine(left, 2) for b, until_b in right_ends)
-
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Token ids of distinct words (non-empty text without white space).
+        join, made = self.join, self.made
+        until_left = len(made) + 1
+        while True:
+            inner, until_inner = right, len(made) + 1
+            while True:
+                if (rank := join.get(left << 20 | inner)) is not None and rank < until_left and rank <= until_inner:
+                    return False
+                if inner not in made:
+                    break
+                until_inner, inner, _ = made[inner]
+            if left not in made:
+                return True
+            until_left, _, left = made[left]
+
+    def _step(self, state: int, code: int) -> int:
+        """The state after one more symbol, kept with the tokens that end there: minus their sizes, as left halves of pairs, ids."""
+        path = self.start_names[state] + chr(code)
+        while path not in self.starts:
+            path = path[1:]
+        after = self.steps[state << 9 | code] = self.starts[path]
+        if after not in self.ends:
+            tokens = [self.ids[path[k:]] for k in range(len(path)) if path[k:] in self.ids]
+            self.ends[after] = tuple([(-self.size[t], t << 20, t) for t in tokens])
+        return after
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Token ids of distinct words (non-empty text without white space) as little-endian unsigned 32-bit integers.
 
         Sorted words are a trie in depth-first order: each shares with the one before it the path from the root down to where
-        they part, and the last tokens of the prefixes on that path are kept.
+        they part, and the last tokens of the prefixes on that path are kept. The last symbol of a word is always a leaf.
         """
-        ids_of, sizes, pairs, size_of, shift = self.ids, self.sizes, self.pairs, self.size, self.shift
-        spelled = []
-        for word in words:
-            data = word.encode()
-            spelled.append((data[:-1].decode("latin-1") + chr(data[-1] + shift), word))
-        spelled.sort()
-        out: dict[str, list[int]] = {}
-        last: list[int] = []
-        before = ""
-        for path, word in spelled:
-            depth, most = 0, min(len(path), len(before))
-            while depth < most and path[depth] == before[depth]:
+        steps, step, ends, pairs, size_of, shift = self.steps, self._step, self.ends, self.pairs, self.size, self.shift
+        # before the first symbol stands a token that is none; any token may follow it
+        nothing = 0xFFFFF
+        out: dict[str, bytes] = {}
+        last, states = [nothing], [0]
+        before = b""
+        for word in sorted(words):
+            path = word.encode()
+            most = len(path) - 1
+            depth, common = 0, min(most, len(states) - 1)
+            while depth < common and path[depth] == before[depth]:
                 depth += 1
-            del last[depth:]
-            for n in range(depth + 1, len(path) + 1):
-                for size in sizes.get(path[n - 3:n], (2, 1)) if n > 2 else (2, 1):
-                    if size <= n and (token := ids_of.get(path[n - size:n])) is not None:
-                        if size == n:
-                            break
-                        pair = last[n - size - 1] << 20 | token
-                        if (good := pairs.get(pair)) is None:
-                            good = pairs[pair] = self.follows(last[n - size - 1], token)
-                        if good:
-                            break
+            del last[depth + 1:], states[depth + 1:]
+            state = states[depth]
+            for code in (*path[depth:most], path[most] + shift):
+                if (after := steps.get(state << 9 | code)) is None:
+                    after = step(state, code)
+                state = after
+                for back, right, token in ends[state]:
+                    left = last[back]
+                    if (good := pairs.get(right | left)) is None:
+                        good = pairs[right | left] = left == nothing or self.follows(left, token)
+                    if good:
+                        break
                 else:
-                    raise KeyError(f"{path[n - 1]!r} is not in the vocabulary")
+                    raise KeyError(f"{chr(code)!r} is not in the vocabulary")
                 last.append(token)
+                states.append(state)
             before = path
-            ids, n = [], len(path)
+            ids, n = [], most + 1
             while n:
-                token = last[n - 1]
+                token = last[n]
                 ids.append(token)
                 n -= size_of[token]
             ids.reverse()
-            out[word] = ids
+            out[word] = struct.pack(f"<{len(ids)}I", *ids)
+            last.pop()
+            states.pop()
         return out
 
+    def forget(self) -> None:
+        """Empties what has grown large."""
+        for grown in (self.pairs, self.steps):
+            if len(grown) > CACHED_WORDS:
+                grown.clear()
+
 
 class TextCodec:
     """Splits whole texts into words as the tokenizer file asks, and turns words into ids and ids into text."""
 
     def __init__(self, config: str):
         spec = json.loads(config)
-        self.library = Tokenizer.from_str(config)
+        self.config = config
         self.bpe = WordBpe(config)
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # the same classes in the standard module's words: letters, digits, signs
-        plain = split.replace(r"[\p{L}]", r"[^\W\d_]").replace(r"[\p{N}]", r"\d").replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)")
-        self.plain_words = re.compile(plain).findall
+        # the same classes, lower-cased, in the standard module's words: letters, digits, signs
+        plain = sorted(set("".join(c for c in map(chr, range(0x3000)) if _PLAIN.fullmatch(c)).lower()))
+        letters, digits = (re.escape("".join(filter(kind, plain))) for kind in (str.isalpha, str.isdigit))
+        signs = re.escape("".join(c for c in plain if not (c.isalnum() or c.isspace())))
+        self.plain_words = re.compile(
+            split.replace(r"[^\s\p{L}\p{N}]", f"[{signs}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{digits}]")).findall
         self.unbyte = {c: b for b, c in enumerate(byte_symbols())}
         self.special = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")") if self.bpe.special else None
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.name_of = np.array([self.bpe.names.get(i) for i in range(max(self.bpe.names) + 1)], dtype=object)
+        self.words: dict[str, bytes] = {}
         self.forget()
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The library's own steps before its model; many tasks never meet a text that needs them."""
+        return Tokenizer.from_str(self.config)
+
     def forget(self) -> None:
-        self.words = {t: (i.to_bytes(4, "little"), t) for t, i in self.bpe.special.items()}
-        self.pieces = {}
+        self.words = {t: i.to_bytes(4, "little") for t, i in self.bpe.special.items()}
 
     def split(self, text: str) -> list[str]:
         """The words of a text; the strings of special tokens are words of their own."""
@@ -167,45 +202,29 @@ class TextCodec:
         return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.split_plain(p))]
 
     def split_plain(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
-            return self.plain_words(text.lower())
+        if text.isascii() and text.isprintable() or _PLAIN.fullmatch(text):
+            words = self.plain_words
+            return [w for piece in text.lower().split() for w in ((piece,) if piece.isalpha() else words(piece))]
         # other characters: the library's own normal form and split
         parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.unbyte[c] for c in p).decode() for p, _ in parts]
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces that are encoded one by one: what white space separates, or the whole text where its characters are not plain."""
-        return text.split() if text.isascii() and text.isprintable() or _PLAIN.fullmatch(text) else [text]
-
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """The ids of each text as little-endian unsigned 32-bit integers, and the text that they decode to."""
-        cuts = [self.cut(t) for t in texts]
-        pieces = self.pieces
-        new = {p for c in cuts for p in c if p not in pieces}
-        if new:
-            if len(pieces) + len(new) > CACHED_WORDS:
-                self.forget()
-                pieces = self.pieces
-                new = {p for c in cuts for p in c}
-            self._learn(new)
-        out = [(b"".join([i for i, _ in found]), " ".join([t for _, t in found if t]))
-               for found in ([pieces[p] for p in c] for c in cuts)]
-        for c in cuts:  # whole texts are not worth remembering
-            if len(c) == 1 and len(c[0]) > 200:
-                pieces.pop(c[0], None)
-        return out
-
-    def _learn(self, new: Iterable[str]) -> None:
-        new = list(new)
-        split = [self.split(p) for p in new]
-        if len(self.bpe.pairs) > CACHED_WORDS:
-            self.bpe.pairs.clear()
+        split = [self.split(t) for t in texts]
         known = self.words
-        for word, ids in self.bpe.encode_words({w for ws in split for w in ws if w not in known}).items():
-            known[word] = b"".join([i.to_bytes(4, "little") for i in ids]), self.decode(ids)
-        for piece, ws in zip(new, split):
-            found = [known[w] for w in ws]
-            self.pieces[piece] = found[0] if len(ws) == 1 else (b"".join([i for i, _ in found]), " ".join([t for _, t in found]))
+        new = {w for words in split for w in words if w not in known}
+        if len(known) + len(new) > CACHED_WORDS:
+            self.forget()
+            known = self.words
+            new = {w for words in split for w in words if w not in known}
+        self.bpe.forget()
+        known.update(self.bpe.encode_words(new))
+        coded = [b"".join([known[w] for w in words]) for words in split]
+        for word in new:
+            if len(word) > LONG_WORD:
+                del known[word]
+        return [(ids, " ".join(self.name_of[np.frombuffer(ids, "<u4")].tolist())) for ids in coded]
 
     def decode(self, ids: Iterable[int]) -> str:
         """What the ids stand for: their strings with spaces between, special ones included; unknown ids are left out."""

@@ -43,6 +43,30 @@ def test_bpe_forgets_and_stays_right(monkeypatch):
         e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_encodes_a_word_once_whatever_stands_around_it(monkeypatch):
+    from accesslake.llm import bpe
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 1000)
+    c = TextCodec(open(VOCAB).read())
+    encode, seen = c.bpe.encode_words, []
+    monkeypatch.setattr(c.bpe, "encode_words", lambda words: encode([seen.append(w) or w for w in words]))
+    words = [a + b + d for a in ("er", "tion", "ou", "wh") for b in ("an", "in", "le", "re", "st") for d in ("ble", "ing", "ça", "é", "th")]
+    texts = [" ".join(f % w for w in words) for f in ("%s", "%s,", "%s.", "(%s)", "%s;", "%s!?", "'%s'", "%s:", "%s...", "*%s*", "-%s", "%s#")]
+    texts += [t.upper() for t in texts]
+    for wanted, text in zip(LIBRARY.encode_batch(texts, add_special_tokens=False), texts):
+        assert np.frombuffer(c.encode_all([text])[0][0], "<u4").tolist() == wanted.ids
+    assert len(seen) == len(set(seen)) and set(words) <= set(seen)
+
+
+def test_bpe_splits_plain_characters_as_the_library():
+    from accesslake.llm import bpe
+    plain = [x for x in map(chr, range(0x3000)) if bpe._PLAIN.fullmatch(x)]
+    texts = [f"{x} {x}{x} a{x}b {x}'s 'LL{x}9{x}{y}_{y.upper()}{x}<|ENDOFTEXT|>{x}" for x, y in zip(plain, plain[1:] + plain)]
+    texts += ["".join(plain), " ".join(plain), "I'm we'Re 'd'd ''ve !'s <|endoftext|>'t<|startoftext|>", "a" * 3000, "9" * 500, "?!" * 900]
+    for (ids, decoded), wanted in zip(CODEC.encode_all(texts), LIBRARY.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == wanted.ids
+        assert decoded == LIBRARY.decode(wanted.ids, skip_special_tokens=False)
+
+
 def components_of(links, nodes):
     root = {n: n for n in nodes}
 
