@@ -126,6 +126,16 @@ class Leaves:
         return np.stack([flat[:, c].take(leaf).sum(axis=1) for c in range(flat.shape[1])], axis=1)
 
 
+def leaf_sums(trees: Trees, x: np.ndarray) -> np.ndarray:
+    """``trees.sums`` of any number of rows, some at a time."""
+    return np.concatenate([trees.sums(x[s:s + BLOCK]) for s in range(0, max(1, len(x)), BLOCK)])
+
+
+def boosted_probability(sums: np.ndarray) -> np.ndarray:
+    """The probability of class 1 for sums of boosted trees."""
+    return 1.0 / (1.0 + np.exp(-2.0 * sums[:, 0]))
+
+
 def trees_of(model) -> Trees:
     """The nodes of a fitted forest (values: share of each class in the leaf) or of boosted trees (values: weighted predictions).
 
@@ -202,7 +212,7 @@ class Scorer:
         return out
 
     def _stacked(self, boosted: np.ndarray, votes: np.ndarray | None) -> np.ndarray:
-        p = 1.0 / (1.0 + np.exp(-2.0 * boosted[:, 0]))
+        p = boosted_probability(boosted)
         if votes is None:
             return p
         stacked = np.stack([votes[:, 1] / votes.sum(axis=1), p], axis=1)

@@ -18,10 +18,11 @@ def confusion(pred: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("row_count")))
 
 
-def _counted(pred: DataFrame) -> DataFrame:
-    """(label, p, n): the predictions, evaluated and stored once, as counts of equal ones."""
-    scored = pred.select(F.col("label").cast("double").alias("label"), F.col("p").cast("double").alias("p"))
-    return materialise(scored.groupBy("label", "p").agg(F.count(F.lit(1)).cast("double").alias("n")), "scores")
+def _counted(pred: DataFrame, rows: str | None = None) -> DataFrame:
+    """(label, p, n): the predictions, evaluated and stored once, as counts of equal ones; ``rows`` names how many rows one stands for."""
+    scored = pred.select(F.col("label").cast("double").alias("label"), F.col("p").cast("double").alias("p"),
+                         (F.col(rows) if rows else F.lit(1)).cast("bigint").alias("n"))
+    return materialise(scored.groupBy("label", "p").agg(F.sum("n").cast("double").alias("n")), "scores")
 
 
 def roc_auc(pred: DataFrame) -> float:
@@ -33,17 +34,18 @@ def _auc(counted: DataFrame) -> float:
     return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label", weightCol="n", numBins=0).evaluate(counted)
 
 
-def binary_metrics(pred: DataFrame) -> DataFrame:
-    """One row: rows, logloss, accuracy, precision, recall, f1, auc. The predictions are evaluated once, when this is called."""
-    pred = _counted(pred)
+def binary_metrics(pred: DataFrame, rows: str | None = None) -> DataFrame:
+    """One row: rows, logloss, accuracy, precision, recall, f1, auc. The predictions are evaluated once, when this is called; ``rows``
+    names the column, if there is one, of how many rows each stands for."""
+    pred = _counted(pred, rows)
     label, hit = F.col("label"), F.col("p") > 0.5
     p = F.least(F.greatest(F.col("p"), F.lit(SMALLEST_P)), F.lit(1 - SMALLEST_P))
     loss = -(label * F.ln(p) + (1 - label) * F.ln(1 - p))
-    rows = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0)).cast("bigint")
+    of_rows = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0)).cast("bigint")
     counted = pred.agg(
         F.sum("n").cast("bigint").alias("n"), (F.sum(loss * F.col("n")) / F.sum("n")).alias("logloss"),
-        rows(hit & (label == 1)).alias("tp"), rows(hit & (label == 0)).alias("fp"),
-        rows(~hit & (label == 1)).alias("fn"), rows(~hit & (label == 0)).alias("tn"))
+        of_rows(hit & (label == 1)).alias("tp"), of_rows(hit & (label == 0)).alias("fp"),
+        of_rows(~hit & (label == 1)).alias("fn"), of_rows(~hit & (label == 0)).alias("tn"))
 
     def ratio(top, bottom):
         return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))

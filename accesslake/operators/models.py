@@ -1,21 +1,23 @@
-"""Training, scoring and storing the two tree models with Spark ML."""
+"""Training, scoring and storing the two tree models as pipelines of Spark ML."""
 
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
 from .candidates import TIE, candidate_list
 from .common import spread, with_row
-from .ensembles import with_best_candidate, with_candidate_scores
+from .ensembles import boosted_probability, trees_of, with_best_candidate, with_candidate_scores
 from .evaluate import binary_metrics, cv_summary
+from .forests import fit_boosted, fit_forest, scored, to_blocks
 from .labels import with_band
 from ..functions.sizing import decide, tier_candidates
 from ..session import work_dir
@@ -67,6 +69,11 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> list:
             VectorAssembler(inputCols=filled, outputCol="features")]
 
 
+def medians_of(imputer: ImputerModel) -> list[float]:
+    known = imputer.surrogateDF.first().asDict()
+    return [known[c] for c in imputer.getInputCols()]
+
+
 def model_input(model: PipelineModel, df: DataFrame, as_is: Collection[str] = ()) -> DataFrame:
     """``df`` with the columns that the model reads, as numbers (but for those to be left as they are); the access band is derived where
     it is missing."""
@@ -87,33 +94,34 @@ def fit_rf_stack(df: DataFrame, features: Sequence[str] = MODEL_FEATURES, label:
                  rounds: int = 50, depth: int = 5, seed: int = 42) -> PipelineModel:
     """Balanced forest and boosted trees, and a balanced logistic model over their probabilities.
 
-    The labelled rows are dealt out evenly and cached once for the three fits, and what the trees say of them for the last.
+    The labelled rows are dealt out evenly in bins once for both fits, and what the trees say of them for the last.
     """
     prepare = feature_stages(df, features)
-    typed = df.withColumns({c: F.col(c).cast("double") for c in [*features, label]})
-    data = PipelineModel(prepare).transform(with_class_weight(typed, label))
-    data = spread(data.select("features", label, "weight"), df.count()).persist()
+    data = to_blocks(df, features, medians_of(prepare[0]), label, spread)
     stacked = None
     try:
-        forest = RandomForestClassifier(
+        weights = tuple(data.rows / (2 * n) if n else 0.0 for n in (data.rows - data.ones, data.ones))
+        forest = fit_forest(data, RandomForestClassifier(
             labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
-            predictionCol="rf_prediction", probabilityCol="rf_probability", rawPredictionCol="rf_raw").fit(data)
-        forest = without_summary(forest, df.sparkSession)
-        boosted = (GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed,
-                                 predictionCol="gb_prediction")
-                   .setRawPredictionCol("gb_raw").setProbabilityCol("gb_probability").fit(data))
+            predictionCol="rf_prediction", probabilityCol="rf_probability", rawPredictionCol="rf_raw"), weights, seed)
+        boosted, = fit_boosted(data, GBTClassifier(
+            labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed,
+            predictionCol="gb_prediction").setRawPredictionCol("gb_raw").setProbabilityCol("gb_probability"), seed=seed)
         base = [forest, boosted,
                 VectorSlicer(inputCol="rf_probability", outputCol="rf_p", indices=[1]),
                 VectorSlicer(inputCol="gb_probability", outputCol="gb_p", indices=[1]),
                 VectorAssembler(inputCols=["rf_p", "gb_p"], outputCol="stack")]
-        stacked = PipelineModel(base).transform(data).select("stack", label, "weight").persist()
+        said = scored(data, [trees_of(forest), trees_of(boosted)], lambda y, _, sums: (
+            y, np.array(weights)[y], sums[0][:, 1] / sums[0].sum(axis=1), boosted_probability(sums[1])),
+            "label double, weight double, rf_p double, gb_p double")
+        stacked = base[-1].transform(said).select("stack", F.col("label").alias(label), "weight").persist()
         meta = LogisticRegression(featuresCol="stack", labelCol=label, weightCol="weight",
                                   probabilityCol="probability").fit(stacked)
         meta = without_summary(meta, df.sparkSession)
     finally:
         if stacked is not None:
             stacked.unpersist()
-        data.unpersist()
+        data.release()
     return PipelineModel([*prepare, *base, meta])
 
 
@@ -141,24 +149,25 @@ def fit_gbt_cv(df: DataFrame, key: Sequence[str], features: Sequence[str] = MODE
     """
     spark = df.sparkSession
     prepare = feature_stages(df, features)
-    marked = df.withColumn("_fold", hash_bucket(key, folds, seed)).withColumns({c: F.col(c).cast("double") for c in features})
-    data = PipelineModel(prepare).transform(marked).select("features", F.col(label).cast("double").alias(label), "_fold")
-    data = spread(data, df.count()).persist()
-    rows, models = [], []
+    marked = df.withColumn("_fold", hash_bucket(key, folds, seed))
+    data = to_blocks(marked, features, medians_of(prepare[0]), label, spread, "_fold")
+    metrics, models = [], []
     try:
-        for fold in range(folds):
-            marked = data.withColumn("_held_out", F.col("_fold") == fold)
-            model = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-                                  validationIndicatorCol="_held_out", seed=seed).fit(marked)
-            pipeline = PipelineModel([*prepare, model])
-            held_out = model.transform(marked.where("_held_out")).select(
-                F.col(label).alias("label"), vector_to_array("probability")[1].alias("p"))
-            rows.append({"fold": fold, **binary_metrics(held_out).first().asDict()})
-            models.append(pipeline)
+        fitted = fit_boosted(data, GBTClassifier(
+            labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+            validationIndicatorCol="_held_out", seed=seed), folds, 0.8, 0.8, seed)
+        for fold, model in enumerate(fitted):
+            def held_out(y, folds_of, sums, fold=fold):
+                parts = [(c, *np.unique(boosted_probability(sums[0][(folds_of == fold) & (y == c)]), return_counts=True)) for c in (0, 1)]
+                return [np.concatenate(v) for v in zip(*[(np.full(len(p), c), p, n) for c, p, n in parts])]
+
+            said = scored(data, [trees_of(model)], held_out, "label double, p double, n double")
+            metrics.append({"fold": fold, **binary_metrics(said, "n").first().asDict()})
+            models.append(PipelineModel([*prepare, model]))
     finally:
-        data.unpersist()
-    best = min(range(folds), key=lambda i: rows[i]["logloss"])
-    table = spark.createDataFrame([(r["fold"], *[float(r[m]) for m in METRICS]) for r in rows],
+        data.release()
+    best = min(range(folds), key=lambda i: metrics[i]["logloss"])
+    table = spark.createDataFrame([(r["fold"], *[float(r[m]) for m in METRICS]) for r in metrics],
                                   "fold int, " + ", ".join(f"{m} double" for m in METRICS))
     return BoostedFit(models[best], table, best)
 
