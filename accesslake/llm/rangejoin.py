@@ -1,22 +1,28 @@
-"""Exact near-duplicate join of vectors by cosine: pivots, the triangle inequality, and cells that join on their own.
+"""Exact near-duplicate join of vectors by cosine: pivots, the triangle inequality, and blocks that are read where they are compared.
 
-Unit vectors with cosine >= c lie within the distance eps = sqrt(2 - 2c). Every vector lives in the cell of its nearest pivot. It is
-copied to the cell of another pivot only if a vector that lives there can be within eps: by the triangle inequality, if its
-distance to the border between the two pivots is eps at most. Each cell then compares the vectors that live in it with all it holds.
+Unit vectors with cosine >= c lie within the distance eps = sqrt(2 - 2c). Every vector lives in the cell of its nearest pivot, and is stored
+once, in a block of its cell. A task compares a block with every other whose cell is in reach: of two cells only the vectors can link that,
+by the triangle inequality, lie within eps of the border between the pivots. Blocks are read from the shared folder, so no vector
+is copied for the cells that it may have links in; what passes between tasks are ids, digests and links.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
-from accesslake.session import materialise
+from accesslake.session import materialise, work_dir
 from .common import components
 
-#: Vectors of a cell that are compared by one task: larger cells are dealt to several.
+#: Vectors of a block, on average: larger cells are stored as several.
 BLOCK = 8192
 #: Vectors in a cell, on average, and bounds of the number of pivots.
 CELL_ROWS, PIVOTS = 4096, (4, 256)
@@ -24,23 +30,37 @@ CELL_ROWS, PIVOTS = 4096, (4, 256)
 SLACK = 1e-9
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(vec_id, u) of vectors that can link: not null, finite, not zero; ``u`` are unit vectors in double precision."""
+def sound_vectors(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(vec_id, x) of vectors that can link: not null, finite, not zero; singles stay singles, other numbers become doubles."""
     sound = F.col(vector).isNotNull() & F.forall(
         vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
-    x = F.transform(vector, lambda e: e.cast("double"))
-    # scaled by the largest component first, so that squares neither overflow nor vanish
-    most = F.aggregate("x", F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e)))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e))
+    x = F.col(vector) if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else F.col(vector).cast("array<double>")
     return (vectors.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
-            .withColumn("most", most).filter("most > 0").withColumn("x", F.transform("x", lambda e: e / F.col("most")))
-            .withColumn("norm", norm).select("vec_id", F.transform("x", lambda e: e / F.col("norm")).alias("u")))
+            .filter(F.exists("x", lambda e: e != 0)))
 
 
-def _pivots(units: DataFrame, count: int) -> np.ndarray:
+def _units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision, scaled by the largest component first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x + 0.0  # no negative zeros
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of a batch with their vectors as a matrix, for each length."""
+    ids, lists = batch.column(0).to_numpy(), batch.column(1)
+    flat, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    starts = np.cumsum(lengths) - lengths
+    for size in np.unique(lengths):
+        rows = np.flatnonzero(lengths == size)
+        yield ids[rows], flat[starts[rows][:, None] + np.arange(size)]
+
+
+def _pivots(rows: DataFrame, count: int) -> np.ndarray:
     """Centres of groups of a bounded sample (64 vectors for each pivot): pivots decide cost alone, never results."""
-    rows = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(64 * count).select("u").toPandas()
-    sample = np.stack(rows.u.to_numpy())
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(64 * count).select("x").toPandas()
+    sample = _units(np.stack(some.x.to_numpy()))
     chosen, near = [0], sample @ sample[0]
     while len(chosen) < min(count, len(sample)):
         far = int(np.argmin(near))
@@ -66,22 +86,25 @@ def range_join(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     rows with a null id come out with 0 links and a null component. Vectors of different lengths link with nothing unlike in
     length. Empty tables give no rows; other columns are not read.
     """
-    spark = vectors.sparkSession
-    units = materialise(unit_vectors(vectors, id_col, vector), "units")
-    # equal vectors: one stands for all; the group is aggregated, never gathered
-    same = materialise(units.groupBy("u").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies")), "same")
-    member = units.join(same, "u").select("vec_id", "rep", "copies").distinct()
+    rows = sound_vectors(vectors, id_col, vector)
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    links = _links(same, cosine)
-    if links is None:
-        counted = member.select("vec_id", (F.col("copies") - 1).alias("n"), F.col("rep").alias("to"))
-    else:
-        links = materialise(links, "links")
-        totals = links.groupBy("rep").agg(F.sum("n").alias("others"))
-        roots = components(links.select(F.col("rep").alias("a"), F.col("lowest").alias("b")))
-        counted = (materialise(member, "members").join(totals, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-                   .select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"),
-                           F.coalesce("component_id", "rep").alias("to")))
+    total = rows.count()
+    if not total:
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+                          (F.col("vec_id") == F.col("vec_id")).alias("kept"))
+    usual = rows.agg(F.mode(F.size("x"), deterministic=True)).first()[0]
+    pivots = _pivots(rows.filter(F.size("x") == usual), int(np.clip(total // CELL_ROWS, *PIVOTS)))
+    keys = materialise(rows.mapInArrow(_keyed(pivots), "vec_id long, digest binary, h long, cell int"), "keys")
+    # equal vectors: one stands for all; the group is aggregated, never gathered
+    same = materialise(keys.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"),
+                                                  F.min("h").alias("h"), F.min("cell").alias("cell")), "same")
+    member = keys.join(same.select("digest", "rep", "copies"), "digest").select("vec_id", "rep", "copies").distinct()
+    links = materialise(_links(rows, same, pivots, cosine), "links")
+    totals = links.groupBy("rep").agg(F.sum("n").alias("others"))
+    roots = components(links.select(F.col("rep").alias("a"), F.col("lowest").alias("b")))
+    counted = (materialise(member, "members").join(totals, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+               .select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"),
+                       F.coalesce("component_id", "rep").alias("to")))
     counted = counted.groupBy("vec_id").agg(F.max("n").alias("n"), F.min("to").alias("to"))
     component = F.coalesce("to", "vec_id")
     return ids.join(counted, "vec_id", "left").select(
@@ -89,78 +112,109 @@ def range_join(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
         (F.col("vec_id") == component).alias("kept"))
 
 
-def _links(same: DataFrame, cosine: float) -> DataFrame | None:
-    """(rep, n, lowest) for each rep and task that compared it: rows linked, and the smallest rep of what hangs together there."""
-    total = same.count()
-    if not total:
-        return None
-    pivots = _pivots(same.select(F.col("rep").alias("vec_id"), "u").filter(
-        F.size("u") == same.agg(F.mode(F.size("u"), deterministic=True)).first()[0]), int(np.clip(total // CELL_ROWS, *PIVOTS)))
-    eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    sent = same.sparkSession.sparkContext.broadcast(pivots)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = sent.value
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
-        np.fill_diagonal(apart, 1.0)
+def _keyed(pivots: np.ndarray, wide: dict[int, int] | None = None):
+    """Of each vector a digest (equal vectors have equal ones), a number out of it, and the cell; or, told how many blocks the cells have,
+    the place, the digest and the vector as it came, equal ones of a batch once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, rows in batch.groupby(batch.u.map(len), sort=False):
-                u = np.stack(rows.u.to_numpy())
-                if size != p.shape[1]:  # unlike the others: one cell of their own length
-                    yield pd.DataFrame({"cell": -int(size), "home": True, "rep": rows.rep, "copies": rows.copies, "u": rows.u})
+            for ids, x in _by_length(batch):
+                u, size = _units(x), x.shape[1]
+                digest = [hashlib.blake2b(row, digest_size=16).digest() for row in u]
+                h = np.array([int.from_bytes(d[:4]) for d in digest], np.int64)
+                # unlike the others in length: one cell of their own
+                cell = (u @ pivots.T).argmax(axis=1).astype(np.int32) if size == pivots.shape[1] else np.full(len(u), -size, np.int32)
+                if wide is None:
+                    yield pa.RecordBatch.from_pydict({"vec_id": ids, "digest": digest, "h": h, "cell": cell})
                     continue
-                near = u @ p.T
-                home = near.argmax(axis=1)
-                at_home = near[np.arange(len(u)), home]
-                # distance to the border between the home pivot and another one
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gap = (at_home[:, None] - near) / apart[home]
-                # two pivots that round to one point have no border: a gap that is not a number is within reach
-                row, cell = np.nonzero(~(gap > eps + SLACK) | (np.arange(len(p)) == home[:, None]))
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "home": cell == home[row], "rep": rows.rep.to_numpy()[row],
-                                    "copies": rows.copies.to_numpy()[row], "u": list(u[row])})
-
-    dealt = materialise(same.mapInPandas(deal, "cell int, home boolean, rep long, copies long, u array<double>"), "dealt")
-    # a cell with more residents than a block is shared out: each task has a block of residents and, block by block, all others
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("wide"), F.ceil(F.count("*") / BLOCK).alias("high"))
-    sized = dealt.join(F.broadcast(sizes), "cell")  # one row for each pivot
-    wide, high = F.greatest(F.lit(1), "wide").cast("int"), F.col("high").cast("int")
-    x, y = F.pmod(F.xxhash64("rep"), wide).cast("int"), F.pmod(F.xxhash64("rep"), high).cast("int")
-    live = sized.filter("home").select("cell", x.alias("x"), F.explode(F.sequence(F.lit(0), high - 1)).alias("y"),
-                                       "rep", "copies", "u", F.lit(True).alias("home"))
-    others = sized.select("cell", F.explode(F.sequence(F.lit(0), wide - 1)).alias("x"), y.alias("y"),
-                          "rep", "copies", "u", F.lit(False).alias("home"))
-
-    def compare(_, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.home.to_numpy(bool)], rows[~rows.home.to_numpy(bool)]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "n": [], "lowest": []}).astype("int64")
-        u, v = np.stack(left.u.to_numpy()), np.stack(right.u.to_numpy())
-        ids, others, copies = left.rep.to_numpy(np.int64), right.rep.to_numpy(np.int64), right.copies.to_numpy(np.int64)
-        n, lowest = np.zeros(len(u), np.int64), ids.copy()
-        edges = []
-        for s in range(0, len(u), 512):
-            hit = u[s:s + 512] @ v.T >= cosine
-            hit &= ids[s:s + 512, None] != others[None, :]
-            n[s:s + 512] = hit @ copies
-            edges.append(hit)
-        # what hangs together here, by the smallest id: a few sweeps over the hits of the block
-        low = dict(zip(others.tolist(), others.tolist()))
-        of_others = others.copy()
-        while True:
-            before = lowest.sum(), of_others.sum()
-            for k, hit in enumerate(edges):
-                some = slice(512 * k, 512 * k + hit.shape[0])
-                reach = np.where(hit.any(axis=1), np.where(hit, of_others[None, :], np.iinfo(np.int64).max).min(axis=1), lowest[some])
-                lowest[some] = np.minimum(lowest[some], reach)
-                down = np.where(hit, lowest[some, None], np.iinfo(np.int64).max).min(axis=0)
-                of_others = np.minimum(of_others, down)
-            low = dict(zip(ids.tolist(), lowest.tolist()))
-            of_others = np.minimum(of_others, [low.get(i, i) for i in others.tolist()])
-            if (lowest.sum(), of_others.sum()) == before:
-                break
-        linked = of_others < others  # residents elsewhere that hang on to this block
-        return pd.concat([pd.DataFrame({"rep": ids[n > 0], "n": n[n > 0], "lowest": lowest[n > 0]}),
-                          pd.DataFrame({"rep": others[linked], "n": 0, "lowest": of_others[linked]})]).astype("int64")
-
-    return live.union(others).groupBy("cell", "x", "y").applyInPandas(compare, "rep long, n long, lowest long")
+                first = sorted({d: i for i, d in reversed(list(enumerate(digest)))}.values())
+                block = h[first] % np.array([wide.get(int(c), 1) for c in cell[first]])
+                yield pa.RecordBatch.from_pydict({"cell": cell[first], "block": block.astype(np.int32), "digest": [digest[i] for i in first],
+                                                  "x": [x[i].tobytes() for i in first]})
+    return run
+
+
+def _links(rows: DataFrame, same: DataFrame, pivots: np.ndarray, cosine: float) -> DataFrame:
+    """(rep, n, lowest): of each rep and task that compared it the rows linked (their sum counts), and smaller reps that hang together with it."""
+    spark = rows.sparkSession
+    kind = np.float32 if isinstance(rows.schema["x"].dataType.elementType, FloatType) else np.float64
+    sizes = same.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("wide"))  # one row for each pivot, or other length
+    wide = {r.cell: r.wide for r in sizes.collect()}
+    placed = rows.mapInArrow(_keyed(pivots, wide), "cell int, block int, digest binary, x binary")
+    known = same.join(F.broadcast(spark.createDataFrame(list(wide.items()), "cell int, wide int")), "cell").select(
+        "cell", F.pmod("h", F.col("wide")).cast("int").alias("block"), "digest", "rep", "copies")
+
+    def store(key, came: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        found = wanted.merge(came.drop_duplicates("digest")[["digest", "x"]], "inner", "digest").sort_values(["rep", "digest"])
+        if len(found) != len(wanted):
+            raise RuntimeError("a vector has moved to another cell while it was read again")
+        if not len(found):  # equal vectors that rounding put into another cell
+            return pd.DataFrame({"rep": [], "copies": [], "x": [], "cell": [], "block": []})
+        return pd.DataFrame({"rep": [found.rep.to_numpy(np.int64).tobytes()], "copies": [found.copies.to_numpy(np.int64).tobytes()],
+                             "x": [b"".join(found.x)], "cell": [key[0]], "block": [key[1]]})
+
+    path = work_dir(spark, "blocks")
+    place = ["cell", "block"]
+    blocks = placed.groupBy(*place).cogroup(known.groupBy(*place)).applyInPandas(
+        store, "rep binary, copies binary, x binary, cell int, block int")
+    blocks.write.partitionBy(*place).parquet(path)
+    stored = sorted((r.cell, r.block) for r in spark.read.parquet(path).select("cell", "block").collect())
+    eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
+
+    def block(cell: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        files, at = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path.removeprefix("file:"))
+        row, = pq.read_table(f"{at}/cell={cell}/block={number}", columns=["rep", "copies", "x"], filesystem=files, partitioning=None).to_pylist()
+        rep = np.frombuffer(row["rep"], np.int64)
+        return rep, np.frombuffer(row["copies"], np.int64), _units(np.frombuffer(row["x"], kind).reshape(len(rep), -1))
+
+    def near_border(u: np.ndarray, own: int, other: int) -> np.ndarray:
+        """Which vectors of a cell may have links in another one."""
+        across = pivots[own] - pivots[other]  # never null: pivots differ
+        return u @ across <= eps * np.linalg.norm(across)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell, number in (pair for batch in batches for pair in zip(batch.cell.tolist(), batch.block.tolist())):
+            ids, _, u = block(cell, number)
+            n, edges = np.zeros(len(u), np.int64), []
+            for other, further in stored:
+                if other != cell and min(other, cell) < 0:
+                    continue  # vectors of another length
+                left = np.arange(len(u)) if other == cell else np.flatnonzero(near_border(u, cell, other))
+                if not len(left):
+                    continue
+                others, copies, v = block(other, further)
+                if other != cell:
+                    near = near_border(v, other, cell)
+                    others, copies, v = others[near], copies[near], v[near]
+                if len(others):
+                    hits, linked = _compared(u[left], ids[left], v, others, copies, cosine)
+                    n[left] += hits
+                    edges.append(linked)
+            edges = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *edges]), axis=0)
+            yield pd.DataFrame({"rep": ids[n > 0], "n": n[n > 0], "lowest": ids[n > 0]})
+            yield pd.DataFrame({"rep": edges[:, 0], "n": np.zeros(len(edges), np.int64), "lowest": edges[:, 1]})
+
+    tasks = spark.createDataFrame(stored, "cell int, block int").repartition(max(1, min(len(stored), 4 * spark.sparkContext.defaultParallelism)))
+    return tasks.mapInPandas(compare, "rep long, n long, lowest long")
+
+
+def _compared(u: np.ndarray, ids: np.ndarray, v: np.ndarray, others: np.ndarray, copies: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``u`` the rows of ``v`` linked, and (id, smaller id that hangs together with it here) of both."""
+    n, lowest, of_others = np.zeros(len(u), np.int64), ids.copy(), others.copy()
+    edges = []
+    for s in range(0, len(u), 512):
+        hit = u[s:s + 512] @ v.T >= cosine
+        hit &= ids[s:s + 512, None] != others[None, :]
+        n[s:s + 512] = hit @ copies
+        if hit.any():
+            edges.append((slice(s, s + len(hit)), hit))
+    none = np.iinfo(np.int64).max
+    # what hangs together here, by the smallest id: a few sweeps over the hits of the block
+    while edges:
+        before = lowest.sum(), of_others.sum()
+        for some, hit in edges:
+            lowest[some] = np.minimum(lowest[some], np.where(hit, of_others[None, :], none).min(axis=1))
+            of_others = np.minimum(of_others, np.where(hit, lowest[some, None], none).min(axis=0))
+        if (lowest.sum(), of_others.sum()) == before:
+            break
+    low, low_others = lowest < ids, of_others < others
+    return n, np.concatenate([np.stack([ids[low], lowest[low]], axis=1), np.stack([others[low_others], of_others[low_others]], axis=1)])

@@ -323,6 +323,29 @@ def test_range_join_by_brute_force(spark, monkeypatch, block):
     assert got == {i: (int(hit[i].sum()), root[i]) for i in range(500)}
 
 
+def test_range_join_stores_a_vector_once(spark, monkeypatch, tmp_path):
+    """However many cells it may have links in, and in whatever blocks it is compared."""
+    monkeypatch.setattr(rangejoin, "BLOCK", 100)
+    monkeypatch.setattr(rangejoin, "PIVOTS", (16, 16))
+    r = np.random.default_rng(8)
+    x = r.normal(size=(2000, 32)).astype(np.float32)
+    x[1000:] = x[:1000] + r.normal(size=(1000, 32)) * 0.05
+    x[700:705], x[705] = x[699], -0.0 - x[699] * 2
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(rangejoin, "work_dir", lambda _, name: str(tmp_path / name))
+    shuffled = []
+    monkeypatch.setattr(rangejoin, "materialise", lambda df, name, real=rangejoin.materialise: shuffled.append((name, df.schema)) or real(df, name))
+    got = {q.vec_id: (q.n_links, q.component_id) for q in rangejoin.range_join(rows, 0.9).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    root = components_of(zip(*map(np.ndarray.tolist, np.nonzero(hit))), range(2000))
+    assert got == {i: (int(hit[i].sum()), root[i]) for i in range(2000)} and hit.sum() > 1500
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    assert sum(len(b.x) for b in blocks.select("x").collect()) == 4 * 32 * len(np.unique(u.round(12), axis=0))  # as singles, as they came
+    assert blocks.count() > 16 and not any("array" in f.dataType.simpleString() for _, schema in shuffled for f in schema)
+
+
 def test_sharding_keeps_groups_together(spark):
     rows = [(i, f"text {i if i % 3 else i // 30}") for i in range(900)] + [(1000 + i, "a hot text") for i in range(450)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
